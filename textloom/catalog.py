@@ -1,0 +1,66 @@
+"""The core queries and the SQL each is held against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.operators import capture
+from textloom.session import table
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    return capture.found(t("file_listing"), t("index_runs"), t("files"), t("extractor_versions"))
+
+
+def p4_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The write-ahead plan: per run and log partition its offsets and how far it becomes durable."""
+    log = capture.change_log(table(spark, sf_dir, "file_listing"), 8)
+    plan = capture.write_ahead(log, table(spark, sf_dir, "index_runs"))
+    return plan.groupBy("run_id", "durable_batch").agg(F.sum("entries").alias("entries"), F.min("first_offset").alias("first_us"), F.max("last_offset").alias("last_us"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_plan)}
+
+_KEY = "lower(replace(path, chr(92), '/'))"
+SQL: dict[str, str] = {
+    "p4_plan": f"""
+SELECT l.run_id, coalesce(r.batches_committed, 0) AS durable_batch, count(*) AS entries,
+       min(epoch_us(listed_at)) AS first_us, max(epoch_us(listed_at)) AS last_us
+FROM file_listing l LEFT JOIN (SELECT DISTINCT run_id, batches_committed FROM index_runs) r USING (run_id)
+WHERE path IS NOT NULL GROUP BY ALL""",
+}
+
+
+def _p4_sql() -> str:
+    """The runs one after another, each over the state the last one left: a recursive query over run numbers."""
+    fresh = """(s.size IS NOT DISTINCT FROM l.size AND s.mtime = l.mtime AND (
+        s.ver = l.version
+        OR s.ver = 4611686018427387904 AND l.cloud
+        OR ((s.ver >> 61) & 1) = 1 AND ((s.ver >> 62) & 1) = 0
+           AND s.ver <> 4611686018427387904
+           AND ((s.ver >> 40) & 255) = (l.version & 255)
+           AND l.now_s < (s.ver & 4294967295) + least(21600 * (1::BIGINT << least(greatest((s.ver >> 32) & 255, 1) - 1, 20)::INTEGER), 604800)))"""
+    steps = [f"""
+base AS (
+  SELECT {_KEY} AS key, l.run_id, listed_at, size, coalesce(mtime_ms, 0) AS mtime, coalesce(cloud, false) AS cloud,
+         coalesce(readable, false) AND coalesce(batch_no, 2147483647) <= r.batches_committed AS durable,
+         lower(regexp_extract(regexp_extract({_KEY}, '[^/]*$'), '^.+\\.([^.]*)$', 1)) AS ext,
+         epoch_us(r.started_at) // 1000000 AS now_s, coalesce(batch_no, 2147483647) AS batch_no
+  FROM file_listing l JOIN index_runs r USING (run_id)),
+latest AS (
+  SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY key, run_id ORDER BY listed_at DESC, batch_no DESC, size DESC, mtime DESC, cloud DESC) = 1),
+log AS (
+  SELECT b.*, coalesce((SELECT max(version) FROM extractor_versions v WHERE lower(v.ext) = b.ext AND v.since_run <= b.run_id), 1) AS version
+  FROM latest b),
+s0 AS (SELECT DISTINCT key, size, coalesce(mtime_ms, 0) AS mtime, coalesce(ver, 0) AS ver FROM files)"""]
+    for n in range(1, 9):
+        steps.append(f"""
+d{n} AS (SELECT l.* FROM log l LEFT JOIN s{n - 1} s USING (key) WHERE l.run_id = {n} AND l.durable AND (s.key IS NULL OR NOT {fresh})),
+s{n} AS (SELECT key, size, mtime, CASE WHEN cloud THEN 4611686018427387904 ELSE version END AS ver FROM d{n}
+         UNION ALL SELECT s.* FROM s{n - 1} s WHERE NOT EXISTS (SELECT 1 FROM d{n} d WHERE d.key = s.key))""")
+    return "WITH " + ",".join(steps) + "\n" + "\nUNION ALL ".join(f"SELECT run_id, key FROM d{n}" for n in range(1, 9))
+
+
+SQL["p4_found"] = _p4_sql()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
 
@@ -53,3 +54,13 @@ def parallel(df: DataFrame, at_least: int | None = None) -> DataFrame:
     """df in enough partitions to use every core when few input splits hold much work per row."""
     n = at_least or 2 * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def bounded_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, which is counted up to that bound; else df as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
