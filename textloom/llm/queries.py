@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import confusables, encoding, near_duplicates
-from textloom.session import table
+from textloom.llm import confusables, encoding, layout, near_duplicates
+from textloom.session import cut, table
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -102,5 +102,41 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.look_alike_groups(spread(table(spark, sf_dir, "files")), "name_lc").where("forms > 1")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_restored, p5_found, p5_canonical, p5_groups)}
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spread(table(spark, sf_dir, "contents").select(F.lit("contents").alias("place"), "key", F.col("content").alias("text")))
+    return c.unionByName(spread(table(spark, sf_dir, "extracted").select(F.lit("extracted").alias("place"), "key", "text")))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _pages(spark, sf_dir)
+    counts = cut(layout.word_counts(texts, "text"), "words")
+    return layout.findings(texts, counts, cut(layout.misread_words(counts), "misread"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("place", "key", "line_no", "kind").distinct()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every record that had anything to repair."""
+    found = _lines(spark, sf_dir).distinct()
+    edits = found.groupBy("place", "key").agg(F.collect_list(F.struct("line_no", "kind", "word", "right")).alias("edits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for place, key, text, edits in zip(*(b.column(i).to_pylist() for i in range(4))):
+                drop = {e["line_no"] for e in edits if e["kind"] == "drop"}
+                join = {e["line_no"] for e in edits if e["kind"] == "join"}
+                fix: dict = {}
+                for e in sorted(edits, key=lambda e: (e["line_no"], e["word"] or "")):
+                    if e["kind"] == "misread" and e["right"]:
+                        fix.setdefault(e["line_no"], []).append((e["word"], e["right"]))
+                out.append((place, key, layout.paragraphs(text, drop, join, fix)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], names=["place", "key", "text"])
+
+    return _pages(spark, sf_dir).distinct().join(edits, ["place", "key"]).mapInArrow(run, "place string, key string, text string")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_repaired, p3_found, p3_restored, p5_found, p5_canonical, p5_groups)}
 SQL: dict[str, str] = {}
