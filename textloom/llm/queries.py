@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import confusables, encoding, layout, near_duplicates
+from textloom.llm import confusables, encoding, layout, mixing, near_duplicates, packing, sentences, tokens
 from textloom.session import cut, table
 
 
@@ -138,5 +138,43 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).distinct().join(edits, ["place", "key"]).mapInArrow(run, "place string, key string, text string")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_repaired, p3_found, p3_restored, p5_found, p5_canonical, p5_groups)}
+def _sizes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return cut(tokens.sized(spread(table(spark, sf_dir, "documents").select("doc_id", *columns, "text")), "text"), "sizes")
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    """The capacities to try: a parameter table of fixed size."""
+    return [(r[0], r[1]) for r in table(spark, sf_dir, "pack_sizes").select("pack_name", "capacity_tokens").distinct().orderBy("pack_name").collect()]
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p6_packed(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.units(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many units a document has and how long they are on average."""
+    length = F.col("sent_end") - F.col("sent_start")
+    return p8_found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("units"), F.max(length).alias("longest"), F.sum(length).alias("chars"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_classes, p2_found, p2_repaired, p3_found, p3_restored, p5_found, p5_canonical, p5_groups, p6_packed, p6_report, p7_mix, p7_report, p8_found, p8_counts)
+}
 SQL: dict[str, str] = {}
