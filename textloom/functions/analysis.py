@@ -16,12 +16,13 @@ from textloom.functions import stem as stemmers
 LONG = 60
 _RUN = re.compile(r"[^\W_]+")
 _RUN_MARKS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
-_PLAIN_BELOW = "֐"
+#: Scripts in which marks belong to the alphabet; for all others letters and figures are what \\w knows.
+_MARKED = re.compile("[\u0345\u0363-\u036f\u0590-\u1fff\u24b6-\u24e9\u2de0-\u2dff\u3000-\U0010ffff]")
 
 
 def runs(text: str) -> list[str]:
     """Maximal runs of letters and figures. Scripts whose vowel signs are marks need the slower expression."""
-    return _RUN.findall(text) if max(text, default="") < _PLAIN_BELOW else _RUN_MARKS.findall(text)
+    return _RUN_MARKS.findall(text) if _MARKED.search(text) else _RUN.findall(text)
 
 
 @lru_cache(500_000)
@@ -69,7 +70,7 @@ def postings(text: str | None, stem: bool) -> Iterator[tuple[str, list[int]]]:
 
 def tokens(text: Column) -> Column:
     """The unstemmed terms of a text as a column expression, for counting without an index."""
-    kept = F.filter(F.regexp_extract_all(text, F.lit(r"([\p{IsAlphabetic}\p{N}]+)"), F.lit(1)), lambda t: F.octet_length(t) < LONG)
+    kept = F.filter(F.regexp_extract_all(text, F.lit(r"([\p{IsAlphabetic}\p{N}\x{0345}\x{0363}-\x{036F}]+)"), F.lit(1)), lambda t: F.octet_length(t) < LONG)
     return F.transform(kept, lambda t: F.translate(F.lower(t), "ё", "е"))
 
 

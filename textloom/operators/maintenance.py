@@ -54,7 +54,7 @@ def glob_regex(glob: str) -> str:
         i += 1
     if depth:
         raise ValueError(f"unclosed brace in {glob!r}")
-    return f"(?is)^(?:{out})$"
+    return f"(?isu)^(?:{out})$"
 
 
 def excluded(path: Column, globs: list[str] | None = None, skip_dirs: list[str] | None = None) -> Column:

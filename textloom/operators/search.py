@@ -55,7 +55,7 @@ def idf(n: int, df: int) -> float:
 
 def _bm25(ix: Index, name: str, tf: Column, weight: Column | float) -> Column:
     avgdl = ix.stats.get(name, (0, 1.0))[1]
-    return F.lit(weight) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))) if not isinstance(weight, Column) else weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    return (weight if isinstance(weight, Column) else F.lit(weight)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
 
 
 def _frequencies(ix: Index, name: str, words: list[str]) -> dict[str, int]:
@@ -83,7 +83,11 @@ def _phrase_leaf(ix: Index, name: str, words: list[str]) -> DataFrame | None:
         return None
     rows = _in_field(ix, name, list(df)).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
     rows = rows.where(F.size("at") == len(df))
-    starts = [F.transform(F.col("at")[t], lambda p, i=i: p - F.lit(i)) for i, t in enumerate(words)]
+
+    def begun(i: int, t: str) -> Column:
+        return F.transform(F.col("at")[t], lambda p: p - F.lit(i))
+
+    starts = [begun(i, t) for i, t in enumerate(words)]
     hits = rows.withColumn("tf", F.size(reduce(F.array_intersect, starts))).where("tf > 0")
     return hits.select("key", (F.lit(RANKED[name]) * _bm25(ix, name, F.col("tf"), sum(idf(ix.total, df[t]) for t in words))).alias("score"))
 
