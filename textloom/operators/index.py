@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.analysis import postings as of_text
-from textloom.session import exists, shared_dir
+from textloom.session import exists, parallel, shared_dir
 
 FIELDS = ("content", "folder", "meta", "name")
 FORMAT = 1
@@ -61,7 +61,7 @@ def posting_rows(texts: DataFrame, stem: bool) -> DataFrame:
                     names=["field", "key", "term", "tf", "positions", "dl"],
                 )
 
-    return texts.mapInArrow(run, "field string, key string, term string, tf int, positions array<int>, dl int")
+    return parallel(texts).mapInArrow(run, "field string, key string, term string, tf int, positions array<int>, dl int")
 
 
 class Index:
