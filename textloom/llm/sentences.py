@@ -32,7 +32,7 @@ CHUNK = 512
 # Abbreviations whose stop never ends a sentence before a capital.
 NEVER = (
     "Dept Abt Dpto Dr Mr Mrs Ms Prof Sr Sra Dra Hr Fr Hn Mme Mlle St Ste Ask avda av ул просп пер наб им гр тов г-н г-жа κ κα Δρ d. h z. B u. a e.g i.e vs cf bzw ca approx aprox resp т. к т. е т. н и. о напр"
-    " Nr No Art art Fig fig Abb Tab Kap Bd Hrsg vgl Vgl sog evtl ggf inkl zzgl M MM Gen Rev Hon Capt Lt Col Sgt Messrs डॉ श्री सं رقم د أ م كغ كجم"
+    " Nr No Art art Fig fig Abb Tab Kap Bd Hrsg vgl Vgl sog evtl ggf inkl zzgl M MM Gen Rev Hon Capt Lt Col Sgt Messrs डॉ श्री सं रु رقم د أ م كغ كجم"
 ).split(" ")
 # "d. h" and the like were split above; the pairs are listed on their own.
 NEVER_PAIRS = ("d. h", "z. B", "u. a", "т. к", "т. е", "т. н", "и. о", "d.h", "z.B", "т.к", "т.е")
@@ -45,12 +45,18 @@ MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober Nove
 #: Words after which a single capital is no initial.
 LETTERED = "plan Plan план План планом плану плана Variante variant вариант option opción option Punkt".split()
 
+_NEVER = frozenset(w for w in NEVER if len(w) > 1 or w in "κدأم") - {"d.", "h", "z.", "B", "u.", "a", "т.", "к", "е", "н", "и.", "о", "Ask"}
+_FIGURE = frozenset(BEFORE_FIGURE)
+_MONTH = re.compile("|".join(MONTHS))
+
 _TERMINATORS = ".!?…‼⁇⁈⁉؟;"
 _WIDE = "。！？｡।॥።፧"
 _OPEN, _CLOSE = "«“„‚「『《〈‹", "»”」』》〉›"
 _STOP = re.compile(r"\.")
 _PAIR = re.compile(r"(?<![^\W\d_])(?:d\. ?\n?h|z\. ?\n?B|u\. ?\n?a|т\.\s?к|т\.\s?е|т\.\s?н|и\.\s?о)\.")
-_CANDIDATE = re.compile(r"([^\W\d_]+)?\.(?=([^\W_])|\s+([^\W_«“„(])|)")
+_CANDIDATE = re.compile(r"\.(?=([^\W_])|\s+([^\W_«“„(])|)")
+#: Vowel signs of the scripts that write vowels as marks; they belong to the word before a stop.
+_SIGNS = frozenset(map(chr, [*range(0x900, 0x904), *range(0x93A, 0x950), 0x962, 0x963]))
 _MARKER = re.compile(r"[ \t]*(?:\d{1,4}[.)]|[-•*–—·‣◦▪]|\(?[a-zа-яα-ω\d]{1,2}\))[ \t]+(?=\S)")
 _GERMAN_QUOTE = re.compile(r"„[^“„\n\f]*(?:\n[^“„\n\f]+){0,12}“")
 _LINE_END = re.compile(r"[.!?…。！？।።؟:;»”」）)]\s*$")
@@ -217,13 +223,20 @@ def _lines(text: str, k: np.ndarray) -> None:
     rows = [text[a:b] for a, b in zip(starts, ends)]
     bare = [r.strip() for r in rows]
     done = [bool(_LINE_END.search(b)) for b in bare]
-    mark = [_MARKER.match(r) for r in rows]
+    mark = [m if m and not (m[0].strip() in "-–—" and r[m.end() : m.end() + 1].islower()) else None for r in rows for m in [_MARKER.match(r)]]
     cased = [b[:1].isupper() or b[:1].islower() for b in bare]
     sure = [len(r.rstrip()) for r, b, b2, m2 in zip(rows, bare, bare[1:], mark[1:]) if b and b2 and b2[0].islower() and not m2]
     if not sure:
         loose = [len(r.rstrip()) for r, b, d, b2, m2, m1, c in zip(rows, bare, done, bare[1:], mark[1:], mark, cased[1:]) if b and b2 and not d and not m2 and not m1 and not c]
         sure = [x for x in loose if x >= 30] if sum(x >= 30 for x in loose) >= 2 else []
     width = max(sure, default=0)
+    # In wrapped text a figure with a stop may come to stand first in its line.
+    for i in range(1, len(rows)):
+        if mark[i] and mark[i][0].strip()[0].isdigit() and bare[i - 1] and not mark[i - 1] and text[starts[i] - 1] != "\f":
+            last = re.search(r"([^\W\d_]+)\.$", bare[i - 1])
+            full = width and len(rows[i - 1].rstrip()) + 1 + len(mark[i][0].strip()) > width
+            if last and last[1] in _FIGURE or full and not done[i - 1] or _MONTH.match(rows[i], mark[i].end()):
+                mark[i] = None
     hard = []
     for i in range(len(rows) - 1):
         a, b = bare[i], bare[i + 1]
@@ -248,9 +261,6 @@ def _lines(text: str, k: np.ndarray) -> None:
                 k[starts[i] + m.start()] = P
 
 
-_NEVER = frozenset(w for w in NEVER if len(w) > 1 or w in "κدأم") - {"d.", "h", "z.", "B", "u.", "a", "т.", "к", "е", "н", "и.", "о", "Ask"}
-_FIGURE = frozenset(BEFORE_FIGURE)
-_MONTH = re.compile("|".join(MONTHS))
 _PREVIOUS = re.compile(r"([^\W\d_]+)\s+$")
 
 
@@ -260,36 +270,43 @@ def classify(text: str) -> np.ndarray:
     k = _table()[codes]
     _lines(text, k)
     for m in _CANDIDATE.finditer(text):
-        at = m.start() + len(m[1] or "")
+        at = m.start()
         if k[at] != T:
             continue
-        word, direct, after = m[1], m[2], m[3]
+        start = at
+        while start and at - start < 24 and (text[start - 1].isalpha() or text[start - 1] in _SIGNS):
+            start -= 1
+        word, direct, after = text[start:at] or None, m[1], m[2]
+        if word and word[-1] < "ɐ" and not word.isascii() and max(word) > "ɏ":
+            # Latin letters right behind another script are a word of their own.
+            start = at - len(re.search("[A-Za-zÀ-ɏ]+$", word)[0])
+            word = text[start:at]
         if direct:
             if word is None:
                 before = text[at - 1 : at]
                 if before.isdigit() and direct.isdigit() or not direct.isupper() or before == ".":
                     if not (before in "»”)" or before == "." and direct.isupper()):
                         k[at] = P
-            elif len(word) == 1 and word.isupper() and not _lettered(text, m.start()):
+            elif len(word) == 1 and word.isupper() and not _lettered(text, start):
                 k[at] = P
             elif not direct.isupper():
                 k[at] = P
             continue
         if word is None:
-            if after and text[at - 1 : at].isdigit() and _MONTH.match(text, m.start(3)) and not text[max(0, at - 3) : at].strip()[:1] == ".":
+            if after and text[at - 1 : at].isdigit() and _MONTH.match(text, m.start(2)) and not text[max(0, at - 3) : at].strip()[:1] == ".":
                 k[at] = P
             continue
         if after is None:
             continue
         if len(word) == 1:
             if word.isupper():
-                if not _lettered(text, m.start()):
+                if not _lettered(text, start):
                     k[at] = P
                 continue
-            if word == "г" and (after.isupper()) and not _figure_before(text, m.start()):
+            if word == "г" and (after.isupper()) and not _figure_before(text, start):
                 k[at] = P
                 continue
-        if word in _NEVER or after.isdigit() and word in _FIGURE and not (word == "д" and _pair_before(text, m.start())):
+        if word in _NEVER or after.isdigit() and word in _FIGURE and not (word == "д" and _pair_before(text, start)):
             k[at] = P
     for m in _PAIR.finditer(text):
         k[m.end() - 1] = P
