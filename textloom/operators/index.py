@@ -18,6 +18,8 @@ from textloom.session import exists, parallel, shared_dir
 
 FIELDS = ("content", "folder", "meta", "name")
 FORMAT = 1
+#: The table of postings; field is its directory.
+POSTINGS = "key string, term string, tf int, positions array<int>, dl int, field string"
 
 
 def records(files: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ class Index:
         read = spark.read.parquet
         self.files = read(f"{self.path}/files")
         self.contents = read(f"{self.path}/contents")
-        self.postings = read(f"{self.path}/postings")
+        self.postings = spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
         self.vocabulary = read(f"{self.path}/vocabulary")
         # One row per field: a handful of numbers the driver keeps.
         self.stats = {r["field"]: (r["docs"], r["avgdl"]) for r in read(f"{self.path}/field_stats").collect()}
@@ -92,7 +94,7 @@ def build(spark: SparkSession, files: DataFrame, contents: DataFrame, path: str,
     stored, texts = spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/contents")
     rows = posting_rows(field_texts(stored, texts), stem)
     rows.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "key").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    post = spark.read.parquet(f"{path}/postings")
+    post = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     post.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     lengths = post.groupBy("field", "key").agg(F.first("dl").alias("dl"))
     lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")

@@ -38,7 +38,7 @@ def _score(text: str) -> float:
     """Plausibility of a decoded sample: usual letters good, odd signs and capitals inside words bad."""
     n = max(1, len(text))
     good = sum(c in _COMMON for c in text.lower()) + 0.5 * sum("а" <= c <= "я" or c.isascii() and c.isalnum() for c in text)
-    bad = 3 * len(re.findall("[а-яё][А-ЯЁ]", text)) + 2 * sum(0x2500 <= ord(c) < 0x25A0 or 0x80 <= ord(c) < 0xA0 or c in "¤¦§©¬®¶ЂЃѓЉЊЌЋЏђљњќћџ" for c in text)
+    bad = 3 * len(re.findall("[а-яё][А-ЯЁ]", text)) + 2 * sum(ord(c) > 127 and not ("А" <= c <= "я" or c in "ёЁ«»№—–“”„’…°·àâäçèéêëîïôöùûüßñáíóúÄÖÜÉ¿¡") for c in text)
     return (good - bad) / n
 
 
