@@ -235,7 +235,7 @@ def _lines(text: str, k: np.ndarray) -> None:
         if mark[i] and mark[i][0].strip()[0].isdigit() and bare[i - 1] and not mark[i - 1] and text[starts[i] - 1] != "\f":
             last = re.search(r"([^\W\d_]+)\.$", bare[i - 1])
             full = width and len(rows[i - 1].rstrip()) + 1 + len(mark[i][0].strip()) > width
-            if last and last[1] in _FIGURE or full and not done[i - 1] or _MONTH.match(rows[i], mark[i].end()):
+            if last and last[1] in _FIGURE and not re.search(r"т\.\s?[дп]\.$", bare[i - 1]) or full and not done[i - 1] or _MONTH.match(rows[i], mark[i].end()):
                 mark[i] = None
     hard = []
     for i in range(len(rows) - 1):
@@ -244,7 +244,7 @@ def _lines(text: str, k: np.ndarray) -> None:
             hard.append(not (text[ends[i]] != "\f" and not a and not any(bare[:i])))
         elif mark[i + 1]:
             hard.append(True)
-        elif b[0].islower():
+        elif b[0].islower() or b[0] in "-–—" and b.lstrip("-–— ")[:1].islower():
             hard.append(False)
         else:
             word = b.split(None, 1)[0]
@@ -306,7 +306,7 @@ def classify(text: str) -> np.ndarray:
             if word == "г" and (after.isupper()) and not _figure_before(text, start):
                 k[at] = P
                 continue
-        if word in _NEVER or after.isdigit() and word in _FIGURE and not (word == "д" and _pair_before(text, start)):
+        if word in _NEVER or after.isdigit() and word in _FIGURE and not (word in "дп" and _pair_before(text, start)):
             k[at] = P
     for m in _PAIR.finditer(text):
         k[m.end() - 1] = P
