@@ -72,7 +72,7 @@ def test_plain_markup_and_rtf():
     assert X.extract(b"a\r\nb\rc", "txt").text == "a\nb\nc"
 
 
-@pytest.mark.parametrize("data,ext,status", [(b"", "txt", "empty"), (None, "txt", "error"), (b"\0\1\2" * 50, "qqq", "skipped"), (b"MZ", "exe", "skipped"), (b"PK\x03\x04broken", "docx", "error"), (DOCX[:200], "docx", "error"), (b"%PDF-1.4", "pdf", "skipped"), (b"   ", "txt", "empty"), (b"{\\rtf1", "rtf", "empty")])
+@pytest.mark.parametrize("data,ext,status", [(b"", "txt", "empty"), (None, "txt", "error"), (b"\0\1\2" * 50, "qqq", "skipped"), (b"MZ", "exe", "skipped"), (b"PK\x03\x04broken", "docx", "error"), (DOCX[:200], "docx", "error"), (b"%PDF-1.4", "pdf", "error"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 100, "doc", "error"), (b"   ", "txt", "empty"), (b"{\\rtf1", "rtf", "empty")])
 def test_broken_files_fail_alone(data, ext, status):
     assert X.extract(data, ext).status.split(":")[0] == status
 
@@ -150,3 +150,109 @@ def test_apply_batch(spark):
     due = spark.createDataFrame([("d/a.txt", False), ("d/sub", True), ("e", False), ("gone", False)], "key string, tree boolean")
     upsert, delete = watch.apply_batch(now, due)
     assert {r["key"] for r in upsert.collect()} == {"d/a.txt", "d/sub/b.txt"} and [r["key"] for r in delete.collect()] == ["gone"]
+
+
+def pdf(*streams, flate=False):
+    import zlib
+
+    out = [b"%PDF-1.4", b"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", b"2 0 obj <</Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (10 + i) for i in range(len(streams))) + b"] /Resources <</Font <</F1 3 0 R>>>>>> endobj"]
+    out.append(b"3 0 obj <</Type /Font /ToUnicode 4 0 R>> endobj")
+    out.append(b"4 0 obj <<>> stream\n1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfrange <41> <5A> <0410> endbfrange\nendstream endobj")
+    for i, s in enumerate(streams):
+        body = zlib.compress(s) if flate else s
+        out.append(b"%d 0 obj <</Type /Page /Contents %d 0 R>> endobj" % (10 + i, 50 + i))
+        out.append(b"%d 0 obj <<%s>> stream\n" % (50 + i, b"/Filter /FlateDecode" if flate else b"") + body + b"\nendstream endobj")
+    return b"\n".join(out)
+
+
+@pytest.mark.parametrize("flate", [False, True])
+def test_pdf(flate):
+    got = X.extract(pdf(b"BT /F1 12 Tf (ABC) Tj 0 -14 Td [(D) -300 (E)] TJ ET", b"BT /F1 9 Tf <4142> Tj ET", flate=flate), "pdf")
+    assert got.units == ["Стр. 1", "Стр. 2"] and got.text.replace("\n", "|").replace("\f", "#").replace("|#", "#") == "АБВ|Г Д#АБ"
+    assert X.extract(pdf(b"q Q"), "pdf").status == "scan"
+
+
+def compound(**streams):
+    import struct
+
+    names = list(streams)
+    sectors, start = [], {}
+    for n in names:
+        data = streams[n].ljust(4096, b"\0")
+        start[n] = (len(sectors), len(data))
+        sectors += [data[i : i + 512].ljust(512, b"\0") for i in range(0, len(data), 512)]
+    fat = []
+    for n in names:
+        first, size = start[n]
+        k = -(-size // 512)
+        fat += [first + j + 1 for j in range(k - 1)] + [0xFFFFFFFE]
+    entry = lambda name, kind, at, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<H", 2 * len(name) + 2) + bytes([kind]) + b"\0" * 49 + struct.pack("<IQ", at, size)
+    directory = entry("Root Entry", 5, 0xFFFFFFFE, 0) + b"".join(entry(n.replace("_", " "), 2, *start[n]) for n in names)
+    at = len(sectors)
+    k = -(-len(directory) // 512)
+    sectors += [directory[i : i + 512].ljust(512, b"\0") for i in range(0, len(directory), 512)]
+    fat += [at + j + 1 for j in range(k - 1)] + [0xFFFFFFFE, 0xFFFFFFFD]
+    table = struct.pack("<128I", *(fat + [0xFFFFFFFF] * 128)[:128])
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIII", 1, at, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    head += struct.pack("<109I", len(sectors), *[0xFFFFFFFF] * 108)
+    return head + b"".join(sectors) + table
+
+
+def test_binary_office_formats():
+    import struct
+
+    atom = lambda kind, data, box=False: struct.pack("<HHI", 15 if box else 0, kind, len(data)) + data
+    master, body = atom(1016, atom(4000, "Образец".encode("utf-16-le")), True), atom(1006, atom(4000, "Стратегия\rразвития".encode("utf-16-le")) + atom(4008, b"Roadmap") + atom(4008, b"*"), True)
+    got = X.extract(compound(PowerPoint_Document=master + body), "ppt")
+    assert got.text == "Стратегия\nразвития\nRoadmap" and got.status == "ok"
+    rec = lambda kind, data: struct.pack("<HH", kind, len(data)) + data
+    sst = rec(0xFC, struct.pack("<II", 2, 2) + struct.pack("<HB", 8, 1) + "Тюльпаны".encode("utf-16-le") + struct.pack("<HB", 3, 0) + b"abc")
+    head = rec(0x809, b"\0" * 16) + rec(0xE0, struct.pack("<HH", 0, 0)) + rec(0xE0, struct.pack("<HH", 0, 14)) + sst
+    bound = lambda at: rec(0x85, struct.pack("<IH", at, 0) + bytes([4, 1]) + "Лист".encode("utf-16-le"))
+    at = len(head) + len(bound(0))
+    sheet = rec(0x809, b"\0" * 16) + rec(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + rec(0x203, struct.pack("<HHHd", 0, 1, 1, 45366.0)) + rec(0x27E, struct.pack("<HHHI", 1, 0, 0, 7 << 2 | 2))
+    got = X.extract(compound(Workbook=head + bound(at) + sheet), "xls")
+    assert got.units == ["Лист «Лист»"] and got.text == "Тюльпаны\t15.03.2024 2024-03-15\n7"
+    text = "Договор аренды\rстрока\x13 PAGE \x141\x15\rКолонтитул\rКолонтитул\r"
+    raw, n = text.encode("utf-16-le"), text.index("Колонтитул")
+    fib = bytearray(0x400)
+    struct.pack_into("<HH", fib, 0, 0xA5EC, 0xC1)
+    struct.pack_into("<i", fib, 76, n)
+    clx = b"\x02" + struct.pack("<I", 16) + struct.pack("<II", 0, len(text)) + struct.pack("<HIH", 0, 0x400, 0)
+    struct.pack_into("<II", fib, 0x1A2, 0, len(clx))
+    got = X.extract(compound(WordDocument=bytes(fib) + raw, **{"0Table": clx}), "doc")
+    assert got.text == "Договор аренды\nстрока1\nКолонтитул"
+    struct.pack_into("<H", fib, 10, 0x100)
+    assert X.extract(compound(WordDocument=bytes(fib) + raw, **{"0Table": clx}), "doc").status == "encrypted"
+    assert X.extract(compound(EncryptedPackage=b"x"), "docx").status == "encrypted"
+
+
+def test_pages(spark):
+    from textloom.sources.extract import pages
+
+    assert pages.script_line("дoгoвop ne подписан") == "договор не подписан" and pages.script_line("plain line") == "plain line"
+    assert pages.script_token("ne", True) == "не" and pages.script_token("Ha", True) == "На" and pages.script_token("mail@аосе.com", True) == "mail@aoce.com" and pages.script_token("the", False) == "the"
+    box = lambda x, y, t, w=100.0: pages.Box(x, y, w, 10.0, 0.0, t)
+    two = [box(150, 0, "title", 300.0)] + [box(50, 20 + 15 * i, f"l{i}") for i in range(4)] + [box(250, 20 + 15 * i, f"r{i}") for i in range(4)]
+    assert pages.reading_order(two) == ["title", "l0", "l1", "l2", "l3", "r0", "r1", "r2", "r3"]
+    assert pages.reading_order([box(200, 1, "b"), box(50, 0, "a"), box(50, 30, "c")]) == ["a b", "c"] and pages.reading_order([]) == []
+    df = spark.createDataFrame([("k", 1, 50.0, 0.0, 99.0, 10.0, 0.0, "Акт"), ("k", 1, 50.0, 20.0, 99.0, 10.0, 0.0, "пpиёмки"), ("k", 2, 0.0, 0.0, 1.0, 1.0, 0.0, None)], "key string, page int, x double, y double, width double, height double, angle double, text string")
+    assert [tuple(r) for r in pages.page_texts(df).collect()] == [("k", 1, "Акт\nприёмки")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from textloom.__main__ import main
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "Договор.docx").write_bytes(DOCX)
+    (tmp_path / "docs" / "notes.txt").write_text("Проверка аренды помещения")
+    main(["index", str(tmp_path / "docs"), "--index", str(tmp_path / "ix")])
+    main(["search", "аренда", "--index", str(tmp_path / "ix"), "--json"])
+    out = capsys.readouterr().out
+    assert '"total": 1' in out and "notes.txt" in out
+    main(["search", "Jerry", "--index", str(tmp_path / "ix"), "--paths"])
+    assert "Договор.docx" in capsys.readouterr().out
+    main(["extract", str(tmp_path / "docs" / "notes.txt")])
+    assert "ok" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["search", "--index", str(tmp_path / "ix")])

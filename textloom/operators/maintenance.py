@@ -72,11 +72,18 @@ def excluded(path: Column, globs: list[str] | None = None, skip_dirs: list[str]
     return F.coalesce(test, F.lit(True))
 
 
+def _prefixes(key: Column, own: bool) -> Column:
+    """The folders above a key, and with ``own`` the key itself: what covers it, for joins by equality."""
+    parts = F.split(key, "/")
+    n = F.size(parts) if own else F.size(parts) - 1
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
+
+
 def usable_roots(roots: DataFrame) -> DataFrame:
-    """Roots that lie in no other one, each once; few rows, on the driver's side of things."""
-    keyed = roots.select(F.regexp_replace(path_key(F.col("root")), "/+$", "").alias("key"), "root").groupBy("key").agg(F.min("root").alias("root"))
-    outer = keyed.select(F.col("key").alias("outer"))
-    return keyed.join(outer, keyed.key.startswith(F.concat(outer.outer, F.lit("/"))), "left_anti").select("root")
+    """Roots that lie in no other one, each once."""
+    keyed = roots.where(F.col("root").isNotNull()).select(F.regexp_replace(path_key(F.col("root")), "/+$", "").alias("key"), "root").groupBy("key").agg(F.min("root").alias("root"))
+    inner = keyed.select("key", F.explode(_prefixes(F.col("key"), False)).alias("p")).join(keyed.select(F.col("key").alias("p")), "p", "left_semi").select("key").distinct()
+    return keyed.join(inner, "key", "left_anti").select("root")
 
 
 def build_record(listing: DataFrame) -> DataFrame:
@@ -111,8 +118,7 @@ def removed(actions: DataFrame, protected: DataFrame | None = None, cancelled: b
     if protected is None:
         return gone
     # A key is protected if one of its own folders is: equality on its prefixes, no pairwise test.
-    parts = F.split("key", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    prefixes = _prefixes(F.col("key"), True)
     wanted = protected.select(F.col("prefix").alias("p")).distinct()
     kept = gone.select("key", F.explode(prefixes).alias("p")).join(wanted, "p", "left_semi").select("key").distinct()
     return gone.join(kept, "key", "left_anti")

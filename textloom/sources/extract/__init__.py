@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from textloom.sources.extract import markup, odf, ooxml, plain, rtf
+from textloom.sources.extract import legacy, markup, odf, ooxml, pdf, plain, rtf
 from textloom.sources.extract.doc import Doc, Extracted
 
 # Limits, and extensions read as text or never read.
@@ -50,11 +50,11 @@ def extract(data: bytes | None, ext: str | None, size: int | None = None, max_te
                 return odf.read(data, doc)
             return doc.skipped("archive")
         if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-            return Extracted("", [], "", "encrypted", False) if "EncryptedPackage".encode("utf-16-le") in data else doc.skipped("binary office format")
+            return legacy.read(data, doc)
         if data[:5] == b"{\\rtf":
             return rtf.read(data, doc)
         if data[:5] == b"%PDF-":
-            return doc.skipped("no reader for pages")
+            return pdf.read(data, doc)
         if ext in NEVER or plain.looks_binary(data[:8192]):
             return doc.skipped("binary")
         text = plain.decode(data[: max_text * 4])
