@@ -80,7 +80,8 @@ def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = per_doc.groupBy("source").agg(F.count("*").alias("documents"), F.max("n").alias("most"), F.sum("tokens").alias("tokens"))
     wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     both = wanted.join(got, "source", "left").select("source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "most", "tokens")))
-    total = both.agg(F.sum("tokens").alias("_all"))
-    return both.join(F.broadcast(total), F.lit(True)).select(
+    # One row per source of the targets: a parameter table.
+    every = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    return both.withColumn("_all", every).select(
         "source", "target_share", F.round(F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0), 6).alias("actual_share"), "documents", F.col("most").alias("most_repeats"), "max_repeats", "tokens"
     )

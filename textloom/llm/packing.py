@@ -89,13 +89,13 @@ def pack(sizes: DataFrame, capacities: list[tuple[str, int]], salts: int = SALTS
     if any(c < 1 for _, c in capacities):
         raise ValueError("a capacity is at least 1")
     spark = sizes.sparkSession
-    kinds = spark.createDataFrame([(i, n, int(c)) for i, (n, c) in enumerate(capacities)], "kind int, pack_name string, capacity long")
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.lit(int(c)).cast("long").alias("capacity")) for i, (_, c) in enumerate(capacities))))
     kept = sizes.where("tokens > 0").select("doc_id", "tokens")
-    whole = F.when(F.col("tokens") > F.col("capacity"), F.expr("tokens div capacity")).otherwise(0)
     pieces = F.expr("sequence(0L, case when tokens > capacity then (tokens - 1) div capacity else 0L end)")
     items = (
-        kept.join(F.broadcast(kinds), F.lit(True))
-        .select("kind", "capacity", "doc_id", "tokens", whole.alias("whole"), F.explode(pieces).alias("piece"))
+        kept.select("doc_id", "tokens", kinds.alias("k"))
+        .select("k.kind", "k.capacity", "doc_id", "tokens")
+        .select("kind", "capacity", "doc_id", "tokens", F.explode(pieces).alias("piece"))
         .select("kind", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.least(F.col("tokens") - F.col("piece") * F.col("capacity"), "capacity").alias("size"))
         .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     )
