@@ -63,6 +63,8 @@ def test_cloud_and_retry(spark):
 
 def test_empty(spark):
     assert found(spark, []) == []
+    empty = spark.createDataFrame([], RUNS)
+    assert capture.found(spark.createDataFrame([row(1, "a.txt")], LIST), empty, spark.createDataFrame([], FILES), spark.createDataFrame([], VERSIONS)).count() == 0
 
 
 def test_plan_is_kept(spark, tmp_path):

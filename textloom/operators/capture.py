@@ -33,8 +33,8 @@ def partition_of(key: Column, partitions: int = PARTITIONS) -> Column:
 
 def versions_in_force(versions: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, ext, version): the highest version announced for an extension up to each run."""
-    last = runs.agg(F.max("run_id")).first()[0]
-    seen = versions.where(F.col("since_run") <= F.lit(last)).select(F.lower("ext").alias("ext"), "version", F.explode(F.sequence(F.col("since_run"), F.lit(last))).alias("run_id"))
+    last = F.lit(runs.agg(F.max("run_id")).first()[0]).cast("long")
+    seen = versions.where(F.col("since_run") <= last).select(F.lower("ext").alias("ext"), "version", F.explode(F.sequence(F.col("since_run").cast("long"), last)).alias("run_id"))
     return seen.groupBy("run_id", "ext").agg(F.max("version").alias("version"))
 
 
