@@ -1,8 +1,9 @@
 """The inverted index as tables: postings, vocabulary, lengths, attributes.
 
 ``build`` analyses every document once in Arrow batches, which yields its postings already grouped by term, and shuffles
-them once, by range of (field, term), into sorted files. A search then reads only the row groups of its terms:
-field is a directory, term a sorted column with statistics.
+them once, by hash of (field, term) and a salt of the key, so that the postings of a frequent term fill several tasks.
+Files are sorted by term and carry Bloom filters on it: a search reads the row groups and pages of its terms only; field is
+a directory. (By range the files would be apart as well, but finding the ranges would run the analysis twice.)
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ class Index:
         self.total = marker["total"]
 
 
-def build(spark: SparkSession, files: DataFrame, contents: DataFrame, path: str, stem: bool = True) -> Index:
+def build(spark: SparkSession, files: DataFrame, contents: DataFrame, path: str, stem: bool = True, salts: int = 4) -> Index:
     """Builds or replaces the index in a folder; readable only once its manifest, written last, is there."""
     files = records(files)
     contents = contents.where(F.col("key").isNotNull()).groupBy("key").agg(F.max(F.struct("content", "unit_labels")).alias("c")).select("key", "c.*")
@@ -93,9 +94,13 @@ def build(spark: SparkSession, files: DataFrame, contents: DataFrame, path: str,
     contents.write.mode("overwrite").parquet(f"{path}/contents")
     stored, texts = spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/contents")
     rows = posting_rows(field_texts(stored, texts), stem)
-    rows.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "key").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+    salt = F.pmod(F.xxhash64("key"), F.lit(salts))
+    spread = rows.repartition("field", "term", salt).sortWithinPartitions("field", "term", "key")
+    bloom = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    spread.write.mode("overwrite").options(**bloom).partitionBy("field").parquet(f"{path}/postings")
     post = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-    post.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    vocabulary = post.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).sortWithinPartitions("field", "term")
+    vocabulary.write.mode("overwrite").options(**bloom).parquet(f"{path}/vocabulary")
     lengths = post.groupBy("field", "key").agg(F.first("dl").alias("dl"))
     lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
     total = stored.count()
