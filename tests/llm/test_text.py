@@ -66,7 +66,7 @@ def test_encoding_in_spark(spark):
     "text,form",
     [
         ("дoгoвop", "договор"), ("cоntract", "contract"), ("Ｅｘｃｅｌ ２０２４", "Excel 2024"), ("𝐝𝐨𝐜𝐱", "docx"), ("oﬃce", "office"), ("ёлка", "ёлка"), ("до​го\xadвор", "договор"), ("a\xa0b c", "a b c"),
-        ("й".encode().decode(), "й"), ("й", "й"), ("Νοtes", "Notes"),
+        ("й".encode().decode(), "й"), ("й", "й"), ("Νοtes", "Notes"), ("heгиял", "негиял"), ("μinutes", "minutes"), ("маrlаmоrfа", "marlamorfa"),
     ],
 )
 def test_canonical(text, form):

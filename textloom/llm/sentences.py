@@ -30,12 +30,10 @@ CLASSES = 15
 CHUNK = 512
 
 # Abbreviations whose stop never ends a sentence before a capital.
-NEVER = (
-    "Dept Abt Dpto Dr Mr Mrs Ms Prof Sr Sra Dra Hr Fr Hn Mme Mlle St Ste Ask avda av ул просп пер наб им гр тов г-н г-жа κ κα Δρ d. h z. B u. a e.g i.e vs cf bzw ca approx aprox resp т. к т. е т. н и. о напр"
-    " Nr No Art art Fig fig Abb Tab Kap Bd Hrsg vgl Vgl sog evtl ggf inkl zzgl M MM Gen Rev Hon Capt Lt Col Sgt Messrs डॉ श्री सं रु رقم د أ م كغ كجم"
-).split(" ")
-# "d. h" and the like were split above; the pairs are listed on their own.
-NEVER_PAIRS = ("d. h", "z. B", "u. a", "т. к", "т. е", "т. н", "и. о", "d.h", "z.B", "т.к", "т.е")
+_NEVER = frozenset(
+    "Dept Abt Dpto Dr Mr Mrs Ms Prof Sr Sra Dra Hr Fr Hn Mme Mlle St Ste avda av ул просп пер наб им гр тов κ κα Δρ e.g i.e vs cf bzw ca approx aprox resp напр"
+    " Art art Fig fig Abb Kap Bd Hrsg vgl Vgl sog evtl ggf inkl zzgl Capt Sgt Messrs डॉ श्री सं रु رقم د أ م كغ كجم".split()
+)
 # Abbreviations whose stop does not end a sentence before a figure.
 BEFORE_FIGURE = (
     "No Nr Fig fig p pp fol sec para art Art pág págs bât apt п пп д стр Стр с пом доб тел см См рис Рис разд гл ч кв корп стр каб прил δηλ aprox approx bzw cf ca Tel tel Abb vol ch n S Z Kap αρ σελ рег ном № "
@@ -45,14 +43,12 @@ MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober Nove
 #: Words after which a single capital is no initial.
 LETTERED = "plan Plan план План планом плану плана Variante variant вариант option opción option Punkt".split()
 
-_NEVER = frozenset(w for w in NEVER if len(w) > 1 or w in "κدأم") - {"d.", "h", "z.", "B", "u.", "a", "т.", "к", "е", "н", "и.", "о", "Ask"}
 _FIGURE = frozenset(BEFORE_FIGURE)
 _MONTH = re.compile("|".join(MONTHS))
 
 _TERMINATORS = ".!?…‼⁇⁈⁉؟;"
 _WIDE = "。！？｡।॥።፧"
 _OPEN, _CLOSE = "«“„‚「『《〈‹", "»”」』》〉›"
-_STOP = re.compile(r"\.")
 _PAIR = re.compile(r"(?<![^\W\d_])(?:d\. ?\n?h|z\. ?\n?B|u\. ?\n?a|т\.\s?к|т\.\s?е|т\.\s?н|и\.\s?о)\.")
 _CANDIDATE = re.compile(r"\.(?=([^\W_])|\s+([^\W_«“„(])|)")
 #: Vowel signs of the scripts that write vowels as marks; they belong to the word before a stop.
