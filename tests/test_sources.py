@@ -145,6 +145,11 @@ def test_stream_debounce(spark, tmp_path):
     assert got == {"x": (True, 2), "y": (False, 1)}
 
 
+def test_full_checks():
+    assert watch.full_check_due(21600) and not watch.full_check_due(21599) and watch.full_check_due(600, network=True)
+    assert watch.full_check_due(1, overflow=True, quiet_ms=1500) and not watch.full_check_due(1, overflow=True, quiet_ms=1499)
+
+
 def test_apply_batch(spark):
     now = spark.createDataFrame([("d/a.txt",), ("d/sub/b.txt",), ("e/c.txt",)], "path string")
     due = spark.createDataFrame([("d/a.txt", False), ("d/sub", True), ("e", False), ("gone", False)], "key string, tree boolean")

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from textloom.functions.analysis import postings as of_text
 from textloom.session import exists, parallel, shared_dir
 
-FIELDS = ("content", "folder", "meta", "name")
 FORMAT = 1
 #: The table of postings; field is its directory.
 POSTINGS = "key string, term string, tf int, positions array<int>, dl int, field string"

@@ -30,7 +30,6 @@ MISTYPED = {"content": 1.0, "name": 3.0, "meta": 2.0}
 NAME_PART, NAME_START = 3.0, 2.0
 SCOPED = {ANY: ("content", "name", "meta", "folder"), CONTENT: ("content",), NAME: ("name",), PATH: ("name", "folder"), META: ("meta",)}
 SORTS = {"newest": ("mtime_ms", False), "oldest": ("mtime_ms", True), "largest": ("size", False), "smallest": ("size", True)}
-MATCH = "key string, gid int, score double"
 
 
 @dataclass
@@ -211,9 +210,6 @@ def ordered(found: DataFrame, o: Options, positive: bool) -> DataFrame:
     return (page.offset(o.offset) if o.offset else page).limit(limit)
 
 
-HIT = ("path", "name_lc", "ext", "size", "mtime_ms", "score", "status")
-
-
 def search(ix: Index, o: Options) -> DataFrame:
     """The page of hits: key, path, name, ext, size, modified_ms, score, status."""
     found, positive = matches(ix, o)
@@ -267,7 +263,3 @@ def many(ix: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     full = hit.groupBy("qid", "key", "need").agg(F.count("*").alias("n"), F.sum("s").alias("score")).where("n = need")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 6).desc(), "key"))
     return full.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "key", "score", "rank")
-
-
-def as_pandas(page: DataFrame) -> pd.DataFrame:
-    return page.toPandas()

@@ -74,6 +74,11 @@ def due_stream(feed: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, tree boolean, events long", "tree boolean, events long", "append", "ProcessingTimeTimeout")
 
 
+def full_check_due(seconds_since: float, network: bool = False, overflow: bool = False, quiet_ms: float = 0) -> bool:
+    """Whether to compare everything again: every six hours, ten minutes with network roots, or after lost events once it is quiet."""
+    return seconds_since >= (FULL_CHECK_NETWORK_S if network else FULL_CHECK_S) or overflow and quiet_ms >= QUIET_MS
+
+
 def windowed_counts(feed: DataFrame, length: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
     """Events per window and kind; as a stream, windows close once the watermark has passed them."""
     ts = feed.withColumn("ts", F.col("ts").cast("timestamp"))
