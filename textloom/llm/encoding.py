@@ -40,7 +40,7 @@ INVISIBLE = dict.fromkeys(map(ord, "\xad\u200b\u200c\u200d\u2060\ufeff"))
 
 #: A token without a match of this has nothing to search for.
 SUSPECT = re.compile(
-    f"[{ODD}]|[{_ACC}]{{2}}|[a-z][{_ACC_UP}]|[{_ACC}][A-Z]"
+    f"[{ODD}]|[{_ACC}]{{2}}|[{_ACC}][0-9]|[a-z][{_ACC_UP}]|[{_ACC}][A-Z]"
     f"|[{_LOW}][{_UP}]|[{_UP}]{{4}}|[{_LAT}{_ACC}][{_LOW}{_UP}]|[{_LOW}{_UP}][{_LAT}{_ACC}]"
     f"|[{_LAT}{_LOW}{_UP}][Α-ω]|[Α-ω][{_LAT}{_LOW}{_UP}]"
     f"|\\?\\?|\\?[{_LAT}{_LOW}{_UP}]"
@@ -59,12 +59,12 @@ def _screen() -> tuple[np.ndarray, np.ndarray]:
         for m in re.compile(f"[{chars}]").finditer("".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))):
             of[ord(m[0])] = n
 
-    for n, chars in enumerate(("a-z", "A-Z", _LOW, _UP, "".join(c for c in _ACC if c.islower()), _ACC_UP, ODD, "?", "–—", "Α-ω", "¡¿£§°€„", "¬", "%=&\\\\", "\\s"), 1):
+    for n, chars in enumerate(("a-z", "A-Z", _LOW, _UP, "".join(c for c in _ACC if c.islower()), _ACC_UP, ODD, "?", "–—", "Α-ω", "¡¿£§°€„", "¬", "%=&\\\\", "\\s", "0-9"), 1):
         put(n, chars)
     bad = np.zeros((16, 16), bool)
     bad[7, :] = bad[:, 7] = bad[9, 9] = bad[8, 8] = bad[1, 6] = bad[3, 4] = True
     for i in (5, 6):
-        bad[i, [5, 6, 2]] = True
+        bad[i, [5, 6, 2, 15]] = True
     for i in (1, 2, 5, 6):
         bad[i, [3, 4]] = bad[[3, 4], i] = True
     for i in (1, 2, 3, 4):
@@ -195,6 +195,7 @@ _TURNS = [
     (re.compile("(?<![a-zA-Z])M(?=[A-Z]|$)"), 0.5),
     (re.compile("[AUCDLM](?=t(?=[AUCDLM]))"), 0.4),
     (re.compile("[tx](?=[tx])"), 1.0),
+    (re.compile("[LM](?=d)"), 3.0),  # a letter with a mark before a figure
 ]
 # How often the letters of Russian occur, in per mille.
 _RU = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 2, 1, 4)))
