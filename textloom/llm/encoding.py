@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 # Letters of Western European languages with a mark, as correct text has them.
 ACCENTED = "àâáãäåæçèéêëìíîïñòóôõöøùúûüýÿßœšžÀÂÁÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŸŒŠŽ"
-USUAL = "àâáãäåçèéêëíîïñóôöøùúûüßœÀÉÈÜÖÄÑÅÁÓÇØ"
+USUAL = "àâáãäåçèéêëíîïñóôöøùúûüßœÀÂÁÃÄÅÇÈÉÊËÍÎÏÑÓÔÖØÙÚÛÜŒ"
 TYPOGRAPHIC = "“”„«»—–…’‘№€£°²³½™·¿¡§•"
 # Characters that single-byte character sets put where letters belong, and that correct text here does not use.
 ODD = "\x80-\x9f\ufffd\u2500-\u259fЂЃѓЉЊЌЋЏђљњќћџҐґЈјЅѕЎўЄєЇїІі‡†‰ˆ˜ŠšŽž¤¦¨¯±´µ¶¸¼¾¢¥×÷ÐðÞþ√≈≤≥∙⌠⌡⌐ⁿ∞∂∑∏∆π∫◊ƒ‹›©®ıłŁˇ˘˙˚˝˛∩⌂"
@@ -195,7 +195,7 @@ _TURNS = [
     (re.compile("(?<![a-zA-Z])M(?=[A-Z]|$)"), 0.5),
     (re.compile("[AUCDLM](?=t(?=[AUCDLM]))"), 0.4),
     (re.compile("[tx](?=[tx])"), 1.0),
-    (re.compile("[LM](?=d)"), 3.0),  # a letter with a mark before a figure
+    (re.compile("[LMx](?=d)"), 3.0),  # a letter with a mark before a figure
 ]
 # How often the letters of Russian occur, in per mille.
 _RU = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 2, 1, 4)))
@@ -294,16 +294,16 @@ def _lookalike_only(token: str) -> bool:
 
 _ODD_REST = re.compile("[" + ODD.translate(dict.fromkeys(map(ord, "іІѕЅјЈ"))) + "]")
 _MIXED = re.compile(f"[{_LAT}][{_LOW}{_UP}Α-ωіѕјІЅЈ]|[{_LOW}{_UP}Α-ωіѕјІЅЈ][{_LAT}]")
-_CAPS = re.compile(f"[^{_LOW}{_LAT}]*$")
+_CAPS = re.compile(f"[^{_LOW}{_LAT}]*[{_UP}][^{_LOW}{_LAT}]*$")
 _CASES = ((("koi8-r", "cp1251"),), (("cp1251", "koi8-r"),), (("cp1251", "iso8859-5"),), (("iso8859-5", "cp1251"),))
 
 
 @lru_cache(50_000)
 def _odd(token: str) -> bool:
-    """Whether a token is to be searched: suspicious without its invisible characters, not for look-alikes alone, and,
-    if it is in capitals throughout, cheaper in another Cyrillic character set."""
-    t = token.translate(INVISIBLE)
-    if not SUSPECT.search(t) or _lookalike_only(t):
+    """Whether a token is to be searched: suspicious without its invisible characters and the words that only hold
+    look-alikes, and, if it is in Cyrillic capitals throughout, cheaper in another Cyrillic character set."""
+    t = _LETTERS.sub(lambda m: "a" if _lookalike_only(m[0]) else m[0], token.translate(INVISIBLE))
+    if not SUSPECT.search(t):
         return False
     if _CAPS.match(t) and not _ODD_REST.search(t) and "?" not in t:
         here = cost(t)
@@ -311,6 +311,11 @@ def _odd(token: str) -> bool:
     return True
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: A German noun whose capital came to stand last: a slip of letters, no encoding fault if it is all there is.
+_ROTATED = re.compile("[^\\w]*[a-zäöüß]{3,}[ÄÖÜ][^\\w]*$")
+
+
 @lru_cache(50_000)
 def _token_gain(token: str) -> tuple[float, tuple]:
     t, path, c = search(token, 3, 12)
@@ -325,6 +330,8 @@ def examine(s: str | None) -> tuple[bool, str | None]:
         return True, s
     tokens = dict.fromkeys(_TOKEN.findall(s))
     odd = [t for t in tokens if _odd(t)]
+    if len(odd) == 1 and _ROTATED.match(odd[0]):
+        odd = []
     if odd:
         probe = " ".join(odd)
         path = _path(probe) if len(probe) <= _PROBE else _guess(odd)
