@@ -133,3 +133,12 @@ def test_batches(spark):
     got = maintenance.batches(rows, most_bytes=100, most_rows=7, slices=2)
     per = got.groupBy("batch").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     assert per.agg(F.max("n"), F.max("s"), F.sum("n")).first()[2] == 100 and per.agg(F.max("s")).first()[0] <= 100
+
+
+def test_cuts_are_released(spark):
+    from textloom import session
+
+    df = session.cut(spark.range(5), "mine")
+    path = session._CUTS[-1]
+    assert df.count() == 5 and session.exists(spark, path)
+    assert session.release(spark) >= 1 and not session.exists(spark, path) and session.release(spark) == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = getattr(shared_dir, "own", None)
         if at is None:
-            at = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="textloom-")
+            folder = tempfile.mkdtemp(prefix="textloom-")
+            atexit.register(shutil.rmtree, folder, True)
+            at = shared_dir.own = "file://" + folder
     return at.rstrip("/")
 
 
@@ -43,9 +47,22 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CUTS: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables cut so far, once no result that reads them is needed any more; returns how many."""
+    n = len(_CUTS)
+    while _CUTS:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
