@@ -161,6 +161,26 @@ def test_mix(spark):
     assert mixing.mix(sizes.limit(0), targets).count() == 0 and mixing.report(mixing.mix(sizes.limit(0), targets), targets).count() == 5
 
 
+def test_mix_of_the_whole_corpus_is_not_cut_by_a_scarce_source(spark, tmp_path, monkeypatch):
+    """One source with one short document: the others still send as much as the corpus holds."""
+    from textloom.llm import queries
+
+    rows = [(i, s, "x " * 9) for i, s in enumerate(["big"] * 300 + ["mid"] * 200 + ["tiny"] + ["other"] * 20)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 2), ("mid", 0.4, 2), ("tiny", 0.1, 4), ("none", 0.2, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    monkeypatch.setattr(tokens, "sized", lambda df, text: df.withColumn("tokens", F.lit(10).cast("long")).drop(text))
+    got = queries.p7_mix(spark, str(tmp_path))
+    assert got.agg(F.sum("tokens")).first()[0] == 5010  # 501 documents of sources with a target
+    rep = {x["source"]: x for x in queries.p7_report(spark, str(tmp_path)).collect()}
+    assert rep["tiny"]["most_repeats"] == 4 and rep["tiny"]["tokens"] == 40 and rep["tiny"]["used_share"] == 1.0
+    assert abs(rep["big"]["tokens"] / rep["mid"]["tokens"] - 5 / 4) < 0.02 and rep["big"]["actual_share"] > 0.5
+    used = {s: got.where(F.col("source") == s).select("doc_id").distinct().count() for s in ("big", "mid", "tiny")}
+    assert rep["big"]["used_share"] == round(used["big"] / 300, 6) and rep["mid"]["available"] == 2000
+    assert rep["none"]["tokens"] == rep["none"]["available"] == 0 and rep["none"]["used_share"] == 0.0
+    assert {x["corpus_used"] for x in rep.values()} == {round(sum(used.values()) / 521, 6)}
+    assert mixing.available(spark.createDataFrame([], "doc_id long, source string, tokens long"), spark.createDataFrame([("big", 0.5, 2)], "source string, target_share double, max_repeats int")) == 0
+
+
 def test_tokens(spark):
     pytest.importorskip("tiktoken")
     df = spark.createDataFrame([(1, "Hello world", "a"), (2, None, "b"), (3, "", "c"), (4, "слово " * 5000, "d")], "doc_id long, text string, tokens_ string")

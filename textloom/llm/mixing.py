@@ -5,7 +5,10 @@ behind the last up to the source's cap on repeats. A document's virtual finish t
 once it is through, divided by the source's target share; documents leave in order of finish times until the budget is
 spent. Where no source runs dry, each has then sent its share to within a document.
 
-The budget defaults to the largest total at which every source that has documents can still reach its share.
+The budget is a total of tokens. ``available`` gives that of the whole corpus, which ``p7_mix`` uses: a scarce source
+then runs dry at its cap on repeats, the others send on in proportion to their shares, and the report shows by how much
+the shares deviate and how much of the corpus is used. Without a budget, ``mix`` keeps every share to the letter: it ends
+at the largest total at which all sources can still reach theirs, which the scarcest source decides.
 
 Scale. Running sums are made in two levels: per (source, epoch, slice of the hash) a sum, whose running sums over
 slices are a small table bounded by the parameters, and inside each slice a window. The cut at the budget works the
@@ -36,6 +39,12 @@ def _running(df: DataFrame, groups: list[str], value: str, order: list[str]) ->
     return df.withColumn("_own", own).join(before, groups).withColumn("_cum", F.col("_before") + F.col("_own")).drop("_own", "_before")
 
 
+def available(sizes: DataFrame, targets: DataFrame) -> int:
+    """The tokens, each document once, of the sources that have a target: the whole of what can be mixed."""
+    wanted = targets.where("target_share > 0 and max_repeats > 0").select("source").distinct()
+    return int(sizes.where("tokens > 0").join(F.broadcast(wanted), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0)
+
+
 def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, slices: int = SLICES) -> DataFrame:
     """(doc_id, source, epoch, tokens, finish) of the chosen documents; sizes(doc_id, source, tokens)."""
     wanted = targets.where("target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").cast("int").alias("repeats"))
@@ -74,8 +83,23 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     return timed.where(F.col("finish") < low).unionByName(edge.withColumn("_cum", cum).where(F.col("_cum") <= budget - spent).drop("_cum"))
 
 
-def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, actual_share, documents, most_repeats, max_repeats, tokens) for every source of the targets."""
+def report(mixed: DataFrame, targets: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(source, target_share, actual_share, documents, most_repeats, max_repeats, tokens) for every source of the targets.
+
+    With the sizes of the whole corpus also (available, used_share, corpus_used): the tokens the source has, the share of
+    them that is in the mix at least once, and the same share for the corpus with all its sources, also those without a target."""
+    out = _report(mixed, targets)
+    if sizes is None:
+        return out
+    once = mixed.where("epoch = 0").groupBy("source").agg(F.sum("tokens").alias("_once"))
+    have = sizes.where("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("_have"))
+    total = have.agg(F.sum("_have").alias("_total")).crossJoin(once.agg(F.sum("_once").alias("_used")))
+    share = lambda part, whole: F.round(F.when(F.col(whole) > 0, F.coalesce(part, F.lit(0)) / F.col(whole)).otherwise(0.0), 6)
+    every = out.join(have, "source", "left").join(once, "source", "left").crossJoin(F.broadcast(total))
+    return every.select(*out.columns, F.coalesce("_have", F.lit(0)).cast("long").alias("available"), share("_once", "_have").alias("used_share"), share("_used", "_total").alias("corpus_used"))
+
+
+def _report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     per_doc = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
     got = per_doc.groupBy("source").agg(F.count("*").alias("documents"), F.max("n").alias("most"), F.sum("tokens").alias("tokens"))
     wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))

@@ -155,12 +155,18 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(p6_packed(spark, sf_dir), _capacities(spark, sf_dir))
 
 
+def _mixed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """A mix as large as the whole corpus; scarce sources run dry at their cap."""
+    return mixing.mix(sizes, targets, budget=mixing.available(sizes, targets))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))
+    return _mixed(_sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    sizes, targets = _sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets")
+    return mixing.report(_mixed(sizes, targets), targets, sizes)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
