@@ -67,6 +67,25 @@ def test_chain_is_one_class(spark):
     assert nd.classes(links, members).select("class_id").distinct().count() == 1
 
 
+def test_long_chains_are_one_class_each(spark):
+    """Also chains far longer than the rounds: random and rising ids, a ring, one link to each side and three."""
+    r = random.Random(7)
+    links, want = [], {}
+    for name, n, near, ids in (("random", 500, 1, r.sample(range(10**9), 500)), ("rising", 400, 1, range(400)), ("wide", 500, 3, r.sample(range(10**9), 500)), ("ring", 301, 1, [*r.sample(range(10**9), 300), None])):
+        ids = [ids[0] if i is None else i for i in ids]
+        links += [(name, min(a, b), max(a, b)) for i, a in enumerate(ids) for b in ids[i + 1 : i + 1 + near]]
+        want |= {(name, f"k{i}"): min(ids) for i in ids}
+    links += [("pair", 5, 4), ("pair", 4, 5), ("random", 10**9 + 2, 10**9 + 1)]  # the same set numbers in two places, a link given twice
+    want |= {("pair", "k4"): 4, ("pair", "k5"): 4, ("random", f"k{10**9 + 1}"): 10**9 + 1, ("random", f"k{10**9 + 2}"): 10**9 + 1, ("alone", "k9"): 9}
+    members = spark.createDataFrame([(p, k, int(k[1:])) for p, k in want], "place string, key string, fp long")
+    df = spark.createDataFrame(links, "place string, a long, b long")
+    got = nd.classes(df, members).collect()
+    assert {(x["place"], x["key"]): x["class_id"] for x in got} == want and len(got) == len(want)
+    assert {x["links"] for x in got if x["place"] == "pair"} == {1} and {x["links"] for x in got if x["place"] == "ring"} == {2} and [x["links"] for x in got if x["place"] == "alone"] == [0]
+    with pytest.raises(RuntimeError):
+        nd.classes(df, members, rounds=2)
+
+
 def test_empty_and_estimates(spark):
     got, _, _ = pairs(spark, [("content", "a", None)])
     assert got == set()

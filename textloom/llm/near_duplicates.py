@@ -373,19 +373,33 @@ def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     return both.select("place", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).where("key_a < key_b").distinct()
 
 
-def classes(links: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round over edges (place, u, v), u > v: every edge goes on to the least smaller neighbour of its v, then all smaller
+    neighbours of a vertex are tied to the least of them. ``moved`` tells which rows are not as they were."""
+    up = edges.groupBy("place", F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    large = edges.join(up, ["place", "v"], "left").select("place", "u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+    large = large.groupBy("place", "u", "v").agg(F.max("moved").alias("moved"))
+    least = large.groupBy("place", "u").agg(F.min("v").alias("m"))
+    tied = F.array(F.struct("u", "m", (F.col("moved") | (F.col("v") != F.col("m"))).alias("moved")), F.struct(F.col("v").alias("u"), "m", F.lit(True).alias("moved")))
+    small = large.join(least, ["place", "u"]).select("place", F.explode(tied).alias("e")).select("place", "e.u", F.col("e.m").alias("v"), "e.moved")
+    return small.where("u != v").groupBy("place", "u", "v").agg(F.max("moved").alias("moved"))
+
+
+def classes(links: DataFrame, members: DataFrame, rounds: int = 100) -> DataFrame:
     """(place, key, class_id, links): the class of every record, the least fingerprint connected with it, and how many links to other sets
-    its set has. Label propagation with pointer jumping over the linked sets only; each round is cut in the shared folder."""
+    its set has. Large and small stars in turn over the linked sets only, until nothing moves: then every set is tied to the
+    least of its class alone. Rounds grow with the logarithm of the size of a class; each is cut in the shared folder. Should ``rounds``
+    not be enough, this raises rather than return unfinished classes."""
     links = cut(links.select("place", "a", "b"), "links")
-    edges = links.unionByName(links.select("place", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = edges.groupBy("place", "a").agg(F.count("*").alias("links"), F.least(F.min("b"), F.min("a")).alias("label"))
-    labels = cut(degree, "labels")
+    both = links.unionByName(links.select("place", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy("place", F.col("a").alias("fp")).agg(F.count("*").alias("links"))
+    edges = links.select("place", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     for _ in range(rounds):
-        near = edges.join(labels.select("place", F.col("a").alias("b"), "label"), ["place", "b"]).groupBy("place", "a").agg(F.min("label").alias("near"))
-        step = labels.join(near, ["place", "a"]).select("place", "a", "links", "label", F.least("label", "near").alias("next"))
-        jump = step.select("place", F.col("a").alias("next"), F.col("next").alias("far"))
-        new = cut(step.join(jump, ["place", "next"], "left").select("place", "a", "links", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")), "labels")
-        labels = new.drop("old")
-        if new.where("label != old").isEmpty():
+        new = cut(_stars(edges), "stars")
+        edges = new.drop("moved")
+        if new.where("moved").isEmpty():
             break
-    return members.join(labels.withColumnRenamed("a", "fp"), ["place", "fp"], "left").select("place", "key", F.coalesce("label", "fp").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    else:
+        raise RuntimeError(f"classes are not complete after {rounds} rounds")
+    named = members.join(degree, ["place", "fp"], "left").join(edges.select("place", F.col("u").alias("fp"), "v"), ["place", "fp"], "left")
+    return named.select("place", "key", F.coalesce("v", "fp").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
