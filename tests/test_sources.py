@@ -115,6 +115,32 @@ def test_values(spark):
     assert [r[0] for r in rows.select(values.size_bytes(F.col("s"))).collect()] == [10240, 1572864, 3 << 30, None, None]
 
 
+def test_every_name_gets_its_place(spark):
+    """Whatever it starts with, over several key ranges, with numbers no type holds, and without a task for all names."""
+    names = [f"{w}{n}.txt" for w in ("план", "отчёт", "a", "", "б ") for n in (1, 2, 10, 33, 7)] + ["", "без числа", "a.b.c", "x" + "9" * 45, "x5"]
+    df = spark.createDataFrame([(n,) for n in names * 2 + [None]], "name_lc string")
+    got = values.natural_positions(df, "name_lc")
+    parts = {n: values.natural_key(n) for n in names}
+    order = sorted(parts, key=lambda n: (parts[n][0].encode(), parts[n][1] if parts[n][1] < 10**38 else 0, n.encode()))
+    assert {r["name_lc"]: r["pos"] for r in got.collect()} == {n: i for i, n in enumerate(order, 1)}
+    assert values.natural_positions(df.limit(0), "name_lc").count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["natural_sort", "natural_sort_all"])
+def test_places_equal_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from textloom import catalog
+
+    c = duckdb.connect()
+    c.sql(f"create view files as select * from '{SF}/files.parquet'")
+    got = {tuple(r) for r in catalog.QUERIES[name](spark, SF).select("name_lc", "pos").collect()}
+    assert got == set(c.sql(catalog.SQL[name]).select("name_lc", "pos").fetchall()) and got
+
+
 def event(second, path="A", op="modify", tree_=False):
     return (dt.datetime(2025, 1, 1) + dt.timedelta(seconds=second), path, op, tree_)
 

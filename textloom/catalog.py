@@ -431,11 +431,15 @@ def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT name_lc, row_number() OVER (ORDER BY regexp_replace(name_lc, CASE WHEN regexp_matches(name_lc, '\d+(?:\.[^.]*)?$') THEN '\d+(?:\.[^.]*)?$' ELSE '$^' END, ''), coalesce(try_cast(nullif(regexp_extract(name_lc, '(\d+)(?:\.[^.]*)?$', 1), '') AS DECIMAL(38, 0)), 0), name_lc) AS pos
 FROM (SELECT DISTINCT name_lc FROM files WHERE starts_with(name_lc, 'план'))""")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in the order of their trailing numbers. The number of each place comes from counts per key range."""
-    from pyspark.sql import Window
+    """Names in the order of their trailing numbers, of those its SQL keeps. ``natural_sort_all`` gives every name its place."""
+    return values.natural_positions(table(spark, sf_dir, "files").where(F.col("name_lc").startswith("план")), "name_lc")
 
-    names = table(spark, sf_dir, "files").where(F.col("name_lc").startswith("план")).select("name_lc").distinct()
-    return names.select("name_lc", F.row_number().over(Window.orderBy(*values.natural_order(F.col("name_lc")), "name_lc")).cast("long").alias("pos"))
+
+@query(r"""SELECT name_lc, row_number() OVER (ORDER BY regexp_replace(name_lc, CASE WHEN regexp_matches(name_lc, '\d+(?:\.[^.]*)?$') THEN '\d+(?:\.[^.]*)?$' ELSE '$^' END, ''), coalesce(try_cast(nullif(regexp_extract(name_lc, '(\d+)(?:\.[^.]*)?$', 1), '') AS DECIMAL(38, 0)), 0), name_lc) AS pos
+FROM (SELECT DISTINCT name_lc FROM files WHERE name_lc IS NOT NULL)""")
+def natural_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names in the order of their trailing numbers. The number of each place comes from counts per key range."""
+    return values.natural_positions(table(spark, sf_dir, "files"), "name_lc")
 
 
 @query(r"SELECT key, length(regexp_replace(content, '[^\p{L}\p{Nl}]', '', 'g')) AS letters, length(regexp_replace(content, '[^\p{L}\p{Nl}]', '', 'g')) < 20 * len(string_split(content, chr(12))) AS thin FROM (SELECT DISTINCT key, content FROM contents WHERE content IS NOT NULL)")

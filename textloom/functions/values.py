@@ -6,9 +6,11 @@ import datetime as dt
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import cut
+
 # Unit letters, date patterns, built-in date formats of spreadsheets, extension classes.
 _UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 BUILTIN_DATES = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
@@ -100,7 +102,23 @@ def natural_key(name: str) -> tuple[str, int]:
 def natural_order(name: Column) -> list[Column]:
     number = F.regexp_extract(name, r"(\d+)(?:\.[^.]*)?$", 1)
     prefix = F.when(number == "", name).otherwise(F.regexp_replace(name, r"\d+(?:\.[^.]*)?$", ""))
-    return [prefix, F.when(number == "", 0).otherwise(number.cast("decimal(38,0)"))]
+    return [prefix, F.coalesce(number.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))]
+
+
+def natural_positions(names: DataFrame, column: str) -> DataFrame:
+    """(column, pos): the place of every distinct name in natural order, from 1. Names are sorted in key ranges spread over
+    the cluster; a name's place is its place within its range behind the counts of the ranges before, of which there is one
+    row each. Null is no name and gets no place."""
+    order = [*natural_order(F.col(column)), F.col(column)]
+    distinct = names.where(F.col(column).isNotNull()).select(column).distinct().select(column, *(o.alias(f"_o{i}") for i, o in enumerate(order[:-1])))
+    keys = ["_o0", "_o1", column]
+    parts = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    # A range is read twice, for its count and for its rows, so it is cut: sampled bounds could differ otherwise.
+    ranged = cut(distinct.repartitionByRange(int(parts), *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").select(column, (F.col("_before") + F.col("_own")).cast("long").alias("pos"))
 
 
 def letters(text: Column) -> Column:
