@@ -86,6 +86,16 @@ def test_skeletons_group(spark):
     assert confusables.look_alike_groups(df.limit(0), "v").count() == 0 and confusables.unify(df, "v").where("canonical = 'план'").count() == 8
 
 
+def test_groups_of_contents_and_of_names(spark, tmp_path):
+    """Both places have groups; equal skeletons in two places are no group."""
+    long = "смета и отчёт " * 400
+    spark.createDataFrame([("c1", long), ("c2", long.replace("о", "o")), ("c3", long), ("c4", "план"), ("c5", None)], "key string, content string").write.parquet(f"{tmp_path}/contents.parquet")
+    spark.createDataFrame([("n1", "плaн", "плaн"), ("n2", "отчёт", "отчёт"), ("n3", "oтчёт", "Oтчёт")], "key string, name_lc string, name string").write.parquet(f"{tmp_path}/files.parquet")
+    got = queries.p5_groups(spark, str(tmp_path)).collect()
+    assert {(r["place"], r["value"], r["records"], r["forms"]) for r in got} == {("content", long, 2, 2), ("content", long.replace("о", "o"), 1, 2), ("name_lc", "отчёт", 1, 2), ("name_lc", "oтчёт", 1, 2)}
+    assert len({r["group_id"] for r in got}) == 2
+
+
 @given(st.text(max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_canonical_is_stable_and_keeps_the_skeleton(s):

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.session import cut
+
 # Letters of Cyrillic and Greek that look like a letter of Latin, each with that letter.
 CYRILLIC_LATIN = dict(zip("асеорхуіѕјһԁԛԝАВЕКМНОРСТХУІЅЈԌԚԜ", "aceopxyisjhdqwABEKMHOPCTXYISJGQW"))
 GREEK_LATIN = dict(zip("ονραιυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpaiukABEZHIKMNOPTYX"))
@@ -140,11 +142,12 @@ def unify(df: DataFrame, column: str, into: str = "canonical") -> DataFrame:
     return df.withColumn(into, canonical_of(F.col(column)))
 
 
-def look_alike_groups(df: DataFrame, column: str) -> DataFrame:
-    """(group_id, value, records, forms): each distinct value of the column with how many records hold it and how many
-    distinct values share its skeleton. Values are counted before the skeleton is taken, so a value held by a third of
-    all rows is one row from then on; the skeleton travels as its 128-bit hash."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("records"))
-    keyed = values.withColumn("group_id", F.md5(skeleton_of("value")))
-    forms = keyed.groupBy("group_id").agg(F.count("*").alias("forms"))
-    return keyed.join(forms, "group_id").select("group_id", "value", "records", "forms")
+def look_alike_groups(df: DataFrame, column: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, group_id, value, records, forms): each distinct value of the column with how many records hold it and how many
+    distinct values share its skeleton; groups do not reach across the columns ``within``. Values are counted before the skeleton is
+    taken, so a value held by a third of all rows is one row from then on; the skeleton travels as its 128-bit hash. The
+    values are cut with their hashes: counting the forms reads the hashes alone."""
+    values = df.where(F.col(column).isNotNull()).groupBy(*within, F.col(column).alias("value")).agg(F.count("*").alias("records"))
+    keyed = cut(values.withColumn("group_id", F.md5(skeleton_of("value"))), "skeletons")
+    forms = keyed.groupBy(*within, "group_id").agg(F.count("*").alias("forms"))
+    return keyed.join(forms, [*within, "group_id"]).select(*within, "group_id", "value", "records", "forms")

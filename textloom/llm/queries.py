@@ -98,8 +98,8 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that look the same: groups of more than one written form."""
-    return confusables.look_alike_groups(spread(table(spark, sf_dir, "files")), "name_lc").where("forms > 1")
+    """Values that look the same, contents and names each among themselves: groups of more than one written form."""
+    return confusables.look_alike_groups(_look_values(spark, sf_dir), "value", ("place",)).where("forms > 1")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
