@@ -78,6 +78,16 @@ def test_no_disguise(text):
     assert not confusables.disguised(text) and confusables.canonical(text) == text
 
 
+def test_long_values_damaged_in_two_ways():
+    """The common path repairs its tokens; those of the second encoding are searched by themselves."""
+    first = "Дирекция утвердила подробную смету строительства четырёхэтажного административного корпуса предприятия".split()
+    second = "Срочно верните журнал регистрации документов".split()
+    bad = [misread(w, "cp866", "cp1251") for w in first] + ["日本", "слова"] + [misread(w, "cp1251", "koi8-r") for w in second]
+    found, restored = encoding.examine(" ".join(bad))
+    assert found and restored.split()[: len(first) + 2] == first + ["日本", "слова"]
+    assert {"Срочно", "журнал", "регистрации", "документов"} <= set(restored.split())
+
+
 def test_skeletons_group(spark):
     assert confusables.skeleton("Кото") == confusables.skeleton("Koто") == confusables.skeleton("Ｋото​") and confusables.skeleton(None) is None
     df = spark.createDataFrame([("план",)] * 5 + [("плaн",)] * 3 + [("другое",), (None,), ("",)], "v string")

@@ -338,7 +338,10 @@ def examine(s: str | None) -> tuple[bool, str | None]:
         fixed = apply(probe, path) if path else None
         if fixed is not None and cost(probe) - cost(fixed) > _margin(probe):
             whole = _whole(s, path)
-            return True, whole if whole is not None else _by_token(s, odd, path)
+            if whole is not None:
+                return True, whole
+            left = [t for t in odd if (f := apply(t, path)) is None or cost(f) >= cost(t)]
+            return True, _by_token(s, odd, path, {t: p for t in left for gain, p in [_token_gain(t)] if p and gain > _margin(t)})
         gains = {t: (gain, p) for t in odd for gain, p in [_token_gain(t)] if p and gain > _margin(t)}
         if gains:
             major = max(Counter(p for _, p in gains.values()).items(), key=lambda x: (x[1], x[0]))[0]
