@@ -88,6 +88,14 @@ def test_long_values_damaged_in_two_ways():
     assert {"Срочно", "журнал", "регистрации", "документов"} <= set(restored.split())
 
 
+def test_enye_read_as_cyrillic_at_every_length():
+    text = "El niсo vive en la casa de su abuela y los aсos pasan con calma por el pueblo. "
+    for n in (1, 2, 3, 40):
+        assert encoding.examine(text * n) == (True, (text * n).replace("с", "ñ"))
+    other = "The plan was read by every member of the committee before they met, and each niсo was counted among the others. "
+    assert not encoding.examine(other * 3)[0]
+
+
 def test_skeletons_group(spark):
     assert confusables.skeleton("Кото") == confusables.skeleton("Koто") == confusables.skeleton("Ｋото​") and confusables.skeleton(None) is None
     df = spark.createDataFrame([("план",)] * 5 + [("плaн",)] * 3 + [("другое",), (None,), ("",)], "v string")

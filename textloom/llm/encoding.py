@@ -18,7 +18,7 @@ import html
 import re
 import urllib.parse
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -346,16 +346,18 @@ def examine(s: str | None) -> tuple[bool, str | None]:
         if gains:
             major = max(Counter(p for _, p in gains.values()).items(), key=lambda x: (x[1], x[0]))[0]
             return True, _by_token(s, odd, major, {t: p for t, (_, p) in gains.items()})
-    elif len(s) < 200:
+    else:
         mixed = [t for t in tokens if _MIXED.search(t)]
         fixed = [apply(t, (("cp1251", "cp1252"),)) for t in mixed]
-        if mixed and all(f and _ENYE.fullmatch(f) for f in fixed):
+        if mixed and all(f and _ENYE.fullmatch(f) for f in fixed) and _may_be_spanish(tokens):
             return True, _TOKEN.sub(lambda m: dict(zip(mixed, fixed)).get(m[0], m[0]), s)
     return bool(_MARKS.search(s)) and _lost_marks(s), s
 
 
 # A short word in which the only foreign letter becomes an n with tilde between vowels.
 _ENYE = re.compile("[^a-z]*[a-z]?[aeiou]ñ[aeiou]s?[^a-z]*", re.I)
+# Common words of Spanish.
+_SPANISH = frozenset("de la el que los las en y un una por con del para se su al es".split())
 _PROBE = 100
 
 
@@ -364,6 +366,12 @@ def _path(probe: str) -> tuple:
     return search(probe, 3, 12)[1]
 
 
+def _may_be_spanish(tokens: Iterable[str]) -> bool:
+    """Whether the words around do not speak against Spanish: they are too few to tell, or two common words are among them."""
+    words = {w.lower() for t in tokens for w in _LETTERS.findall(t)}
+    return len(words) < 12 or len(words & _SPANISH) >= 2
+
+
 def _margin(t: str) -> float:
     return 2.4 if len(t) < 12 else 3.0 + 0.05 * len(t)
 
