@@ -88,6 +88,35 @@ def test_long_values_damaged_in_two_ways():
     assert {"Срочно", "журнал", "регистрации", "документов"} <= set(restored.split())
 
 
+@pytest.mark.parametrize("times", [1, 3, 60])
+def test_two_faults_in_one_value_at_every_length(times):
+    first, second = "Договор аренды нежилого помещения", "Дирекция утвердила подробную смету"
+    bad = " ".join([misread(first, "utf-8", "latin-1"), misread(second, "cp1251", "latin-1")] * times)
+    assert encoding.examine(bad) == (True, " ".join([first, second] * times))
+    few = misread("Договор смета", "utf-8", "latin-1") + " " + misread(second, "cp1251", "latin-1")
+    assert encoding.examine(few) == (True, "Договор смета " + second)
+
+
+@pytest.mark.parametrize(
+    "text,wrote,read",
+    [
+        ("文字コードの変換に失敗しました。内容を確認してください", "shift_jis", "latin-1"), ("文字コードの変換に失敗しました。内容を確認してください", "shift_jis", "cp1251"),
+        ("合同编号和付款条件见附件，请尽快确认。", "gbk", "cp1252"), ("Zażółć gęślą jaźń. Umowa dzierżawy", "utf-8", "cp1250"), ("Καλημέρα κόσμε, η σύμβαση", "utf-8", "cp1252"),
+    ],
+)
+def test_further_sets(text, wrote, read):
+    assert encoding.examine(misread(text, wrote, read)) == (True, text)
+
+
+def test_no_implausible_restoration():
+    """A value no path makes plausible is a case that keeps its form; correct text of neighbours is none."""
+    bad = misread("Zażółć gęślą jaźń. Umowa dzierżawy została podpisana", "cp1250", "latin-1")
+    found, restored = encoding.examine(bad)
+    assert found and not re.search("[а-яА-Я]", restored)
+    for text in ("Zażółć gęślą jaźń", "Šimon Žižek čeština", "«Євгеній Онєгін» та їжак"):
+        assert encoding.examine(text) == (False, text)
+
+
 def test_enye_read_as_cyrillic_at_every_length():
     text = "El niсo vive en la casa de su abuela y los aсos pasan con calma por el pueblo. "
     for n in (1, 2, 3, 40):

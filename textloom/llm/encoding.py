@@ -2,8 +2,15 @@
 
 Method: best-first graph search. A node is a string, an edge re-encodes it in one character set and decodes the
 bytes in another, or undoes an escape. Visited strings are kept by hash; a plausibility cost over characters and
-their neighbours orders the open nodes, and the cheapest string reached wins. The search runs over the suspicious
-tokens of a value (whole value, not a prefix), and the path found is then applied to the stretches they form.
+their neighbours orders the open nodes, and the cheapest string reached wins. A search expands ``NODES`` nodes of at most
+``DEPTH`` steps, whatever the length of the value.
+
+Every suspicious token of a value is searched, however many there are. Tokens fall into classes by what they can be
+(which sets make UTF-8 of them, which scripts they hold); tokens of a class are searched together, those the path found
+does not make clean are searched again without the others, at last each by itself. A token then takes the cheapest of
+all paths found for the value, so a value damaged in several ways is repaired in each. What a path makes of its tokens
+must be plausible as text (letters as frequent as their language has them, common ideographs); otherwise the
+restoration is withheld and the value keeps its form, though it is a case.
 
 Defined results: null and empty values are no case and come back unchanged; values of any length are read whole;
 repeated rows give equal results; extra columns are kept by ``repair`` and never clash (its results are one struct
@@ -17,9 +24,9 @@ import heapq
 import html
 import re
 import urllib.parse
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -32,7 +39,7 @@ ACCENTED = "àâáãäåæçèéêëìíîïñòóôõöøùúûüýÿßœšžÀ
 USUAL = "àâáãäåçèéêëíîïñóôöøùúûüßœÀÂÁÃÄÅÇÈÉÊËÍÎÏÑÓÔÖØÙÚÛÜŒ"
 TYPOGRAPHIC = "“”„«»—–…’‘№€£°²³½™·¿¡§•"
 # Characters that single-byte character sets put where letters belong, and that correct text here does not use.
-ODD = "\x80-\x9f\ufffd\u2500-\u259fЂЃѓЉЊЌЋЏђљњќћџҐґЈјЅѕЎўЄєЇїІі‡†‰ˆ˜ŠšŽž¤¦¨¯±´µ¶¸¼¾¢¥×÷ÐðÞþ√≈≤≥∙⌠⌡⌐ⁿ∞∂∑∏∆π∫◊ƒ‹›©®ıłŁˇ˘˙˚˝˛∩⌂"
+ODD = "ĂĹĽĐŃ\x80-\x9f\ufffd\u2500-\u259fЂЃѓЉЊЌЋЏђљњќћџҐґЈјЅѕЎўЄєЇїІі‡†‰ˆ˜ŠšŽž¤¦¨¯±´µ¶¸¼¾¢¥×÷ÐðÞþ√≈≤≥∙⌠⌡⌐ⁿ∞∂∑∏∆π∫◊ƒ‹›©®ıłŁˇ˘˙˚˝˛∩⌂"
 _LOW, _UP, _LAT = "а-яё", "А-ЯЁ", "A-Za-z"
 _ACC = "".join(c for c in ACCENTED if c != "ß")
 _ACC_UP = "".join(c for c in _ACC if c.isupper())
@@ -107,10 +114,26 @@ def _table(codec: str, undefined: bool = True) -> tuple[str, dict[str, int]]:
     return "".join(chars), {c: i for i, c in enumerate(chars)}
 
 
+# The character sets text of these languages has been stored in; those of Central Europe, Greece and Turkey;
+# those that take several bytes a character.
+BASE = ("cp1252", "cp1251", "cp866", "koi8-r", "mac-cyrillic", "mac-roman", "cp437", "cp850", "iso8859-5", "latin-1")
+FURTHER = ("cp1250", "iso8859-2", "cp852", "cp1253", "cp1254")
+WIDE = ("shift_jis", "gbk", "big5", "euc_jp", "euc_kr")
+#: Sets as which text of FURTHER and WIDE is usually misread.
+_READ_AS = ("latin-1", "cp1252", "cp1251")
+DEPTH, NODES = 3, 12
+
+
 @lru_cache(None)
 def _codecs() -> dict[str, tuple[str, dict[str, int]]]:
-    # The character sets text of these languages has been stored in.
-    return {c: _table(c) for c in ("cp1252", "cp1251", "cp866", "koi8-r", "mac-cyrillic", "mac-roman", "cp437", "cp850", "iso8859-5", "latin-1")}
+    return {c: _table(c) for c in BASE + FURTHER}
+
+
+def _targets(e: str) -> tuple[str, ...]:
+    """The sets the bytes of a string encoded in ``e`` may really be in."""
+    if e in FURTHER:
+        return ("utf-8",)
+    return ("utf-8", *BASE, *(FURTHER + WIDE if e in _READ_AS else ()))
 
 
 def _encode(s: str, codec: str) -> bytes | None:
@@ -122,9 +145,9 @@ def _encode(s: str, codec: str) -> bytes | None:
 
 
 def _decode(b: bytes, codec: str) -> str | None:
-    if codec == "utf-8":
+    if codec == "utf-8" or codec in WIDE:
         try:
-            return b.decode("utf-8")
+            return b.decode(codec)
         except UnicodeDecodeError:
             return None
     return b.decode("latin-1").translate(_decode_map(codec))
@@ -153,7 +176,8 @@ def _unescape(s: str) -> Iterator[tuple[str, str]]:
 
 
 # Classes of characters for the cost: A ascii letter lower, U upper, C/D Cyrillic lower/upper, L/M accented lower/upper,
-# G Greek, d digit, s space, p punctuation, t typographic, o other letter, x odd, b box, k control or loss.
+# G Greek, V/W lower/upper letter of Ukrainian or Belarusian, E Central European, d digit, s space, p punctuation, t typographic, o other letter, j kana, common ideograph or
+# Hangul, r rare ideograph, x odd, b box, k control or loss.
 @lru_cache(100_000)
 def _class(c: str) -> str:
     n = ord(c)
@@ -163,6 +187,10 @@ def _class(c: str) -> str:
         return "C"
     if "А" <= c <= "Я" or c == "Ё":
         return "D"
+    if c in "іїєґў":
+        return "V"
+    if c in "ІЇЄҐЎ":
+        return "W"
     if n == 0xFFFD or 0x80 <= n < 0xA0:
         return "k"
     if c in USUAL:
@@ -173,13 +201,37 @@ def _class(c: str) -> str:
         return "b"
     if 0x370 <= n < 0x400:
         return "G"
-    if 0x600 <= n < 0x2000 and c.isalpha() or n >= 0x3040 and c.isalpha():
+    if 0x600 <= n < 0x2000 and c.isalpha():
         return "o"
+    if c in CENTRAL:
+        return "E"
+    if 0x3001 <= n < 0x3020 or n in (0xFF01, 0xFF08, 0xFF09, 0xFF0C, 0xFF1A, 0xFF1B, 0xFF1F):
+        return "p"
+    if 0x3041 <= n < 0x3100:
+        return "j"
+    if n >= 0x3100 and c.isalpha():
+        return "r" if n > 0xFF00 or not _common(c) else "j"
     if n in INVISIBLE:
         return "p"
     return "x"
 
 
+# Letters with a mark of the languages of Central Europe and of Turkish.
+CENTRAL = "ąćęłńśźżčďěňřťůžšőűășțđğışİĄĆĘŁŃŚŹŻČĎĚŇŘŤŮŐŰŠŽ"
+
+
+def _common(c: str) -> bool:
+    """Whether an ideograph or syllable is of the first level of a national set, which holds the common ones."""
+    for codec, low, high in (("gb2312", 0xB0, 0xD7), ("euc_jp", 0xB0, 0xCF), ("euc_kr", 0xB0, 0xC8), ("big5", 0xA4, 0xC6)):
+        try:
+            b = c.encode(codec)
+        except UnicodeEncodeError:
+            continue
+        if len(b) == 2 and low <= b[0] <= high:
+            return True
+    return False
+
+
 class _Classes(dict):
     def __missing__(self, n: int) -> str:
         c = self[n] = _class(chr(n))
@@ -187,10 +239,10 @@ class _Classes(dict):
 
 
 _CLASSES = _Classes()
-_COST = {"A": 1.0, "U": 1.0, "C": 1.0, "D": 1.0, "d": 1.0, "s": 1.0, "p": 1.1, "q": 1.3, "t": 1.65, "L": 1.5, "M": 1.6, "G": 2.2, "o": 1.2, "x": 4.0, "b": 5.0, "k": 9.0}
+_COST = {"A": 1.0, "U": 1.0, "C": 1.0, "D": 1.0, "d": 1.0, "s": 1.0, "p": 1.1, "q": 1.3, "t": 1.65, "L": 1.5, "M": 1.6, "G": 2.2, "V": 2.4, "W": 2.4, "E": 2.6, "o": 1.2, "j": 2.4, "r": 6.0, "x": 4.0, "b": 5.0, "k": 9.0}
 _TURNS = [
-    (re.compile("[ACL](?=[UDM])"), 3.0),  # a capital inside a word
-    (re.compile("[AULM](?=[CD])|[CD](?=[AULM])|[AULMCD](?=G)|G(?=[AULMCD])"), 3.0),  # change of script inside a word
+    (re.compile("[ACLV](?=[UDMW])"), 3.0),  # a capital inside a word
+    (re.compile("[AULM](?=[CDVW])|[CDVW](?=[AULM])|[AULMCD](?=G)|G(?=[AULMCD])"), 3.0),  # change of script inside a word
     (re.compile("[LM](?=[LM])"), 1.8),  # accented letters in a row
     (re.compile("(?<![a-zA-Z])M(?=[A-Z]|$)"), 0.5),
     (re.compile("[AUCDLM](?=t(?=[AUCDLM]))"), 0.4),
@@ -213,10 +265,19 @@ def cost(s: str) -> float:
         low = s.lower()
         total += sum(low.count(c) * w for c, w in _RARE.items() if w)
         total += 2.0 * len(_CONSONANTS.findall(s))
+    if "o" in k:
+        # Letters of several scripts in a row are what UTF-8 makes of other bytes.
+        others = [ord(c) >> 7 for c, x in zip(s, k) if x == "o"]
+        total += 4.0 * sum(map(ne, others, others[1:]))
     return total
 
 
-def search(s: str, depth: int = 3, nodes: int = 40) -> tuple[str, tuple[tuple[str, str], ...], float]:
+#: What a step to a set of several-byte characters, or to one of the further sets, costs at once: a few accented letters must
+#: not become ideographs or rarer accented letters.
+_STEP = dict.fromkeys(WIDE, 6.0) | dict.fromkeys(FURTHER, 3.0)
+
+
+def search(s: str, depth: int = DEPTH, nodes: int = NODES) -> tuple[str, tuple[tuple[str, str], ...], float]:
     """The cheapest string reachable from s, the operations that lead to it, and its cost."""
     best = (cost(s), s, ())
     start = best[0]
@@ -237,14 +298,15 @@ def search(s: str, depth: int = 3, nodes: int = 40) -> tuple[str, tuple[tuple[st
             if raw is None or raw in done:
                 continue
             done.add(raw)
-            for d in ("utf-8", *_codecs()):
+            for d in _targets(e):
                 if d != e and (t := _decode(raw, d)) is not None:
                     nexts.append(((e, d), t))
         for op, t in nexts:
             if hash(t) in seen:
                 continue
             seen.add(hash(t))
-            c = cost(t)
+            c = cost(t) + _STEP.get(op[1], 0.0) + 3.0 * max(0, t.count("\xad") - s.count("\xad"))  # no letter becomes invisible
+            c += 0.01 * len(path)  # of equal texts the one fewer steps away
             if c < best[0]:
                 best = (c, t, (*path, op))
             heapq.heappush(heap, (c, len(seen), t, (*path, op)))
@@ -255,7 +317,7 @@ def _clean(s: str, c: float) -> bool:
     return c <= 1.3 * len(s) and not _BAD.search(s.translate(_CLASSES))
 
 
-_BAD = re.compile("[xbk]|[ACL](?=[UDM])|[AULM](?=[CDG])|[CDG](?=[AULM])|[LM](?=[LM])")
+_BAD = re.compile("[xbkr]|[ACL](?=[UDM])|[AULM](?=[CDG])|[CDG](?=[AULM])|[LM](?=[LM])")
 
 
 def apply(s: str, path: tuple) -> str | None:
@@ -317,9 +379,101 @@ _ROTATED = re.compile("[^\\w]*[a-zäöüß]{3,}[ÄÖÜ][^\\w]*$")
 
 
 @lru_cache(50_000)
-def _token_gain(token: str) -> tuple[float, tuple]:
-    t, path, c = search(token, 3, 12)
-    return cost(token) - c, path
+def _path(probe: str) -> tuple:
+    return search(probe)[1]
+
+
+@lru_cache(50_000)
+def _class_of(token: str) -> tuple:
+    """What a token can be: the sets that make UTF-8 of it, the classes of its letters, whether it holds escapes."""
+    utf8 = tuple(e for e in _codecs() if (raw := _encode(token, e)) is not None and not raw.isascii() and _decode(raw, "utf-8") is not None)
+    kinds = "".join(sorted({{"U": "A", "D": "C", "M": "L", "k": "x", "E": "L", "W": "V"}.get(k, k) for k in token.translate(_CLASSES)} & set("ACLGVxb")))
+    return utf8, kinds, bool(_ESCAPES.search(token))
+
+
+#: Length of the strings in which tokens of one class are searched together.
+_TOGETHER = 100
+
+
+def _gain(t: str, path: tuple) -> float:
+    f = apply(t, path)
+    return -1e9 if f is None else cost(t) - cost(f)
+
+
+def paths_of(odd: list[str]) -> dict[str, tuple]:
+    """The cheapest path of every token, () where none makes it cheaper; no token is left unsearched."""
+    groups: dict[tuple, list[str]] = {}
+    for t in odd:
+        groups.setdefault(_class_of(t), []).append(t)
+    pool: dict[tuple, None] = {}
+    for key in sorted(groups):
+        left = sorted(groups[key], key=lambda t: (-len(set(t)), t))
+        while left:
+            some, n = [], 0
+            for t in left:
+                if n + len(t) <= _TOGETHER or not some:
+                    some.append(t)
+                    n += len(t) + 1
+                    if n > _TOGETHER:
+                        break
+            path = _path(" ".join(some))
+            done = {t for t in left if path and (f := apply(t, path)) is not None and (c := cost(f)) < cost(t) and _clean(f, c)}
+            if path:
+                pool[path] = None
+            if len(some) > 1 and (own := _path(left[0])):
+                pool[own] = None
+            if not done:
+                # Together they find nothing: the first was searched by itself, the others go once more without it.
+                done = {left[0]}
+            left = [t for t in left if t not in done]
+    return _assigned(odd, list(pool))
+
+
+def _assigned(odd: list[str], pool: list[tuple]) -> dict[str, tuple]:
+    """The path of every token. The path that helps all tokens most goes first and keeps what it makes cheaper, unless another
+    is better for a token by more than its margin: one short token can be cheap by chance in many sets."""
+    gain = {p: {t: _gain(t, p) for t in odd} for p in pool}
+    out: dict[str, tuple] = dict.fromkeys(odd, ())
+    left, rest = set(odd), list(pool)
+    while left and rest:
+        total = {p: sum(max(-50.0, g) for t in left if (g := gain[p][t]) > -1e8) for p in rest}
+        best = max(rest, key=lambda p: (round(total[p], 6), -len(p)))
+        took = {t for t in left if gain[best][t] > 0}
+        for t in took:
+            out[t] = best
+        left -= took
+        rest.remove(best)
+    for t in odd:
+        other = max(pool, key=lambda p: gain[p][t], default=())
+        if out[t] and gain[other][t] - gain[out[t]][t] > _margin(t):
+            out[t] = other
+    used = sorted({p for p in out.values() if p})
+    for t in odd:
+        other = max((p for p in used if (f := apply(t, p)) is not None and _clean(f, cost(f))), key=lambda p: gain[p][t], default=())
+        if out[t] and other and gain[other][t] - gain[out[t]][t] > 0.5:
+            out[t] = other
+    return out
+
+
+def plausible(texts: list[str]) -> bool:
+    """Whether restored tokens are text: hardly any odd character, and Cyrillic letters about as frequent as in Russian."""
+    s = " ".join(texts)
+    k = s.translate(_CLASSES)
+    letters = sum(c.isalpha() for c in s)
+    if 4 * sum(k.count(x) for x in "xbkr") > letters or 3 * sum(bool(_BROKEN.search(t.translate(_APOSTROPHES).translate(_CLASSES))) for t in texts) > len(texts):
+        return False
+    low = [c for c in s.lower() if c in _RARE]
+    if len(low) < 12:
+        return not _NEVER.search(s.lower())
+    vowels = sum(c in "аеёиоуыэюя" for c in low) / len(low)
+    return sum(_RARE[c] for c in low) <= 0.32 * len(low) and 0.2 <= vowels <= 0.65 and 20 * len(_NEVER.findall(s.lower())) <= len(low)
+
+
+#: A sign inside a word, a script that changes, a capital behind a small letter.
+_BROKEN = re.compile("[AUCDLMG]t[AUCDLMG]|[AULM][CDG]|[CDG][AULM]|[ACL][UDM]|[LM]{3}")
+_APOSTROPHES = dict.fromkeys(map(ord, "’‘–—"), "'")
+#: What Russian words do not hold.
+_NEVER = re.compile("\\b[ьъы]|[аеёиоуыэюя][ьъ]|[бвгджзклмнпрстфхцчшщьъ]й\\w|\\bй[^оеи]|[жшчщ][ыэя]|[гкх][ыэя]|ц[яюэ]")
 
 
 def examine(s: str | None) -> tuple[bool, str | None]:
@@ -333,19 +487,20 @@ def examine(s: str | None) -> tuple[bool, str | None]:
     if len(odd) == 1 and _ROTATED.match(odd[0]):
         odd = []
     if odd:
-        probe = " ".join(odd)
-        path = _path(probe) if len(probe) <= _PROBE else _guess(odd)
-        fixed = apply(probe, path) if path else None
-        if fixed is not None and cost(probe) - cost(fixed) > _margin(probe):
-            whole = _whole(s, path)
-            if whole is not None:
-                return True, whole
-            left = [t for t in odd if (f := apply(t, path)) is None or cost(f) >= cost(t)]
-            return True, _by_token(s, odd, path, {t: p for t in left for gain, p in [_token_gain(t)] if p and gain > _margin(t)})
-        gains = {t: (gain, p) for t in odd for gain, p in [_token_gain(t)] if p and gain > _margin(t)}
-        if gains:
-            major = max(Counter(p for _, p in gains.values()).items(), key=lambda x: (x[1], x[0]))[0]
-            return True, _by_token(s, odd, major, {t: p for t, (_, p) in gains.items()})
+        path_of = paths_of(odd)
+        strong = {t for t, p in path_of.items() if p and _gain(t, p) > _margin(t)}
+        by_path: dict[tuple, list[str]] = {}
+        for t, p in path_of.items():
+            if p:
+                by_path.setdefault(p, []).append(t)
+        sure = []
+        for p, own in by_path.items():
+            others = [t for t in odd if path_of[t] != p and t not in strong]
+            together = sum(_gain(t, p) for t in own) + sum(max(-50.0, g) for t in others if (g := _gain(t, p)) > -1e8)
+            if any(t in strong for t in own) or together > _margin(" ".join(own + others)):
+                sure.append(p)
+        if sure:
+            return True, _restored(s, path_of, sure)
     else:
         mixed = [t for t in tokens if _MIXED.search(t)]
         fixed = [apply(t, (("cp1251", "cp1252"),)) for t in mixed]
@@ -354,16 +509,39 @@ def examine(s: str | None) -> tuple[bool, str | None]:
     return bool(_MARKS.search(s)) and _lost_marks(s), s
 
 
+def _restored(s: str, path_of: dict[str, tuple], sure: list[tuple]) -> str:
+    """s with the paths that give plausible text applied: to the whole if one serves, else token by token; a token between
+    two of the same path that is no suspect by itself goes with them if that makes it cheaper."""
+    good = [p for p in sure if plausible([apply(t, p) for t, q in path_of.items() if q == p])]
+    if not good:
+        return s
+    if len(good) == 1 and all(q == good[0] or _gain(t, good[0]) > -1e8 and not q for t, q in path_of.items()):
+        t = apply(s, good[0])
+        plain = [x for x in dict.fromkeys(_TOKEN.findall(s)) if x not in path_of and not x.isascii()]
+        if t is not None and cost(t) < cost(s) and sum(_gain(x, good[0]) for x in plain) >= 0:
+            return t
+    parts = re.split("([ \n\t\r\f]+)", s)
+    own = [path_of[t] if path_of.get(t) in good else None for t in parts[::2]]
+    before, after, last = [], [], None
+    for p in own:
+        last = p or last
+        before.append(last)
+    last = None
+    for p in reversed(own):
+        last = p or last
+        after.append(last)
+    for i, (p, a, b) in enumerate(zip(own, before, reversed(after))):
+        t = parts[2 * i]
+        p = p or (a if a == b and a is not None and not t.isascii() and t not in path_of and _gain(t, a) > 0 else None)
+        if p:
+            parts[2 * i] = apply(t, p)
+    return "".join(parts)
+
+
 # A short word in which the only foreign letter becomes an n with tilde between vowels.
 _ENYE = re.compile("[^a-z]*[a-z]?[aeiou]ñ[aeiou]s?[^a-z]*", re.I)
 # Common words of Spanish.
 _SPANISH = frozenset("de la el que los las en y un una por con del para se su al es".split())
-_PROBE = 100
-
-
-@lru_cache(20_000)
-def _path(probe: str) -> tuple:
-    return search(probe, 3, 12)[1]
 
 
 def _may_be_spanish(tokens: Iterable[str]) -> bool:
@@ -376,37 +554,6 @@ def _margin(t: str) -> float:
     return 2.4 if len(t) < 12 else 3.0 + 0.05 * len(t)
 
 
-def _guess(odd: list[str]) -> tuple:
-    """The path for many tokens: searched on some of them and, should it not serve them all, on all."""
-    some, n = [], 0
-    for t in sorted(odd, key=lambda t: (-len(set(t)), t)):
-        if n + len(t) <= _PROBE or not some:
-            some.append(t)
-            n += len(t) + 1
-    path = _path(" ".join(some))
-    whole = " ".join(odd)
-    if path and apply(whole, path) is None:
-        return search(whole, 3, 3)[1]
-    return path
-
-
-def _whole(s: str, path: tuple) -> str | None:
-    t = apply(s, path)
-    return t if t is not None and cost(t) < cost(s) else None
-
-
-def _by_token(s: str, odd: list[str], path: tuple, own: dict[str, tuple] | None = None) -> str:
-    """s with the path applied to its suspicious tokens where that makes them cheaper, else the token's own path."""
-    to = {}
-    for t in odd:
-        for p in (path, *([own[t]] if own and t in own else ())):
-            f = apply(t, p)
-            if f is not None and cost(f) < cost(t):
-                to[t] = f
-                break
-    return _TOKEN.sub(lambda m: to.get(m[0], m[0]), s)
-
-
 def _lost_marks(s: str) -> bool:
     """Question marks that stand for letters: runs of them as words, or one inside a word."""
     for m in _MARKS.finditer(s):
