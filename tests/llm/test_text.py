@@ -78,6 +78,27 @@ def test_no_disguise(text):
     assert not confusables.disguised(text) and confusables.canonical(text) == text
 
 
+def test_prototypes_of_the_published_table():
+    """Letters of scripts far from Latin, letters outside modern alphabets, characters alike beyond letters."""
+    for word in ("Ꭺpple", "ꓮpple"):
+        assert confusables.canonical(word) == "Apple" and confusables.disguised(word) and confusables.skeleton(word) == confusables.skeleton("Apple")
+    assert confusables.canonical("ɑpple") == "apple" and confusables.canonical("օrange") == "orange" and confusables.disguised("аррӏе")
+    for whole in ("кӏант", "kapı", "ꓮꓯꓰ", "ᎠᏂ", "Հայաստան", "Привет", "ɑ"):
+        assert not confusables.disguised(whole), whole
+    same = [confusables.skeleton(x) for x in ("l", "I", "1", "|")]
+    assert len(set(same)) == 1 and confusables.skeleton("0") == confusables.skeleton("O") and confusables.skeleton("rn") == confusables.skeleton("m") != confusables.skeleton("n")
+    assert confusables.canonical("соrrео") == "correo" and confusables.canonical("archiνe") == "archive"
+
+
+def test_tables_travel(tmp_path):
+    import pickle
+
+    look = pickle.loads(pickle.dumps(confusables.look()))
+    assert look.canonical("Чтo") == "Что" and len(look.table) > 6000
+    with pytest.raises(Exception):
+        confusables.confusables(str(tmp_path / "none.jar"))
+
+
 def test_long_values_damaged_in_two_ways():
     """The common path repairs its tokens; those of the second encoding are searched by themselves."""
     first = "Дирекция утвердила подробную смету строительства четырёхэтажного административного корпуса предприятия".split()

@@ -73,8 +73,8 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.mapInArrow(run, "place string, key string, restored string, changed boolean").distinct()
 
 
-def _disguised(value: str | None, raw: str | None) -> bool:
-    return confusables.disguised(value) and not encoding.examine(raw)[0]
+def _disguised(look: confusables.Look) -> Callable[..., bool]:
+    return lambda value, raw: look.disguised(value) and not encoding.examine(raw)[0]
 
 
 def _look_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,15 +83,15 @@ def _look_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(_look_values(spark, sf_dir), _disguised, ["place", "key"]).distinct()
+    return kept(_look_values(spark, sf_dir), _disguised(confusables.look()), ["place", "key"]).distinct()
 
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _look_values(spark, sf_dir)
+    values, look = _look_values(spark, sf_dir), confusables.look()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(p, k, c) for p, k, v in zip(*(b.column(i).to_pylist() for i in range(3))) for c in [confusables.canonical(v)] if c != v]
+            out = [(p, k, c) for p, k, v in zip(*(b.column(i).to_pylist() for i in range(3))) for c in [look.canonical(v)] if c != v]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], names=["place", "key", "canonical"])
 
     return values.drop("raw").mapInArrow(run, "place string, key string, canonical string").distinct()
