@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import analysis, marks, paths, values
 from textloom.operators import capture, index, maintenance, search, snippets
 from textloom.operators.search import Options
-from textloom.session import table
+from textloom.session import fingerprint, shared_dir, table
 from textloom.streaming import watch
 
 QUERIES: dict = {}
@@ -59,10 +61,15 @@ s{n} AS (SELECT key, size, mtime, CASE WHEN cloud THEN 4611686018427387904 ELSE
     return "WITH " + ",".join(steps) + "\n" + "\nUNION ALL ".join(f"SELECT run_id, key FROM d{n}" for n in range(1, 9))
 
 
+def _job(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The place of a job in the shared folder: the same for the same tables, in every process."""
+    return f"{shared_dir(spark)}/capture-{name}-{fingerprint(table(spark, sf_dir, 'file_listing'))}"
+
+
 @query(_p4_sql())
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    return capture.found(t("file_listing"), t("index_runs"), t("files"), t("extractor_versions"))
+    return capture.found(t("file_listing"), t("index_runs"), t("files"), t("extractor_versions"), _job(spark, sf_dir, "found"))
 
 
 @query("""
@@ -71,9 +78,11 @@ SELECT l.run_id, coalesce(r.batches_committed, 0) AS durable_batch, count(*) AS
 FROM file_listing l LEFT JOIN (SELECT DISTINCT run_id, batches_committed FROM index_runs) r USING (run_id)
 WHERE path IS NOT NULL GROUP BY ALL""")
 def p4_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The write-ahead plan: per run its entries, offsets and how far it becomes durable."""
-    plan = capture.write_ahead(capture.change_log(table(spark, sf_dir, "file_listing"), 8), table(spark, sf_dir, "index_runs"))
-    return plan.groupBy("run_id", "durable_batch").agg(F.sum("entries").alias("entries"), F.min("first_offset").alias("first_us"), F.max("last_offset").alias("last_us"))
+    """The write-ahead plan: per run its sightings, first and last instant and how far it becomes durable."""
+    job = capture.CaptureJob(spark, f"{_job(spark, sf_dir, 'plan')}-{uuid.uuid4().hex}")
+    job.append(table(spark, sf_dir, "file_listing"))
+    plan = job.planned(job.plan(table(spark, sf_dir, "index_runs"), table(spark, sf_dir, "extractor_versions")), "runs")
+    return plan.select("run_id", "durable_batch", F.col("sightings").alias("entries"), "first_us", "last_us")
 
 
 # ---- search; the SQL restates analysis, statistics and scores from the tables
@@ -348,15 +357,15 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT key, CASE WHEN ((ver >> 61) & 1) = 1 AND ((ver >> 62) & 1) = 0 THEN (ver >> 32) & 255 ELSE 0 END AS attempts, CASE WHEN ((ver >> 61) & 1) = 1 AND ((ver >> 62) & 1) = 0 THEN (ver & 4294967295) + least(21600 * (1::BIGINT << least(greatest((ver >> 32) & 255, 1) - 1, 20)::INTEGER), 604800) END AS due FROM files")
 def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("ver")
-    return table(spark, sf_dir, "files").select("key", marks.retry_attempts(v).alias("attempts"), F.when(marks.is_retry(v), marks.retry_due(v)).alias("due")).distinct()
+    m = marks.unpacked(F.col("ver"))
+    return table(spark, sf_dir, "files").select("key", m["failures"].alias("attempts"), F.when(m["failed"], m["due"]).alias("due")).distinct()
 
 
 @query("""SELECT key, CASE WHEN k % 3 = 0 THEN 4611686018427387904 WHEN k % 3 = 1 THEN 2305843009213693952 | (2::BIGINT << 40) | (least(CASE WHEN ((ver >> 61) & 1) = 1 AND ((ver >> 62) & 1) = 0 THEN (ver >> 32) & 255 ELSE 0 END + 1, 255) << 32) | 1741406400 ELSE 2 END AS mark
 FROM (SELECT DISTINCT key, coalesce(ver, 0) AS ver, length(key) AS k FROM files)""")
 def version_mark_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.length("key") % 3
-    mark = marks.version_mark(k == 0, k == 1, F.lit(2), F.col("ver"), F.lit(1741406400))
+    mark = marks.packed(F.lit(2), k == 0, k == 1, F.col("ver"), F.lit(1741406400))
     return table(spark, sf_dir, "files").select("key", mark.alias("mark")).distinct()
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.marks import RETRY_BASE_S, freshness
+from textloom.functions.marks import FIRST_WAIT_S, verdict
 from textloom.functions.paths import covers, extension, file_name, folder, path_key, stem
 
 # What a walk leaves out.
@@ -93,13 +93,13 @@ def build_record(listing: DataFrame) -> DataFrame:
     return listing.withColumns({"key": path_key(p), "name": stem(p), "name_lc": F.lower(file_name(p)), "ext": F.when(ext == "", F.lit(None)).otherwise(ext), "folder": folder(p)})
 
 
-def classify(listing: DataFrame, existing: DataFrame, versions: Column, now_s: Column, force: bool = False, base: int = RETRY_BASE_S) -> DataFrame:
+def classify(listing: DataFrame, existing: DataFrame, versions: Column, now_s: Column, force: bool = False, base: int = FIRST_WAIT_S) -> DataFrame:
     """(key, action) of listing(key, size, mtime_ms, cloud, readable, ...) against existing(key, size, mtime_ms, ver):
     new, changed, stale, deferred, unchanged, unreadable, or vanished for records no longer listed."""
     new = listing.select("key", F.lit(True).alias("listed"), "size", F.coalesce("mtime_ms", F.lit(0)).alias("mtime_ms"), F.coalesce("cloud", F.lit(False)).alias("cloud"), F.coalesce("readable", F.lit(True)).alias("readable"), versions.alias("version"), now_s.alias("now_s"))
     old = existing.select("key", F.lit(True).alias("stored"), F.col("size").alias("s"), F.coalesce("mtime_ms", F.lit(0)).alias("m"), F.coalesce("ver", F.lit(0)).alias("v"))
     both = new.join(old, "key", "full_outer")
-    fresh = freshness(F.col("v"), F.col("version"), F.col("cloud"), F.col("now_s"), base)
+    fresh = verdict(F.col("v"), F.col("version"), F.col("cloud"), F.col("now_s"), base)
     action = (
         F.when(F.col("listed").isNull(), "vanished")
         .when(~F.col("readable"), "unreadable")

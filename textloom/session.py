@@ -58,8 +58,7 @@ def release(spark: SparkSession) -> int:
     """Deletes the tables cut so far, once no result that reads them is needed any more; returns how many."""
     n = len(_CUTS)
     while _CUTS:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, _CUTS.pop())
     return n
 
 
@@ -78,6 +77,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A name for the files a table is read from: their paths, lengths and times of change. The same tables have the same
+    name in every process; a table that was written anew has another."""
+    import hashlib
+
+    spark = df.sparkSession
+    h = hashlib.md5()
+    for f in sorted(df.inputFiles()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        h.update(f"{f}|{s.getLen()}|{s.getModificationTime()}\n".encode())
+    return h.hexdigest()
+
+
 def bounded_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, which is counted up to that bound; else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
