@@ -1,15 +1,22 @@
 """Near-duplicate records: b-bit MinHash candidates, collision-corrected estimates, exact check, classes.
 
-Method. Each value becomes its set of shingles. Of each of ``hashes`` minima only the low bits are kept: eight bits of
+Method. Each value becomes its set of shingles. Of each of ``hashes`` minima only the low bits are kept: sixteen bits of
 each are packed into the signature whose slices are the band keys, one bit of each into a 128-bit sketch. Records that
 share a band key are candidates; the number of equal sketch bits, corrected for the half that agree by chance, estimates
 their similarity, and only candidates within ``slack`` standard errors of the threshold live on. Those are checked
-exactly on their whole texts.
+exactly on their whole texts. A band key is 48 bits of minima, so values that share nothing meet by chance in
+n * n / 2**49 pairs a band: a million at 3 * 10**10 values.
 
-Scale. Values with equal shingle sets are one representative (fingerprint) before anything is compared, so a group of
-copies costs one row. Band rows are shuffled once by band key and compared in sorted runs; a run above ``run_cap`` is
-not compared in its task but cut into blocks whose pairs are spread over the cluster, so no bucket lands in one task
-and none is dropped. Signatures are written to the shared folder once, since they are read three times.
+Scale. Values with equal shingle sets are one representative (fingerprint): a task sends the first of them it sees, and those
+of several tasks fall together when band rows are sorted, before anything is compared. Band rows are shuffled once by band key
+and compared in sorted runs; a run above ``run_cap`` is not compared in its task but cut into blocks whose pairs are spread over
+the cluster, so no bucket lands in one task and none is dropped. For the exact check the candidate pairs are grouped by
+their common neighbour, large groups in blocks: a text is sent to its group once, not with each of its pairs, and its
+shingles are made once.
+
+The result are links between representatives and the membership of records, ``classes`` names the class of every record.
+``record_pairs`` is for queries that must list pairs of records: it keeps the keys of a set in packets of bounded size and
+pairs packets, so a text held by a third of all records is spread as well.
 
 Defined results: null values and values with fewer words or characters than a shingle have no shingles and no
 partners; repeated (id, value) rows count once; very long texts are used whole; ties do not occur (similarity is compared
@@ -27,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import cut
+from textloom.session import bounded_broadcast, cut
 
 WORD = re.compile(r"[^\W_]+")
 RUN_CAP = 1024
 BLOCK = 8192
+#: Pairs a group of the exact check takes before it is cut into blocks.
+GROUP = 20_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,20 +104,20 @@ def _coefficients(hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(x: np.ndarray, starts: np.ndarray, hashes: int = 128, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(eight low bits of each minimum, one bit of each packed into 64-bit words) of the sets that begin at starts."""
+    """(sixteen low bits of each minimum, one bit of each packed into 64-bit words) of the sets that begin at starts."""
     a, b = _coefficients(hashes, seed)
-    low = np.empty((len(starts), hashes), np.uint8)
+    low = np.empty((len(starts), hashes), np.uint16)
     buffer = np.empty_like(x)
     for i in range(hashes):
         np.multiply(x, a[i], out=buffer)
         buffer += b[i]
         m = np.minimum.reduceat(buffer, starts)
-        low[:, i] = (_mix(m) >> np.uint64(20)).astype(np.uint8)
-    bits = np.packbits(low & 1, axis=1, bitorder="little")
+        low[:, i] = (_mix(m) >> np.uint64(20)).astype(np.uint16)
+    bits = np.packbits((low & 1).astype(np.uint8), axis=1, bitorder="little")
     return low, np.ascontiguousarray(bits).view(np.uint64).reshape(len(starts), hashes // 64)
 
 
-def _sign(kinds: dict[str, tuple[str, int]], skip: Callable[[str, str], bool] | None) -> Callable:
+def _sign(kinds: dict[str, tuple[str, int]], skip: Callable[[str, str], bool] | None, used: int, hashes: int) -> Callable:
     schema = pa.schema([("place", pa.string()), ("key", pa.string()), ("fp", pa.int64()), ("first", pa.bool_()), ("sig", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +142,8 @@ def _sign(kinds: dict[str, tuple[str, int]], skip: Callable[[str, str], bool] |
                         seen.add(fp)
                     if len(seen) > 1_000_000:
                         seen.clear()
-                    low, words = signatures(x, starts)
+                    low, words = signatures(x, starts, hashes)
+                    low = np.ascontiguousarray(low[:, :used])
                     w = words.view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -141,7 +151,7 @@ def _sign(kinds: dict[str, tuple[str, int]], skip: Callable[[str, str], bool] |
                             pa.array([k for k, _ in part], pa.string()),
                             pa.array(fps),
                             pa.array(first, pa.bool_()),
-                            pa.array([r.tobytes() for r in low], pa.binary()),
+                            pa.array([r.tobytes() if f else None for r, f in zip(low, first)], pa.binary()),
                             pa.array(np.ascontiguousarray(w[:, 0])),
                             pa.array(np.ascontiguousarray(w[:, 1])),
                         ],
@@ -180,7 +190,8 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _runs(least: int, cap: int) -> Callable:
-    """Compares the members of each run of equal band keys in a sorted stream; members of longer runs go on as rows."""
+    """Compares the members of each run of equal band keys in a stream sorted by band key and fingerprint, where rows of one
+    fingerprint become one; members of longer runs go on as rows."""
 
     def hot(band: int, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, at: int) -> pa.RecordBatch:
         n = len(fp)
@@ -191,15 +202,18 @@ def _runs(least: int, cap: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64)] * 4
         passed: int | None = None  # the band whose run is passed on
-        at = 0
+        at, before = 0, None  # how many of it were, and the last fingerprint
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             band, fp, s0, s1 = (np.concatenate([r, x]) for r, x in zip(rest, new))
+            if len(band):
+                own = np.concatenate(([(band[0], fp[0]) != (passed, before)], (band[1:] != band[:-1]) | (fp[1:] != fp[:-1])))
+                band, fp, s0, s1 = band[own], fp[own], s0[own], s1[own]
             if passed is not None:
                 k = int(np.argmax(band != passed)) if (band != passed).any() else len(band)
                 if k:
                     yield hot(passed, fp[:k], s0[:k], s1[:k], at)
-                    at += k
+                    at, before = at + k, fp[k - 1]
                 band, fp, s0, s1 = band[k:], fp[k:], s0[k:], s1[k:]
                 if not len(band):
                     rest = [band, fp, s0, s1]
@@ -209,7 +223,7 @@ def _runs(least: int, cap: int) -> Callable:
                 continue
             last = len(band) - int(np.argmax((band != band[-1])[::-1])) if (band != band[-1]).any() else 0
             if len(band) - last > cap:
-                passed, at = int(band[-1]), 0
+                passed, before = int(band[-1]), fp[-1]
                 yield hot(passed, fp[last:], s0[last:], s1[last:], 0)
                 at = len(band) - last
                 rest = [x[:0] for x in (band, fp, s0, s1)]
@@ -284,20 +298,26 @@ def _hot_pairs(hot: DataFrame, least: int, block: int) -> DataFrame:
     """Pairs of the long runs: every pair of blocks is one piece of work somewhere on the cluster."""
     sizes = hot.groupBy("band").agg((F.max("at") / block).cast("long").alias("last"))
     own = (F.col("at") / block).cast("long")
-    spread = hot.join(sizes, "band").select("band", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"), "a", "s0", "s1")
+    spread = hot.join(bounded_broadcast(sizes), "band").select("band", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"), "a", "s0", "s1")
     keyed = spread.select("band", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"), "a", "s0", "s1")
     return keyed.repartition("band", "l", "r").sortWithinPartitions("band", "l", "r").mapInArrow(_blocks(least), _PAIR_DDL)
 
 
-def _jaccard(kinds: dict[str, tuple[str, int]], threshold: float) -> Callable:
+def _check(kinds: dict[str, tuple[str, int]], threshold: float) -> Callable:
+    """Exact similarity of the pairs of each group; a stream sorted by (group, pair or text), the texts of a group first."""
     schema = pa.schema([("place", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
         for batch in batches:
             out = []
-            for place, a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                kind, n = kinds[place]
-                p, q = shingle_set(x, kind, n), shingle_set(y, kind, n)
+            for group, is_pair, place, a, b, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if group != now:
+                    now, sets = group, {}
+                if not is_pair:
+                    sets[a] = (place, shingle_set(text, *kinds[place]))
+                    continue
+                (place, p), (_, q) = sets[a], sets[b]
                 common = len(p & q)
                 j = common / (len(p) + len(q) - common)
                 if j >= threshold:
@@ -307,6 +327,17 @@ def _jaccard(kinds: dict[str, tuple[str, int]], threshold: float) -> Callable:
     return run
 
 
+def _grouped(pairs: DataFrame, most: int) -> DataFrame:
+    """(group, a, b): pairs by the least neighbour of their a, so that the pairs of one family meet; a group of more than ``most``
+    pairs is cut into blocks of its texts, a group per pair of blocks, which bounds the texts a task holds."""
+    low = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("hub"))
+    at = cut(pairs.join(low, "a").select("hub", "a", "b"), "grouped")
+    large = at.groupBy("hub").agg(F.ceil(F.sqrt(F.count("*") / F.lit(most))).cast("int").alias("n")).where("n > 1")
+    some = at.join(bounded_broadcast(large), "hub", "left")
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.coalesce("n", F.lit(1)))
+    return some.select(F.xxhash64("hub", block("a"), block("b")).alias("group"), "a", "b")
+
+
 def _only(values: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """The rows of values whose (place, key) may be wanted, by a bitmap of fixed size (``bits``, 1 MB): fewer rows are
     shuffled to the join that follows, which decides. The bitmap is the broadcast side and never grows."""
@@ -325,52 +356,69 @@ def near_duplicates(
     threshold: float = 0.8,
     skip: Callable[[str, str], bool] | None = None,
     hashes: int = 128,
-    rows_per_band: int = 4,
+    rows_per_band: int = 3,
+    bands: int = 33,
     slack: float = 4.0,
     run_cap: int = RUN_CAP,
     block: int = BLOCK,
+    group: int = GROUP,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members) of values(place, key, value).
 
     links(place, a, b, similarity): pairs of different shingle sets, named by fingerprint, with similarity >= threshold.
-    members(place, key, fp): which records have a set that takes part in a link or, as a copy, in a class.
+    members(place, key, fp): the set of every record.
     ``kinds`` gives each place its shingle: ("words" or "characters", how many in a row). ``skip(place, value)`` leaves
-    values out. With 128 hashes in bands of four, a pair at similarity 0.6 becomes a candidate with probability 0.988, at
-    0.7 with 0.9998.
+    values out. With 33 bands of three minima, a pair at similarity 0.6 becomes a candidate with probability 0.9997, at
+    0.7 with 0.999999.
     """
+    if bands * rows_per_band > hashes or hashes != 128:
+        raise ValueError("the sketch takes 128 hashes, and the bands no more than there are")
     values = values.select("place", "key", "value")
-    signed = cut(values.mapInArrow(_sign(kinds, skip), "place string, key string, fp long, first boolean, sig binary, s0 long, s1 long"), "signatures")
-    n = hashes // rows_per_band
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * rows_per_band + 1, rows_per_band), F.col("place")) for i in range(n)))
-    bands = signed.where("first").select(F.explode(keys).alias("band"), "fp", "s0", "s1")
+    width = 2 * rows_per_band
+    signed = cut(values.mapInArrow(_sign(kinds, skip, bands * rows_per_band, hashes), "place string, key string, fp long, first boolean, sig binary, s0 long, s1 long"), "signatures")
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width), F.col("place")) for i in range(bands)))
+    rows = signed.where("first").select(F.explode(keys).alias("band"), "fp", "s0", "s1")
     least = _least_bits(threshold, slack)
-    found = cut(bands.repartition("band").sortWithinPartitions("band").mapInArrow(_runs(least, run_cap), _PAIR_DDL), "candidates")
+    found = cut(rows.repartition("band").sortWithinPartitions("band", "fp").mapInArrow(_runs(least, run_cap), _PAIR_DDL), "candidates")
     hot = found.where("hot")
     pairs = found.where(~F.col("hot"))
     if not hot.isEmpty():
         pairs = pairs.unionByName(_hot_pairs(hot, least, block))
-    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    members = signed.select("place", "key", "fp").distinct()
-    wanted = signed.select("place", "key", "fp").join(ends, "fp").groupBy("place", "fp").agg(F.min("key").alias("key"))
-    wanted = cut(wanted, "wanted")
+    grouped = _grouped(cut(pairs.select("a", "b").distinct(), "pairs"), group)
+    needed = grouped.select("group", F.explode(F.array("a", "b")).alias("fp")).distinct()
+    # One record stands for a set; its text is looked up by key, once.
+    ends = grouped.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = cut(signed.where("first").select("place", "key", "fp").join(ends, "fp").groupBy("place", "fp").agg(F.min("key").alias("key")), "wanted")
     texts = _only(values, wanted).join(wanted, ["place", "key"]).groupBy("place", "fp").agg(F.min("value").alias("value"))
-    left = texts.select(F.col("place"), F.col("fp").alias("a"), F.col("value").alias("x"))
-    right = texts.select(F.col("fp").alias("b"), F.col("value").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").select("place", "a", "b", "x", "y").mapInArrow(_jaccard(kinds, threshold), "place string, a long, b long, similarity double")
-    return links, members
+    sent = needed.join(texts, "fp").select("group", F.lit(False).alias("is_pair"), "place", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "value")
+    asked = grouped.select("group", F.lit(True).alias("is_pair"), F.lit(None).cast("string").alias("place"), "a", "b", F.lit(None).cast("string").alias("value"))
+    links = sent.unionByName(asked).repartition("group").sortWithinPartitions("group", "is_pair").mapInArrow(_check(kinds, threshold), "place string, a long, b long, similarity double")
+    return links, signed.select("place", "key", "fp")
+
 
+def record_pairs(links: DataFrame, members: DataFrame, packet: int = 1000) -> DataFrame:
+    """(place, key_a, key_b), key_a < key_b: links brought back to records, and the pairs of exact copies.
 
-def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(place, key_a, key_b), key_a < key_b: links brought back to records, and the pairs of exact copies."""
-    ma = members.select(F.col("fp").alias("a"), F.col("key").alias("ka"))
-    mb = members.select(F.col("fp").alias("b"), F.col("key").alias("kb"))
-    across = links.select("place", "a", "b").join(ma, "a").join(mb, "b").select("place", "ka", "kb")
-    many = members.groupBy("place", "fp").agg(F.count("*").alias("n")).where("n > 1").select("place", F.col("fp").alias("a"))
-    twins = members.join(many.select(F.col("a").alias("fp"), F.lit(1).alias("_many")), "fp").select("place", "fp", "key")
-    same = twins.select("place", "fp", F.col("key").alias("ka")).join(twins.select("fp", F.col("key").alias("kb")), "fp").where("ka < kb").select("place", "ka", "kb")
-    both = across.unionByName(same)
-    return both.select("place", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).where("key_a < key_b").distinct()
+    The records of a set are kept in packets of about ``packet`` keys, and packets are paired: the output of a large set is as large as
+    its pairs, but spread over the cluster."""
+    links = cut(links.select("place", "a", "b"), "links")
+    ends = links.select("place", F.explode(F.array("a", "b")).alias("fp"))
+    sizes = members.groupBy("place", "fp").agg(F.count("*").alias("n"))
+    busy = sizes.join(ends.distinct().withColumn("linked", F.lit(True)), ["place", "fp"], "left").where("n > 1 or linked").select("place", "fp", F.ceil(F.col("n") / packet).cast("int").alias("packets"))
+    into = F.pmod(F.xxhash64("key"), F.col("packets")).cast("int")
+    packets = members.join(busy, ["place", "fp"]).groupBy("place", "fp", "packets", into.alias("no")).agg(F.collect_set("key").alias("keys"))
+    packets = cut(packets, "packets")
+    a = packets.select("place", F.col("fp").alias("a"), F.col("keys").alias("ka"))
+    b = packets.select("place", F.col("fp").alias("b"), F.col("keys").alias("kb"))
+    across = links.join(a, ["place", "a"]).join(b, ["place", "b"]).select("place", "ka", "kb")
+    within = packets.where("size(keys) > 1").select("place", F.col("keys").alias("ka"), F.col("keys").alias("kb"))
+    # Sets of several packets only: each packet with every later one.
+    several = packets.where("packets > 1")
+    left = several.select("place", "fp", F.col("keys").alias("ka"), F.explode(F.expr("sequence(no, packets - 1)")).alias("with"), F.col("no").alias("i")).where("with > i")
+    beside = left.join(several.select("place", "fp", F.col("no").alias("with"), F.col("keys").alias("kb")), ["place", "fp", "with"]).select("place", "ka", "kb")
+    both = across.unionByName(within).unionByName(beside)
+    each = both.select("place", F.explode("ka").alias("ka"), "kb").select("place", "ka", F.explode("kb").alias("kb"))
+    return each.select("place", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).where("key_a < key_b").distinct()
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -401,5 +449,5 @@ def classes(links: DataFrame, members: DataFrame, rounds: int = 100) -> DataFram
             break
     else:
         raise RuntimeError(f"classes are not complete after {rounds} rounds")
-    named = members.join(degree, ["place", "fp"], "left").join(edges.select("place", F.col("u").alias("fp"), "v"), ["place", "fp"], "left")
+    named = members.distinct().join(degree, ["place", "fp"], "left").join(edges.select("place", F.col("u").alias("fp"), "v"), ["place", "fp"], "left")
     return named.select("place", "key", F.coalesce("v", "fp").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
