@@ -77,23 +77,25 @@ def _screen() -> tuple[np.ndarray, np.ndarray]:
     for i in (1, 2, 3, 4):
         bad[i, 10] = bad[10, i] = bad[8, i] = bad[12, i] = True
     bad[1:7, 11] = True
-    return of, bad
+    of[65535] = 0
+    return of, bad.ravel()
 
 
 def suspicious(s: str) -> bool:
     """Whether s holds anything SUSPECT looks for; one vectorised pass over its code points."""
     of, bad = _screen()
     n = np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32)
-    k = of[np.where(n < 65536, n, 0)]
+    k = of.take(n, mode="clip")  # what lies beyond the basic plane has the class of its last character, which is none
     if len(k) < 2:
         return bool(len(k)) and bool(k[0] == 7)
-    if bad[k[:-1], k[1:]].any():
+    if bad.take(k[:-1] * np.uint8(16) + k[1:]).any():
         return True
-    d = k == 9
-    if (d[:-2] & d[2:] & (k[1:-1] != 14)).any():
+    d = np.flatnonzero(k == 9)
+    if len(d) > 1 and any(b - a == 2 and k[a + 1] != 14 for a, b in zip(d.tolist(), d[1:].tolist())):
         return True
     u = k == 4
-    if (u[:-3] & u[1:-2] & u[2:-1] & u[3:]).any():
+    v = u[:-1] & u[1:]
+    if (v[:-2] & v[2:]).any():
         return True
     return bool((k == 13).any()) and _ESCAPES.search(s) is not None
 
@@ -240,31 +242,46 @@ class _Classes(dict):
 
 _CLASSES = _Classes()
 _COST = {"A": 1.0, "U": 1.0, "C": 1.0, "D": 1.0, "d": 1.0, "s": 1.0, "p": 1.1, "q": 1.3, "t": 1.65, "L": 1.5, "M": 1.6, "G": 2.2, "V": 2.4, "W": 2.4, "E": 2.6, "o": 1.2, "j": 2.4, "r": 6.0, "x": 4.0, "b": 5.0, "k": 9.0}
-_TURNS = [
-    (re.compile("[ACLV](?=[UDMW])"), 3.0),  # a capital inside a word
-    (re.compile("[AULM](?=[CDVW])|[CDVW](?=[AULM])|[AULMCD](?=G)|G(?=[AULMCD])"), 3.0),  # change of script inside a word
-    (re.compile("[LM](?=[LM])"), 1.8),  # accented letters in a row
-    (re.compile("(?<![a-zA-Z])M(?=[A-Z]|$)"), 0.5),
-    (re.compile("[AUCDLM](?=t(?=[AUCDLM]))"), 0.4),
-    (re.compile("[tx](?=[tx])"), 1.0),
-    (re.compile("[LMx](?=d)"), 3.0),  # a letter with a mark before a figure
-]
+# What two classes in a row cost, as (first, second, cost).
+_TURNS = (
+    ("ACLV", "UDMW", 3.0),  # a capital inside a word
+    ("AULM", "CDVW", 3.0), ("CDVW", "AULM", 3.0), ("AULMCD", "G", 3.0), ("G", "AULMCD", 3.0),  # change of script inside a word
+    ("LM", "LM", 1.8),  # accented letters in a row
+    ("tx", "tx", 1.0),
+    ("LMx", "d", 3.0),  # a letter with a mark before a figure
+)
+_LONE = re.compile("(?<![a-zA-Z])M(?=[A-Z]|$)")
+_INNER = re.compile("[AUCDLM](?=t(?=[AUCDLM]))")
+
+
+class _Pairs(dict):
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        v = self[pair] = float(sum(c for a, b, c in _TURNS if pair[0] in a and pair[1] in b))
+        return v
+
+
+class _Zero(dict):
+    def __missing__(self, key) -> float:
+        return 0.0
+
+
+_PAIRS = _Pairs()
 # How often the letters of Russian occur, in per mille.
 _RU = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 2, 1, 4)))
-_RARE = {c: round(max(0.0, 1.6 - 0.35 * (n**0.5)), 2) for c, n in _RU.items()}
+_RARE = _Zero({c: round(max(0.0, 1.6 - 0.35 * (n**0.5)), 2) for c, n in _RU.items()})
 _CONSONANTS = re.compile("[бвгджзйклмнпрстфхцчшщъь]{4,}|[аеёиоуыэюя]{4,}", re.I)
 
 
 def cost(s: str) -> float:
     """Implausibility of s as text: a sum over its characters and over neighbours that correct text does not put together."""
     k = s.translate(_CLASSES)
-    total = sum(_COST[x] * n for x, n in ((x, k.count(x)) for x in _COST) if n)
-    for pattern, each in _TURNS:
-        total += each * len(pattern.findall(k))
+    total = sum(map(_COST.__getitem__, k)) + sum(map(_PAIRS.__getitem__, zip(k, k[1:])))
+    if "M" in k:
+        total += 0.5 * len(_LONE.findall(k))
+    if "t" in k:
+        total += 0.4 * len(_INNER.findall(k))
     if "C" in k or "D" in k:
-        low = s.lower()
-        total += sum(low.count(c) * w for c, w in _RARE.items() if w)
-        total += 2.0 * len(_CONSONANTS.findall(s))
+        total += sum(map(_RARE.__getitem__, s.lower())) + 2.0 * len(_CONSONANTS.findall(s))
     if "o" in k:
         # Letters of several scripts in a row are what UTF-8 makes of other bytes.
         others = [ord(c) >> 7 for c, x in zip(s, k) if x == "o"]
@@ -395,6 +412,7 @@ def _class_of(token: str) -> tuple:
 _TOGETHER = 100
 
 
+@lru_cache(200_000)
 def _gain(t: str, path: tuple) -> float:
     f = apply(t, path)
     return -1e9 if f is None else cost(t) - cost(f)
