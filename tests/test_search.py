@@ -128,7 +128,7 @@ def test_fragment_and_marks():
 def test_old_format_is_refused(spark, tables, tmp_path):
     path = f"file://{tmp_path}/ix"
     index.build(spark, *tables, path, stem=False)
-    spark.createDataFrame([(0, False, 1)], "format int, stem boolean, total long").write.mode("overwrite").json(f"{path}/manifest")
+    (tmp_path / "ix/commits/000000002.json").write_text('{"format": 0, "commit": 2}')
     with pytest.raises(ValueError):
         index.Index(spark, path)
 

@@ -29,46 +29,46 @@ def rels(*items):
 
 DOCX = package(parts={
     "[Content_Types].xml": "<Types/>", "_rels/.rels": rels(("r1", "officeDocument", "word/document.xml")), "word/_rels/document.xml.rels": rels(("h", "header", "header1.xml")),
-    "word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>Tom &amp; Jerry жы</w:t><w:tab/><w:t>после</w:t></w:r><w:del><w:delText>нет</w:delText></w:del></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>',
-    "word/header1.xml": '<w:hdr xmlns:w="w"><w:p><w:r><w:t>Ромашка</w:t></w:r></w:p></w:hdr>', "docProps/core.xml": '<cp xmlns:dc="d"><dc:title>Договор</dc:title><dc:creator>Иванов</dc:creator></cp>',
+    "word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>Сорт &lt;Б&gt;, 7 мешков</w:t><w:tab/><w:t>склад</w:t></w:r><w:del><w:delText>вычеркнуто</w:delText></w:del></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>вес</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>цена</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>',
+    "word/header1.xml": '<w:hdr xmlns:w="w"><w:p><w:r><w:t>Мельница на Сосьве</w:t></w:r></w:p></w:hdr>', "docProps/core.xml": '<cp xmlns:dc="d"><dc:title>Накладная</dc:title><dc:creator>Верещагина</dc:creator></cp>',
 })
 XLSX = package(parts={
     "[Content_Types].xml": "<Types/>", "_rels/.rels": rels(("r1", "officeDocument", "xl/workbook.xml")),
     "xl/_rels/workbook.xml.rels": rels(("s1", "worksheet", "worksheets/sheet1.xml"), ("s2", "worksheet", "worksheets/sheet2.xml"), ("ss", "sharedStrings", "sharedStrings.xml"), ("st", "styles", "styles.xml")),
-    "xl/workbook.xml": f'<workbook xmlns:r="{REL}"><sheets><sheet name="Пусто" r:id="s2"/><sheet name="Продажи" r:id="s1"/></sheets></workbook>',
-    "xl/sharedStrings.xml": "<sst><si><t>Простая</t></si><si><r><t>Состав</t></r><r><t>ная</t></r><rPh><t>нет</t></rPh></si></sst>",
+    "xl/workbook.xml": f'<workbook xmlns:r="{REL}"><sheets><sheet name="Пусто" r:id="s2"/><sheet name="Урожай" r:id="s1"/></sheets></workbook>',
+    "xl/sharedStrings.xml": "<sst><si><t>Рожь</t></si><si><r><t>Овёс яро</t></r><r><t>вой</t></r><rPh><t>чтение</t></rPh></si></sst>",
     "xl/styles.xml": '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
-    "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c><c s="1"><v>45366</v></c></row><row><c><v>0.25</v></c><c t="e"><v>#N/A</v></c><c t="b"><v>1</v></c></row></sheetData></worksheet>',
+    "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c><c s="1"><v>44927</v></c></row><row><c><v>3.75</v></c><c t="e"><v>#N/A</v></c><c t="b"><v>1</v></c></row></sheetData></worksheet>',
     "xl/worksheets/sheet2.xml": "<worksheet><sheetData/></worksheet>",
 })
 PPTX = package(parts={
     "[Content_Types].xml": "<Types/>", "_rels/.rels": rels(("r1", "officeDocument", "ppt/presentation.xml")),
     "ppt/_rels/presentation.xml.rels": rels(("a", "slide", "slides/slide1.xml"), ("b", "slide", "slides/slide2.xml")),
     "ppt/presentation.xml": f'<p:presentation xmlns:p="p" xmlns:r="{REL}"><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>',
-    "ppt/slides/slide1.xml": '<s xmlns:a="a"><a:p><a:r><a:t>Второй</a:t></a:r><a:fld><a:t>7</a:t></a:fld></a:p></s>', "ppt/slides/slide2.xml": '<s xmlns:a="a"><a:p><a:r><a:t>Первый</a:t></a:r></a:p></s>',
+    "ppt/slides/slide1.xml": '<s xmlns:a="a"><a:p><a:r><a:t>Итоги жатвы</a:t></a:r><a:fld><a:t>7</a:t></a:fld></a:p></s>', "ppt/slides/slide2.xml": '<s xmlns:a="a"><a:p><a:r><a:t>План сева</a:t></a:r></a:p></s>',
 })
-ODS = package(parts={"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": '<o xmlns:t="t" xmlns:x="x"><body><t:table t:name="Лист"><t:table-row><t:table-cell><x:p>a</x:p></t:table-cell><t:table-cell><x:p>b</x:p></t:table-cell></t:table-row></t:table></body></o>'})
-ODT = package(parts={"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": '<o xmlns:x="x"><body><x:h>Заголовок</x:h><x:p>Один<x:s/>два <x:span>три</x:span> четыре</x:p></body></o>'})
+ODS = package(parts={"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": '<o xmlns:t="t" xmlns:x="x"><body><t:table t:name="Амбар"><t:table-row><t:table-cell><x:p>мука</x:p></t:table-cell><t:table-cell><x:p>крупа</x:p></t:table-cell></t:table-row></t:table></body></o>'})
+ODT = package(parts={"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": '<o xmlns:x="x"><body><x:h>Погода</x:h><x:p>Дождь<x:s/>и <x:span>ветер</x:span> с утра</x:p></body></o>'})
 
 
 def test_packages():
     d = X.extract(DOCX, "docx")
-    assert d.text == "Tom & Jerry жы\tпосле\na\tb\nРомашка" and "Иванов" in d.meta and d.status == "ok"
+    assert d.text == "Сорт <Б>, 7 мешков\tсклад\nвес\tцена\nМельница на Сосьве" and "Верещагина" in d.meta and d.status == "ok"
     s = X.extract(XLSX, "doc")  # by content, not by extension
-    assert s.units == ["Лист «Продажи»"] and s.text.startswith("Простая\tСоставная\t15.03.2024 2024-03-15") and "0.25" in s.text and "N/A" not in s.text
+    assert s.units == ["Лист «Урожай»"] and s.text.startswith("Рожь\tОвёс яровой\t01.01.2023 2023-01-01") and "3.75" in s.text and "N/A" not in s.text
     p = X.extract(PPTX, "pptx")
-    assert p.units == ["Слайд 1", "Слайд 2"] and p.text.replace("\n", "") == "Первый\fВторой"
-    assert X.extract(ODS, "ods").units == ["Лист «Лист»"] and X.extract(ODS, "ods").text == "a\tb"
-    assert X.extract(ODT, "odt").text == "Заголовок\nОдин два три четыре"
+    assert p.units == ["Слайд 1", "Слайд 2"] and p.text.replace("\n", "") == "План сева\fИтоги жатвы"
+    assert X.extract(ODS, "ods").units == ["Лист «Амбар»"] and X.extract(ODS, "ods").text == "мука\tкрупа"
+    assert X.extract(ODT, "odt").text == "Погода\nДождь и ветер с утра"
 
 
 def test_plain_markup_and_rtf():
-    html = "<html><head><style>x{}</style></head><body><!-- c --><h1>Раз &amp; два</h1><p>три&nbsp;&#1078;&unknown;</p><script>var x</script></body></html>"
-    assert X.extract(html.encode(), "xls").text == "Раз & два\nтри ж&unknown;"
-    assert X.extract("Договор аренды помещения".encode("cp1251"), "txt").text == "Договор аренды помещения"
-    assert X.extract("Привет мир, это проверка".encode("cp866"), "txt").text == "Привет мир, это проверка"
-    assert X.extract("Привет".encode("utf-16"), "txt").text == "Привет" and X.extract("Привет мир".encode("utf-16-le"), "txt").text == "Привет мир"
-    assert X.extract(rb"{\rtf1\ansi\ansicpg1251{\fonttbl x}Hello \u1055?\u1088?\par{\*\gen y}\'e4\'ee\'e3}", "rtf").text == "Hello Пр\nдог"
+    html = "<html><head><style>x{}</style></head><body><!-- c --><h1>Пар &amp; жар &deg;C</h1><p>баня&nbsp;&#1096;&unknown;</p><script>var x</script></body></html>"
+    assert X.extract(html.encode(), "xls").text == "Пар & жар °C\nбаня ш&unknown;"
+    assert X.extract("Мельник смолол всю рожь".encode("cp1251"), "txt").text == "Мельник смолол всю рожь"
+    assert X.extract("Вечером над рекой туман".encode("cp866"), "txt").text == "Вечером над рекой туман"
+    assert X.extract("Сосна".encode("utf-16"), "txt").text == "Сосна" and X.extract("Ель и кедр".encode("utf-16-le"), "txt").text == "Ель и кедр"
+    assert X.extract(rb"{\rtf1\ansi\ansicpg1251{\fonttbl x}Barn \u1057?\u1084?\par{\*\gen y}\'f0\'ee\'e6\'fc}", "rtf").text == "Barn См\nрожь"
     assert X.extract(b"a\r\nb\rc", "txt").text == "a\nb\nc"
 
 
@@ -78,8 +78,8 @@ def test_broken_files_fail_alone(data, ext, status):
 
 
 def test_limit_and_registry():
-    got = X.extract("слово ".encode() * 100_000, "txt", max_text=10_001)
-    assert got.truncated and len(got.text.encode()) <= 10_001 and got.text.startswith("слово слово")
+    got = X.extract("зерно ".encode() * 70_000, "txt", max_text=9_001)
+    assert got.truncated and len(got.text.encode()) <= 9_001 and got.text.startswith("зерно зерно")
     X.register("zzz", lambda data, doc: doc.skipped("own"))
     assert X.extract(b"x", "zzz").status == "skipped: own"
     assert X.extract(b"x", "txt", size=1 << 40).status.startswith("skipped")
@@ -106,10 +106,10 @@ def test_tree(spark, tmp_path):
 def test_values(spark):
     assert values.parse_size("1,5M") == 1572864 and values.parse_size("10 KB") == 10240 and values.parse_size("7") == 7 and values.parse_size("x") is None
     assert values.format_size(1536) == "1,5 КБ" and values.format_size(5) == "5 Б"
-    assert values.parse_date_ms("15.03.2024", zone=dt.timezone.utc) == 1710460800000 and values.parse_date_ms("2024-03-15", True, dt.timezone.utc) == 1710547199000 and values.parse_date_ms("?") is None
-    assert values.serial_text(45366.0) == "15.03.2024 2024-03-15" and values.serial_text(0.5) == "12:00" and values.serial_text(9e9) is None
+    assert values.parse_date_ms("01.01.2023", zone=dt.timezone.utc) == 1672531200000 and values.parse_date_ms("2023-01-01", True, dt.timezone.utc) == 1672617599000 and values.parse_date_ms("?") is None
+    assert values.serial_text(44927.0) == "01.01.2023 2023-01-01" and values.serial_text(0.5) == "12:00" and values.serial_text(9e9) is None
     assert values.is_date_format(14) and values.is_date_format(170, "dd/mm") and not values.is_date_format(170, '"day"0.0') and not values.is_date_format(2)
-    assert values.number_text(3.0) == "3" and values.number_text(45678.5) == "45678.5"
+    assert values.number_text(3.0) == "3" and values.number_text(311.75) == "311.75"
     assert sorted(["slide10.xml", "slide2.xml"], key=values.natural_key) == ["slide2.xml", "slide10.xml"]
     rows = spark.createDataFrame([("10K",), ("1,5M",), ("3 gb",), ("x",), (None,)], "s string")
     assert [r[0] for r in rows.select(values.size_bytes(F.col("s"))).collect()] == [10240, 1572864, 3 << 30, None, None]
@@ -233,26 +233,26 @@ def test_binary_office_formats():
     import struct
 
     atom = lambda kind, data, box=False: struct.pack("<HHI", 15 if box else 0, kind, len(data)) + data
-    master, body = atom(1016, atom(4000, "Образец".encode("utf-16-le")), True), atom(1006, atom(4000, "Стратегия\rразвития".encode("utf-16-le")) + atom(4008, b"Roadmap") + atom(4008, b"*"), True)
+    master, body = atom(1016, atom(4000, "Макет".encode("utf-16-le")), True), atom(1006, atom(4000, "Сроки\rуборки".encode("utf-16-le")) + atom(4008, b"Harvest") + atom(4008, b"*") + atom(4008, b"Harvest"), True) + atom(4041, atom(4008, b"handout"), True) + atom(1010, atom(4008, b"caption"), True)
     got = X.extract(compound(PowerPoint_Document=master + body), "ppt")
-    assert got.text == "Стратегия\nразвития\nRoadmap" and got.status == "ok"
+    assert got.text == "Сроки\nуборки\nHarvest\nHarvest" and got.status == "ok"
     rec = lambda kind, data: struct.pack("<HH", kind, len(data)) + data
-    sst = rec(0xFC, struct.pack("<II", 2, 2) + struct.pack("<HB", 8, 1) + "Тюльпаны".encode("utf-16-le") + struct.pack("<HB", 3, 0) + b"abc")
+    sst = rec(0xFC, struct.pack("<II", 2, 2) + struct.pack("<HB", 8, 1) + "Гречиха1".encode("utf-16-le") + struct.pack("<HB", 3, 0) + b"abc")
     head = rec(0x809, b"\0" * 16) + rec(0xE0, struct.pack("<HH", 0, 0)) + rec(0xE0, struct.pack("<HH", 0, 14)) + sst
     bound = lambda at: rec(0x85, struct.pack("<IH", at, 0) + bytes([4, 1]) + "Лист".encode("utf-16-le"))
     at = len(head) + len(bound(0))
-    sheet = rec(0x809, b"\0" * 16) + rec(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + rec(0x203, struct.pack("<HHHd", 0, 1, 1, 45366.0)) + rec(0x27E, struct.pack("<HHHI", 1, 0, 0, 7 << 2 | 2))
+    sheet = rec(0x809, b"\0" * 16) + rec(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + rec(0x203, struct.pack("<HHHd", 0, 1, 1, 44927.0)) + rec(0x27E, struct.pack("<HHHI", 1, 0, 0, 7 << 2 | 2))
     got = X.extract(compound(Workbook=head + bound(at) + sheet), "xls")
-    assert got.units == ["Лист «Лист»"] and got.text == "Тюльпаны\t15.03.2024 2024-03-15\n7"
-    text = "Договор аренды\rстрока\x13 PAGE \x141\x15\rКолонтитул\rКолонтитул\r"
-    raw, n = text.encode("utf-16-le"), text.index("Колонтитул")
+    assert got.units == ["Лист «Лист»"] and got.text == "Гречиха1\t01.01.2023 2023-01-01\n7"
+    text = "Опись амбара\rряд\x13 PAGE \x141\x15\rСверху\rСверху\r"
+    raw, n = text.encode("utf-16-le"), text.index("Сверху")
     fib = bytearray(0x400)
     struct.pack_into("<HH", fib, 0, 0xA5EC, 0xC1)
     struct.pack_into("<i", fib, 76, n)
     clx = b"\x02" + struct.pack("<I", 16) + struct.pack("<II", 0, len(text)) + struct.pack("<HIH", 0, 0x400, 0)
     struct.pack_into("<II", fib, 0x1A2, 0, len(clx))
     got = X.extract(compound(WordDocument=bytes(fib) + raw, **{"0Table": clx}), "doc")
-    assert got.text == "Договор аренды\nстрока1\nКолонтитул"
+    assert got.text == "Опись амбара\nряд1\nСверху"
     struct.pack_into("<H", fib, 10, 0x100)
     assert X.extract(compound(WordDocument=bytes(fib) + raw, **{"0Table": clx}), "doc").status == "encrypted"
     assert X.extract(compound(EncryptedPackage=b"x"), "docx").status == "encrypted"
@@ -275,14 +275,14 @@ def test_command_line(spark, tmp_path, capsys):
     from textloom.__main__ import main
 
     (tmp_path / "docs").mkdir()
-    (tmp_path / "docs" / "Договор.docx").write_bytes(DOCX)
-    (tmp_path / "docs" / "notes.txt").write_text("Проверка аренды помещения")
+    (tmp_path / "docs" / "Накладная.docx").write_bytes(DOCX)
+    (tmp_path / "docs" / "notes.txt").write_text("Список мешков и бочек")
     main(["index", str(tmp_path / "docs"), "--index", str(tmp_path / "ix")])
-    main(["search", "аренда", "--index", str(tmp_path / "ix"), "--json"])
+    main(["search", "мешок", "--index", str(tmp_path / "ix"), "--json"])
     out = capsys.readouterr().out
     assert '"total": 1' in out and "notes.txt" in out
-    main(["search", "Jerry", "--index", str(tmp_path / "ix"), "--paths"])
-    assert "Договор.docx" in capsys.readouterr().out
+    main(["search", "Верещагина", "--index", str(tmp_path / "ix"), "--paths"])
+    assert "Накладная.docx" in capsys.readouterr().out
     main(["extract", str(tmp_path / "docs" / "notes.txt")])
     assert "ok" in capsys.readouterr().out
     with pytest.raises(SystemExit):

@@ -1,8 +1,10 @@
 """Search over an index: clauses to matches, boolean algebra, scores, filters, order, pages, counts.
 
-A query becomes one DataFrame of leaf matches (key, gid, score). All groups are decided by a single aggregation on
-key: a record matches if every group is there, and its score is the sum of its leaves. Exclusions are an anti join, filters
-predicates on the attribute table, pushed into its scan. Texts are read only for the page that is returned.
+A query becomes one DataFrame of leaf matches (doc, gid, score). All groups are decided by a single aggregation on
+the document number: a record matches if every group is there, and its score is the sum of its leaves. Terms and prefixes are
+ranges of the posting files, which are in term order; a word with typing errors is first looked up in the vocabulary.
+Exclusions are an anti join, filters predicates on the attributes, pushed into their scan. Texts are read only for the page that is
+returned. ``answer`` keeps the matches of a query once, for its page and its total.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from pyspark.sql import types as T
 
 from textloom.functions.analysis import osa, terms
 from textloom.functions.paths import covers
-from textloom.operators.index import Index
+from textloom.operators.index import LENGTHS, Index
 from textloom.plans import lang
 from textloom.plans.lang import ANY, CONTENT, FUZZY, META, NAME, PATH, PHRASE, PREFIX, WORD, Clause, Parsed
+from textloom.session import cut
 
 K1, B = 1.2, 0.75
+#: So many terms may stand in a scan's filter.
+MOST_TERMS = 1000
 # Weight of each field for words and phrases, prefixes, and words with typing errors.
 RANKED = {"content": 1.0, "name": 4.0, "meta": 2.5, "folder": 1.0}
 PREFIXED = {"content": 1.0, "name": 3.0, "meta": 2.0, "folder": 1.0}
@@ -62,8 +67,11 @@ def _frequencies(ix: Index, name: str, words: list[str]) -> dict[str, int]:
     return {r["term"]: r["df"] for r in rows}
 
 
-def _in_field(ix: Index, name: str, words: list[str]) -> DataFrame:
-    return ix.postings.where((F.col("field") == name) & F.col("term").isin(words))
+def _in_field(ix: Index, name: str, test: Column, *columns: str) -> DataFrame:
+    """(term, doc, tf, dl and more) of the blocks of a field whose term passes; the test is pushed into the scan."""
+    each = F.explode(F.arrays_zip("docs", "tfs", "dls", *columns)).alias("p")
+    rows = ix.blocks.where((F.col("field") == name) & test).select("term", each)
+    return rows.select("term", F.col("p.docs").alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), *(F.col(f"p.{c}").alias(c) for c in columns))
 
 
 def _term_leaf(ix: Index, name: str, words: list[str]) -> DataFrame | None:
@@ -72,7 +80,7 @@ def _term_leaf(ix: Index, name: str, words: list[str]) -> DataFrame | None:
     if not df:
         return None
     w = reduce(lambda c, t: c.when(F.col("term") == t, idf(ix.total, df[t])), df, F.when(F.lit(False), 0.0))
-    return _in_field(ix, name, list(df)).select("key", (F.lit(RANKED[name]) * _bm25(ix, name, F.col("tf"), w)).alias("score"))
+    return _in_field(ix, name, F.col("term").isin(list(df))).select("doc", (F.lit(RANKED[name]) * _bm25(ix, name, F.col("tf"), w)).alias("score"))
 
 
 def _phrase_leaf(ix: Index, name: str, words: list[str]) -> DataFrame | None:
@@ -80,7 +88,7 @@ def _phrase_leaf(ix: Index, name: str, words: list[str]) -> DataFrame | None:
     df = _frequencies(ix, name, words)
     if len(df) < len(set(words)):
         return None
-    rows = _in_field(ix, name, list(df)).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
+    rows = _in_field(ix, name, F.col("term").isin(list(df)), "positions").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
     rows = rows.where(F.size("at") == len(df))
 
     def begun(i: int, t: str) -> Column:
@@ -88,7 +96,7 @@ def _phrase_leaf(ix: Index, name: str, words: list[str]) -> DataFrame | None:
 
     starts = [begun(i, t) for i, t in enumerate(words)]
     hits = rows.withColumn("tf", F.size(reduce(F.array_intersect, starts))).where("tf > 0")
-    return hits.select("key", (F.lit(RANKED[name]) * _bm25(ix, name, F.col("tf"), sum(idf(ix.total, df[t]) for t in words))).alias("score"))
+    return hits.select("doc", (F.lit(RANKED[name]) * _bm25(ix, name, F.col("tf"), sum(idf(ix.total, df[t]) for t in words))).alias("score"))
 
 
 def _all_leaf(ix: Index, name: str, words: list[str]) -> DataFrame | None:
@@ -98,15 +106,27 @@ def _all_leaf(ix: Index, name: str, words: list[str]) -> DataFrame | None:
     if len(df) < len(unique):
         return None
     w = reduce(lambda c, t: c.when(F.col("term") == t, idf(ix.total, df[t]) * words.count(t)), df, F.when(F.lit(False), 0.0))
-    scored = _in_field(ix, name, unique).select("key", _bm25(ix, name, F.col("tf"), w).alias("s"))
-    return scored.groupBy("key").agg(F.count("*").alias("n"), F.sum("s").alias("s")).where(F.col("n") == len(unique)).select("key", (F.lit(RANKED[name]) * F.col("s")).alias("score"))
+    scored = _in_field(ix, name, F.col("term").isin(unique)).select("doc", _bm25(ix, name, F.col("tf"), w).alias("s"))
+    return scored.groupBy("doc").agg(F.count("*").alias("n"), F.sum("s").alias("s")).where(F.col("n") == len(unique)).select("doc", (F.lit(RANKED[name]) * F.col("s")).alias("score"))
 
 
-def _pattern_leaf(ix: Index, name: str, test: Column, weight: float) -> DataFrame:
-    """Any term of the field that passes the test; a constant score per record."""
-    vocabulary = ix.vocabulary.where((F.col("field") == name) & test).select("term")
-    hits = ix.postings.where(F.col("field") == name).join(vocabulary, "term", "left_semi")
-    return hits.select("key").distinct().select("key", F.lit(weight).alias("score"))
+def _holding(rows: DataFrame, weight: float) -> DataFrame:
+    """A constant score for every document of blocks, once."""
+    return rows.select(F.explode("docs").alias("doc")).distinct().select("doc", F.lit(weight).alias("score"))
+
+
+def _prefix_leaf(ix: Index, name: str, prefix: str, weight: float) -> DataFrame:
+    """Terms with a beginning are neighbours: a range of the posting files."""
+    return _holding(ix.blocks.where((F.col("field") == name) & (F.col("term") != LENGTHS) & F.col("term").startswith(prefix)), weight)
+
+
+def _mistyped_leaf(ix: Index, name: str, word: str, distance: int, weight: float) -> DataFrame:
+    """The terms within the distance are looked up in the vocabulary; up to MOST_TERMS of them are named in the scan of the
+    postings, more (which short words may have) are joined with it."""
+    terms = ix.vocabulary.where((F.col("field") == name) & within(word, distance)).select("term")
+    few = [r["term"] for r in terms.limit(MOST_TERMS + 1).collect()]
+    rows = ix.blocks.where(F.col("field") == name)
+    return _holding(rows.where(F.col("term").isin(few)) if len(few) <= MOST_TERMS else rows.join(terms, "term", "left_semi"), weight)
 
 
 def within(word: str, distance: int) -> Column:
@@ -117,11 +137,11 @@ def within(word: str, distance: int) -> Column:
 
 
 def _const(df: DataFrame, weight: float) -> DataFrame:
-    return df.select("key", F.lit(weight).alias("score"))
+    return df.select("doc", F.lit(weight).alias("score"))
 
 
 def clause_matches(ix: Index, c: Clause) -> DataFrame | None:
-    """(key, score) of every alternative of a clause; None if it has none, in which case it is dropped."""
+    """(doc, score) of every alternative of a clause; None if it has none, in which case it is dropped."""
     fields, out = SCOPED[c.scope], []
     if c.kind in (WORD, PHRASE):
         words, raw = terms(c.text, ix.stem), terms(c.text, False)
@@ -140,19 +160,18 @@ def clause_matches(ix: Index, c: Clause) -> DataFrame | None:
             return None
     elif c.kind == PREFIX:
         p = c.text.lower().replace("ё", "е")
-        out += [_pattern_leaf(ix, name, F.col("term").startswith(p), PREFIXED[name]) for name in fields]
+        out += [_prefix_leaf(ix, name, p, PREFIXED[name]) for name in fields]
         if c.scope in (ANY, NAME):
             out.append(_const(ix.files.where(F.col("name_lc").startswith(p)), NAME_START))
     elif c.kind == FUZZY:
         words = terms(c.text, ix.stem)
         if not words:
             return None
-        test = within(words[0], c.distance)
-        out += [_pattern_leaf(ix, name, test, MISTYPED[name]) for name in fields if name in MISTYPED]
+        out += [_mistyped_leaf(ix, name, words[0], c.distance, MISTYPED[name]) for name in fields if name in MISTYPED]
         if not out:
             return None
     out = [o for o in out if o is not None]
-    return reduce(DataFrame.unionByName, out) if out else ix.files.limit(0).select("key", F.lit(0.0).alias("score"))
+    return reduce(DataFrame.unionByName, out) if out else ix.files.limit(0).select("doc", F.lit(0.0).alias("score"))
 
 
 def filters(o: Options, parsed: Parsed) -> Column | None:
@@ -178,20 +197,22 @@ def matches(ix: Index, o: Options) -> tuple[DataFrame, bool]:
     if test is not None:
         files = files.where(test)
     leaves = []
-    for gid, group in enumerate(parsed.groups):
+    for group in parsed.groups:
         got = [m for c in group if (m := clause_matches(ix, c)) is not None]
         if got:
-            leaves.append(reduce(DataFrame.unionByName, got).select("key", F.lit(gid).alias("gid"), "score"))
+            leaves.append(reduce(DataFrame.unionByName, got).select("doc", F.lit(len(leaves)).alias("gid"), "score"))
     if leaves:
         both = reduce(DataFrame.unionByName, leaves)
-        # The partial sums per (key, group) are made before the shuffle; the number of groups is the query's.
-        per = both.groupBy("key").agg(F.sum("score").alias("score"), F.size(F.collect_set("gid")).alias("n")).where(F.col("n") == len(leaves))
-        found = files.join(per.select("key", "score"), "key")
+        # Sums are made before the shuffle; which groups are there is a bit each, a word of bits for every 32 groups.
+        words = [F.bit_or(F.when(F.floor(F.col("gid") / 32) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("gid") % 32)).otherwise(F.lit(0).cast("long"))).alias(f"g{w}") for w in range(-(-len(leaves) // 32))]
+        every = reduce(Column.__and__, [F.col(f"g{w}") == (1 << min(32, len(leaves) - 32 * w)) - 1 for w in range(len(words))])
+        per = both.groupBy("doc").agg(F.sum("score").alias("score"), *words).where(every)
+        found = files.join(per.select("doc", "score"), "doc")
     else:
         found = files.withColumn("score", F.lit(1.0))
-    excluded = [m.select("key") for c in parsed.negatives if (m := clause_matches(ix, c)) is not None]
+    excluded = [m.select("doc") for c in parsed.negatives if (m := clause_matches(ix, c)) is not None]
     if excluded:
-        found = found.join(reduce(DataFrame.unionByName, excluded).distinct(), "key", "left_anti")
+        found = found.join(reduce(DataFrame.unionByName, excluded).distinct(), "doc", "left_anti")
     return found, bool(parsed.groups)
 
 
@@ -210,10 +231,21 @@ def ordered(found: DataFrame, o: Options, positive: bool) -> DataFrame:
     return (page.offset(o.offset) if o.offset else page).limit(limit)
 
 
+def _hit(page: DataFrame) -> DataFrame:
+    return page.select("key", "path", F.element_at(F.split("path", r"[\\/]"), -1).alias("name"), "ext", "size", F.col("mtime_ms").alias("modified_ms"), F.col("score").cast("float").alias("score"), "status")
+
+
 def search(ix: Index, o: Options) -> DataFrame:
     """The page of hits: key, path, name, ext, size, modified_ms, score, status."""
     found, positive = matches(ix, o)
-    return ordered(found, o, positive).select("key", "path", F.element_at(F.split("path", r"[\\/]"), -1).alias("name"), "ext", "size", F.col("mtime_ms").alias("modified_ms"), F.col("score").cast("float").alias("score"), "status")
+    return _hit(ordered(found, o, positive))
+
+
+def answer(ix: Index, o: Options) -> tuple[DataFrame, int]:
+    """(page of hits, exact total) from one evaluation of the query, whose matches are kept in the shared folder."""
+    found, positive = matches(ix, o)
+    kept = cut(found.select("key", "path", "ext", "size", "mtime_ms", "score", "status"), "matches")
+    return _hit(ordered(kept, o, positive)), kept.count()
 
 
 def count(ix: Index, o: Options) -> DataFrame:
@@ -255,11 +287,14 @@ def many(ix: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     words = F.pandas_udf(lambda s: s.map(lambda t: list(dict.fromkeys(terms(t or "", stem)))), T.ArrayType(T.StringType()))
     asked = queries.select("qid", words("text").alias("words")).where(F.size("words") > 0)
     each = asked.select("qid", F.size("words").alias("need"), F.explode("words").alias("term"))
-    post = ix.postings.where(F.col("field") == "content")
+    post = ix.blocks.where(F.col("field") == "content")
     df = ix.vocabulary.where(F.col("field") == "content").select("term", "df")
     n, avgdl = F.lit(ix.total), F.lit(ix.stats.get("content", (0, 1.0))[1])
     w = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = each.join(df, "term").join(post, "term").select("qid", "need", "key", (w * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))).alias("s"))
-    full = hit.groupBy("qid", "key", "need").agg(F.count("*").alias("n"), F.sum("s").alias("score")).where("n = need")
+    # Blocks are joined before they are unfolded: a row per query, term and block.
+    met = each.join(df, "term").join(post.select("term", "docs", "tfs", "dls"), "term").select("qid", "need", w.alias("w"), F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
+    tf, dl = F.col("p.tfs"), F.col("p.dls")
+    hit = met.select("qid", "need", F.col("p.docs").alias("doc"), (F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))).alias("s"))
+    full = hit.groupBy("qid", "doc", "need").agg(F.count("*").alias("n"), F.sum("s").alias("score")).where("n = need").join(ix.files.select("doc", "key"), "doc")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 6).desc(), "key"))
     return full.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "key", "score", "rank")

@@ -115,7 +115,7 @@ def hits(ix: Index, o: Options) -> DataFrame:
             yield df.drop(columns=["content", "unit_labels"])
 
     schema = "key string, path string, name_lc string, ext string, size long, modified_ms long, score double, status string, location string, parts " + SNIPPET + ", more_before boolean, more_after boolean"
-    return page.join(ix.contents, "key", "left").select(*page.columns, "content", "unit_labels").mapInPandas(run, schema)
+    return page.join(ix.contents.drop("doc"), "key", "left").select(*page.columns, "content", "unit_labels").mapInPandas(run, schema)
 
 
 def viewer_marks(text: str, literals: list[str]) -> list[tuple[int, int]]:

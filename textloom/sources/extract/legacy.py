@@ -114,7 +114,8 @@ def word(c: Compound, doc: Doc) -> Extracted:
     return doc.finish()
 
 
-_CONTAINERS_SKIPPED = (1016, 1000 + 41)  # master slides, handouts
+# Containers whose texts are captions of the program: master slides, handouts, environment.
+_CONTAINERS_SKIPPED = (1016, 4041, 1010)
 
 
 def slides(c: Compound, doc: Doc) -> Extracted:
@@ -136,7 +137,7 @@ def slides(c: Compound, doc: Doc) -> Extracted:
             lo = end if end > lo else hi
 
     down(0, len(data), 0)
-    for t in dict.fromkeys(out):
+    for t in out:
         doc.push(t)
         doc.newline()
     return doc.finish()

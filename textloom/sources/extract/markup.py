@@ -8,7 +8,9 @@ import re
 # Tags that end a line, and entities known by name.
 _BLOCKS = "p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer blockquote pre hr td th dt dd title option".split()
 _LINES = frozenset(b for b in _BLOCKS if b not in ("td", "th"))
-_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "laquo": "«", "raquo": "»", "mdash": "—", "ndash": "–", "hellip": "…", "copy": "©", "reg": "®", "euro": "€"}
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "laquo": "«", "raquo": "»", "mdash": "—", "ndash": "–", "hellip": "…", "copy": "©", "reg": "®", "deg": "°"}
+# Fixed value: how many characters are looked at to tell HTML.
+_SNIFFED = 512
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _HIDDEN = re.compile(r"<(script|style)\b.*?(?:</\1[^>]*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?][^>]*>")
@@ -16,8 +18,9 @@ _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]{1,6}|#\d{1,7}|[a-zA-Z]\w{0,9});")
 
 
 def looks_like_html(head: str) -> bool:
-    low = head.lstrip("\ufeff \t\r\n").lower()
-    return low.startswith(("<!doctype html", "<html", "<head", "<body")) or "<html" in low
+    """Whether a text begins like HTML: its declaration, or a telling tag among its first characters."""
+    low = head.lstrip("\ufeff \t\r\n")[:_SNIFFED].lower()
+    return low.startswith("<!doctype html") or any(tag in low for tag in ("<html", "<body", "<table"))
 
 
 def entity(name: str) -> str | None:
