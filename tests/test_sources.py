@@ -276,9 +276,9 @@ def test_command_line(spark, tmp_path, capsys):
 
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "Накладная.docx").write_bytes(DOCX)
-    (tmp_path / "docs" / "notes.txt").write_text("Список мешков и бочек")
+    (tmp_path / "docs" / "notes.txt").write_text("Список ведомостей по амбарам")
     main(["index", str(tmp_path / "docs"), "--index", str(tmp_path / "ix")])
-    main(["search", "мешок", "--index", str(tmp_path / "ix"), "--json"])
+    main(["search", "амбара", "--index", str(tmp_path / "ix"), "--json"])
     out = capsys.readouterr().out
     assert '"total": 1' in out and "notes.txt" in out
     main(["search", "Верещагина", "--index", str(tmp_path / "ix"), "--paths"])

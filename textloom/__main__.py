@@ -7,38 +7,35 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import functions as F
-
 from textloom.functions import values
-from textloom.operators import index, maintenance, search, snippets
+from textloom.operators import index, run, search, snippets
 from textloom.session import build
 from textloom.sources import extract as extraction
-from textloom.sources import tree
 
 
 def _index(a: argparse.Namespace) -> None:
     spark = build()
-    found = maintenance.build_record(tree.listing(spark, a.roots))
-    keep = found.where(F.col("readable") & ~maintenance.excluded(F.col("path"), a.exclude, [a.index]))
-
-    def load(frames):
-        for df in frames:
-            df["content"] = [Path(p).read_bytes() if s is not None and s <= extraction.MAX_FILE else None for p, s in zip(df["path"], df["size"])]
-            yield df
-
-    from pyspark.sql import types as T
-
-    slim = keep.select("key", "path", "name", "name_lc", "ext", "folder", "size", "mtime_ms")
-    read = extraction.extracted(slim.mapInPandas(load, T.StructType([*slim.schema.fields, T.StructField("content", T.BinaryType())])))
-    staged = f"{a.index}/staged"
-    read.write.mode("overwrite").parquet(staged)
-    got = spark.read.parquet(staged)
-    files = got.select("key", "path", "name", "name_lc", "ext", "folder", "meta", F.split("status", ":")[0].alias("status"), "size", "mtime_ms", F.lit(1).cast("long").alias("ver"))
-    ix = index.build(spark, files, got.select("key", F.col("text").alias("content"), F.col("units").alias("unit_labels")), a.index)
-    maintenance.status_counts(got).show()
+    ix, counters, problems = run.run(run.open_or_create(spark, a.index), a.roots, excludes=a.exclude, skip_dirs=[a.index], force=a.force)
+    print(", ".join(f"{k}: {v}" for k, v in counters.items() if v) or "nothing changed")
+    for p in problems:
+        print("not read:", p, file=sys.stderr)
+    if len(ix.segments) > a.segments:
+        ix = index.compact(ix)
+        index.vacuum(ix)
     print(f"{ix.total} records")
 
 
+def _forget(a: argparse.Namespace) -> None:
+    spark = build()
+    print(f"{run.remove_root(index.Index(spark, a.index), a.root).total} records")
+
+
+def _reset(a: argparse.Namespace) -> None:
+    if a.yes or input(f"delete the index in {a.index}? [y/N] ").strip().lower() in ("y", "yes"):
+        index.reset(build(), a.index)
+        print("deleted")
+
+
 def _options(a: argparse.Namespace) -> search.Options:
     size = lambda s: values.parse_size(s) if s else None
     return search.Options(
@@ -52,10 +49,10 @@ def _search(a: argparse.Namespace) -> None:
     if not o.query.strip() and not any((o.exts, o.dirs, o.min_size, o.max_size, o.after_ms, o.before_ms)):
         sys.exit("nothing to search for")
     ix = index.Index(build(), a.index)
-    page = snippets.hits(ix, o) if o.snippets and not a.paths else search.search(ix, o)
+    page, total = snippets.answer(ix, o) if o.snippets and not a.paths else search.answer(ix, o)
     rows = page.collect()  # one page of at most a thousand hits
     if a.json:
-        print(json.dumps({"total": search.count(ix, o).first()[0], "hits": [r.asDict(True) for r in rows]}, ensure_ascii=False, indent=2))
+        print(json.dumps({"total": total, "hits": [r.asDict(True) for r in rows]}, ensure_ascii=False, indent=2))
         return
     for n, r in enumerate(rows, o.offset + 1):
         print(r["path"] if a.paths else f"{n}. {r['path']}  {values.format_size(r['size'] or 0)}")
@@ -65,7 +62,8 @@ def _search(a: argparse.Namespace) -> None:
 
 def _stats(a: argparse.Namespace) -> None:
     ix = index.Index(build(), a.index)
-    print(f"{ix.total} records")
+    size = ix.size()
+    print(f"{size['documents']} records, {size['segments']} segments, {values.format_size(size['bytes'])}")
     search.by_value(ix, "ext").show(100, False)
     search.by_value(ix, "status").show(100, False)
 
@@ -84,7 +82,17 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("roots", nargs="+")
     p.add_argument("--index", required=True)
     p.add_argument("--exclude", action="append", default=[])
+    p.add_argument("--force", action="store_true", help="read every file again")
+    p.add_argument("--segments", type=int, default=20, help="segments above which the index is written as one")
     p.set_defaults(run=_index)
+    p = sub.add_parser("forget")
+    p.add_argument("root")
+    p.add_argument("--index", required=True)
+    p.set_defaults(run=_forget)
+    p = sub.add_parser("reset")
+    p.add_argument("--index", required=True)
+    p.add_argument("--yes", action="store_true")
+    p.set_defaults(run=_reset)
     p = sub.add_parser("search")
     p.add_argument("query", nargs="*")
     p.add_argument("--index", required=True)

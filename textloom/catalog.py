@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import analysis, marks, paths, values
-from textloom.operators import capture, index, maintenance, search, snippets
+from textloom.functions.times import epoch_s
+from textloom.operators import capture, index, maintenance, run, search, snippets
 from textloom.operators.search import Options
-from textloom.session import fingerprint, shared_dir, table
+from textloom.session import cut, fingerprint, shared_dir, table
 from textloom.streaming import watch
 
 QUERIES: dict = {}
@@ -350,6 +351,51 @@ def incremental_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.summary(_actions(spark, sf_dir))
 
 
+def _after_runs_sql() -> str:
+    """The records after all runs: listed by the run and readable, or listed and there before; terms of their names, folders and texts."""
+    steps = [f"""WITH seen AS (SELECT run_id, {_KEY} AS key, coalesce(readable, true) AS readable FROM file_listing WHERE path IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY run_id, {_KEY} ORDER BY listed_at DESC, size DESC, mtime_ms DESC NULLS LAST, cloud DESC, readable DESC) = 1),
+l0 AS (SELECT DISTINCT key FROM files WHERE key IS NOT NULL)"""]
+    for n in range(1, 9):
+        steps.append(f"l{n} AS (SELECT key FROM seen s WHERE run_id = {n} AND (readable OR EXISTS (SELECT 1 FROM l{n - 1} p WHERE p.key = s.key)))")
+    w = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}\x{{0345}}\x{{0363}}-\x{{036F}}]+')"
+    file = "regexp_extract(key, '[^/]*$')"
+    name = f"CASE WHEN regexp_extract({file}, '^(.+)\.[^.]*$', 1) = '' THEN {file} ELSE regexp_extract({file}, '^(.+)\.[^.]*$', 1) END"
+    steps.append(f"""
+t AS (SELECT 'name' AS field, key, {w.format(name)} AS w FROM l8
+  UNION ALL SELECT 'folder', key, {w.format("regexp_extract(key, '^(.*)/[^/]*$', 1)")} FROM l8
+  UNION ALL SELECT 'content', key, {w.format("content")} FROM (SELECT DISTINCT key, content FROM contents WHERE content IS NOT NULL) SEMI JOIN l8 USING (key)),
+k AS (SELECT field, key, replace(lower(x), 'ё', 'е') AS term FROM (SELECT field, key, unnest(w) AS x FROM t) WHERE strlen(x) < 60)""")
+    return ", ".join(steps) + " SELECT field, term, count(DISTINCT key) AS df, count(*) AS cf FROM k GROUP BY field, term"
+
+
+@query(_after_runs_sql())
+def index_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index brought up to date by all runs of the listing, a commit each: its terms and counts. Texts come from contents."""
+    t = lambda n: table(spark, sf_dir, n)
+    runs = {r["run_id"]: r["now_s"] for r in t("index_runs").select("run_id", epoch_s("started_at").alias("now_s")).collect()}  # a parameter table
+    texts = t("contents").select("key", "content", "unit_labels").groupBy("key").agg(F.max(F.struct("content", "unit_labels")).alias("c")).select("key", "c.*")
+
+    def load(todo: DataFrame) -> DataFrame:
+        return todo.join(texts, "key", "left").withColumns({"meta": F.lit(None).cast("string"), "status": F.lit("ok"), "truncated": F.lit(False)})
+
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    p = F.col("key")
+    stored = t("files").where("key is not null").groupBy("key").agg(F.max(F.struct("mtime_ms", "size", "ver")).alias("r")).select("key", "r.*")
+    first = maintenance.build_record(stored.withColumn("path", p)).join(texts, "key", "left").withColumns({"meta": F.lit(None).cast("string"), "status": F.lit("ok")})
+    ix = index.rebuilt(spark, first.select(*run.ATTRIBUTES), path, False)
+    best = F.max(F.struct("listed_at", "size", "mtime_ms", "cloud", F.coalesce("readable", F.lit(True)).alias("readable"), "path")).alias("r")
+    seen = t("file_listing").where("path is not null").groupBy("run_id", paths.path_key(F.col("path")).alias("key")).agg(best).select("run_id", "r.*")
+    seen = cut(seen.withColumn("path", paths.path_key(F.col("path"))), "seen")
+    force = cut(capture.versions_in_force(t("extractor_versions"), t("index_runs")), "versions")
+    for n in sorted(runs):
+        version = F.lit(1).cast("long")
+        for r in force.where(F.col("run_id") == n).collect():  # one row per extension
+            version = F.when(F.col("ext") == r["ext"], r["version"]).otherwise(version)
+        ix, _ = run.maintain(ix, seen.where(F.col("run_id") == n), load, version, runs[n])
+    return ix.vocabulary.select("field", "term", "df", "cf")
+
+
 @query("SELECT count_if(h = 'ok') AS ok, count_if(h = 'empty') AS empty, count_if(h = 'encrypted') AS encrypted, count_if(h = 'skipped') AS skipped, count_if(h = 'scan') AS scans, count_if(h = 'ocr') AS recognized, count_if(h = 'error') AS failed FROM (SELECT split_part(status, ':', 1) AS h FROM extracted)")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.status_counts(table(spark, sf_dir, "extracted"))

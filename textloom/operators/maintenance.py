@@ -93,13 +93,14 @@ def build_record(listing: DataFrame) -> DataFrame:
     return listing.withColumns({"key": path_key(p), "name": stem(p), "name_lc": F.lower(file_name(p)), "ext": F.when(ext == "", F.lit(None)).otherwise(ext), "folder": folder(p)})
 
 
-def classify(listing: DataFrame, existing: DataFrame, versions: Column, now_s: Column, force: bool = False, base: int = FIRST_WAIT_S) -> DataFrame:
-    """(key, action) of listing(key, size, mtime_ms, cloud, readable, ...) against existing(key, size, mtime_ms, ver):
-    new, changed, stale, deferred, unchanged, unreadable, or vanished for records no longer listed."""
+def classified(listing: DataFrame, existing: DataFrame, versions: Column, now_s: Column, force: bool = False, base: int = FIRST_WAIT_S, again: Column | None = None) -> DataFrame:
+    """(key, action, before) of listing(key, size, mtime_ms, cloud, readable, ...) against existing(key, size, mtime_ms, ver):
+    new, changed, stale, deferred, unchanged, unreadable, or vanished for records no longer listed; ``before`` is the mark a record
+    had. ``again``, over the columns of existing, asks for another look at records that are otherwise fresh."""
     new = listing.select("key", F.lit(True).alias("listed"), "size", F.coalesce("mtime_ms", F.lit(0)).alias("mtime_ms"), F.coalesce("cloud", F.lit(False)).alias("cloud"), F.coalesce("readable", F.lit(True)).alias("readable"), versions.alias("version"), now_s.alias("now_s"))
-    old = existing.select("key", F.lit(True).alias("stored"), F.col("size").alias("s"), F.coalesce("mtime_ms", F.lit(0)).alias("m"), F.coalesce("ver", F.lit(0)).alias("v"))
+    old = existing.select("key", F.lit(True).alias("stored"), F.col("size").alias("s"), F.coalesce("mtime_ms", F.lit(0)).alias("m"), F.coalesce("ver", F.lit(0)).cast("long").alias("before"), (F.lit(False) if again is None else F.coalesce(again, F.lit(False))).alias("again"))
     both = new.join(old, "key", "full_outer")
-    fresh = verdict(F.col("v"), F.col("version"), F.col("cloud"), F.col("now_s"), base)
+    fresh = verdict(F.col("before"), F.col("version"), F.col("cloud"), F.col("now_s"), base, None if again is None else F.col("again"))
     action = (
         F.when(F.col("listed").isNull(), "vanished")
         .when(~F.col("readable"), "unreadable")
@@ -109,7 +110,12 @@ def classify(listing: DataFrame, existing: DataFrame, versions: Column, now_s: C
         .when(fresh == "deferred", "deferred")
         .otherwise("unchanged")
     )
-    return both.select("key", action.alias("action"))
+    return both.select("key", action.alias("action"), "before")
+
+
+def classify(listing: DataFrame, existing: DataFrame, versions: Column, now_s: Column, force: bool = False, base: int = FIRST_WAIT_S) -> DataFrame:
+    """(key, action), as ``classified``."""
+    return classified(listing, existing, versions, now_s, force, base).select("key", "action")
 
 
 def removed(actions: DataFrame, protected: DataFrame | None = None, cancelled: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from textloom.functions.analysis import _normal, terms
 from textloom.operators.index import Index
 from textloom.operators.search import Options, ordered, matches
 from textloom.plans import lang
+from textloom.session import cut
 
 LONGEST = 240
 PREFIX_TERMS = 64
@@ -91,7 +92,18 @@ def collapse(parts: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
 def hits(ix: Index, o: Options) -> DataFrame:
     """The page of hits with location and snippet."""
     found, positive = matches(ix, o)
-    page = ordered(found, o, positive).select("key", "path", "name_lc", "ext", "size", F.col("mtime_ms").alias("modified_ms"), "score", "status")
+    return _shown(ix, o, ordered(found, o, positive))
+
+
+def answer(ix: Index, o: Options) -> tuple[DataFrame, int]:
+    """(page of hits with location and snippet, exact total) from one evaluation of the query."""
+    found, positive = matches(ix, o)
+    kept = cut(found.select("key", "path", "name_lc", "ext", "size", "mtime_ms", "score", "status"), "matches")
+    return _shown(ix, o, ordered(kept, o, positive)), kept.count()
+
+
+def _shown(ix: Index, o: Options, page: DataFrame) -> DataFrame:
+    page = page.select("key", "path", "name_lc", "ext", "size", F.col("mtime_ms").alias("modified_ms"), "score", "status")
     words, prefixes = lang.highlight_words(lang.narrowed(lang.parse(o.query), o.mode), lambda t, s: terms(t, s and ix.stem))
     content = ix.vocabulary.where(F.col("field") == "content")
     weights = {r["term"]: float(r["w"]) for r in content.where(F.col("term").isin(words)).select("term", F.log(1 + ix.total / F.col("df")).alias("w")).collect()}

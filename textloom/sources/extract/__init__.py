@@ -7,7 +7,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.sources.extract import legacy, markup, odf, ooxml, pdf, plain, rtf
@@ -20,6 +21,10 @@ TEXT_EXTS = frozenset("txt md csv tsv log json xml yaml yml ini cfg conf toml sq
 HTML_EXTS = frozenset("html htm xhtml shtml mht".split())
 NEVER = frozenset("exe dll sys msi iso img bin dat zip rar 7z gz tar mp3 mp4 avi mkv mov wav flac png gif bmp ico webp ttf woff woff2 class jar o so a lib pdb".split())
 
+# The version of extraction as a whole, and what single formats have been raised by since.
+VERSION, RAISED = 1, {"pdf": 2}
+MAX_PDF = 128 << 20
+
 Reader = Callable[[bytes, Doc], Extracted]
 READERS: dict[str, Reader] = {}
 
@@ -29,6 +34,14 @@ def register(ext: str, reader: Reader) -> None:
     READERS[ext] = reader
 
 
+def version_of(ext: Column) -> Column:
+    """The version of extraction for files of an extension: a record made by another is outdated."""
+    out = F.lit(VERSION)
+    for name, more in RAISED.items():
+        out = F.when(F.lower(ext) == name, VERSION + more).otherwise(out)
+    return out.cast("long")
+
+
 def extract(data: bytes | None, ext: str | None, size: int | None = None, max_text: int = MAX_TEXT) -> Extracted:
     """What a file holds; failures become a status, never an exception."""
     doc = Doc(max_text)
@@ -54,11 +67,11 @@ def extract(data: bytes | None, ext: str | None, size: int | None = None, max_te
         if data[:5] == b"{\\rtf":
             return rtf.read(data, doc)
         if data[:5] == b"%PDF-":
-            return pdf.read(data, doc)
+            return pdf.read(data, doc) if len(data) <= MAX_PDF else doc.skipped("too large")
         if ext in NEVER or plain.looks_binary(data[:8192]):
             return doc.skipped("binary")
         text = plain.decode(data[: max_text * 4])
-        if ext in HTML_EXTS or ext not in TEXT_EXTS and markup.looks_like_html(text[:512]):
+        if ext in HTML_EXTS or ext not in TEXT_EXTS and markup.looks_like_html(text[:4096]):
             text = markup.strip_html(text)
         doc.push(text.replace("\r\n", "\n").replace("\r", "\n"))
         return doc.finish()

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import os
+import stat
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -20,6 +23,10 @@ from textloom.operators.maintenance import SKIPPED_DIRS, SKIPPED_FILES, SKIPPED_
 SCHEMA = "root string, path string, size long, mtime_ms long, cloud boolean, readable boolean, error string"
 
 
+# Attributes of files that are offline, or recalled when opened or read.
+_ELSEWHERE = 0x1000 | 0x40000 | 0x400000
+
+
 class _Subtree(InputPartition):
     def __init__(self, root: str, path: str, deep: bool) -> None:
         self.root, self.path, self.deep = root, path, deep
@@ -34,6 +41,11 @@ def _skipped_file(name: str) -> bool:
     return low in SKIPPED_FILES or low.startswith(SKIPPED_STARTS)
 
 
+def stub(s: os.stat_result) -> bool:
+    """Whether a file's content is elsewhere, so that opening it would fetch it; only some systems say so."""
+    return bool(getattr(s, "st_file_attributes", 0) & _ELSEWHERE)
+
+
 def walk(root: str, path: str, deep: bool) -> Iterator[tuple]:
     """Rows of the files of a directory, and with ``deep`` of all below it."""
     todo = [path]
@@ -54,7 +66,7 @@ def walk(root: str, path: str, deep: bool) -> Iterator[tuple]:
                         todo.append(e.path)
                 elif e.is_file(follow_symlinks=False) and not _skipped_file(e.name):
                     s = e.stat(follow_symlinks=False)
-                    yield (root, e.path, s.st_size, s.st_mtime_ns // 1_000_000, False, os.access(e.path, os.R_OK), None)
+                    yield (root, e.path, s.st_size, s.st_mtime_ns // 1_000_000, stub(s), os.access(e.path, os.R_OK), None)
             except OSError as x:
                 yield (root, e.path, None, None, False, False, str(x))
 
@@ -102,9 +114,68 @@ def normal_root(path: str) -> str:
     return full
 
 
-def listing(spark: SparkSession, roots: list[str], levels: int = 2) -> DataFrame:
-    """The listing of all files below the roots that are no part of another root."""
-    full = sorted({normal_root(r) for r in roots})
-    outer = [r for r in full if not any(r != o and r.startswith(o.rstrip(os.sep) + os.sep) for o in full)]
+def prefix(root: str) -> str:
+    """The key of a root: what the keys of its files begin with, before the slash."""
+    return root.replace("\\", "/").lower().rstrip("/")
+
+
+def on_network(root: str) -> bool:
+    return root.startswith(("\\\\", "//"))
+
+
+def usable(roots: list[str]) -> tuple[list[str], list[str]]:
+    """(roots that can be reached and lie in no other one, what is wrong with the rest); an error if none can be reached. Roots are
+    looked at side by side, since each that is switched off takes its time."""
+    if not roots:
+        raise ValueError("no root is named")
+    good, problems = {}, []
+
+    def look(root: str) -> tuple[str | None, str]:
+        try:
+            return normal_root(root), ""
+        except OSError as e:
+            return None, f"{root}: {type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(min(32, len(roots))) as pool:
+        for full, problem in pool.map(look, roots):
+            if full is None:
+                problems.append(problem)
+            else:
+                good.setdefault(prefix(full), full)
+    if not good:
+        raise NotADirectoryError("; ".join(problems))
+    return [r for k, r in sorted(good.items()) if not any(k.startswith(o + "/") for o in good if o != k)], problems
+
+
+def walked(spark: SparkSession, roots: list[str], levels: int = 2) -> DataFrame:
+    """The listing of all files below the roots, with the rows of what could not be read."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("tree").option("roots", json.dumps(outer)).option("levels", levels).load()
+    return spark.read.format("tree").option("roots", json.dumps(roots)).option("levels", levels).load()
+
+
+def listing(spark: SparkSession, roots: list[str], levels: int = 2) -> DataFrame:
+    """The listing of all files below the usable ones of the roots."""
+    return walked(spark, usable(roots)[0], levels)
+
+
+def looked_at(due: DataFrame) -> DataFrame:
+    """(path, kind, size, mtime_ms, cloud, readable) of what is at due(path, tree): the file, with the tree flag the files of a
+    folder (kind file), or that nothing is there (kind gone). The executors look."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            out: list[tuple] = []
+            for path, tree in zip(df["path"], df["tree"]):
+                try:
+                    s = os.stat(path, follow_symlinks=False)
+                except OSError:
+                    out.append((path, "gone", None, None, False, False))
+                    continue
+                if stat.S_ISREG(s.st_mode):
+                    out.append((path, "file", s.st_size, s.st_mtime_ns // 1_000_000, stub(s), os.access(path, os.R_OK)))
+                elif stat.S_ISDIR(s.st_mode) and tree:
+                    out += [(r[1], "file", *r[2:6]) for r in walk(path, path, True) if r[6] is None]
+            for lo in range(0, len(out), 10_000):
+                yield pd.DataFrame(out[lo : lo + 10_000], columns=["path", "kind", "size", "mtime_ms", "cloud", "readable"]).astype({"size": "Int64", "mtime_ms": "Int64"})
+
+    return due.select("path", "tree").mapInPandas(look, "path string, kind string, size long, mtime_ms long, cloud boolean, readable boolean")
