@@ -186,6 +186,39 @@ def test_headers_and_numbers_go():
     assert [(a, b) for a, b, _, _ in broken.values()] == [("stock", "taking")] * 3
 
 
+STORY = "The keeper of the tower wrote that wind had turned to west before the evening bell rang and many boats were still beyond the bar while nobody in the village believed a word of what he said at first because storms of that kind had never come".split()
+
+
+def story_page(p, n=5):
+    r = random.Random(p)
+    return [" ".join(r.choice(STORY) for _ in range(9)).lower() for _ in range(n)]
+
+
+@pytest.mark.parametrize("heads,feet", [(["Harbour Authority of the Northern Coast"], []), (["Harbour Authority of the Northern Coast", "Yearly returns of the outer lights", "kept under seal"], ["for the board only"]), ([], ["this is the foot of every page."])])
+def test_unknown_and_manifold_headers_go(heads, feet):
+    """What every page repeats at its edge is furniture, however many lines and whatever its words; numbers beside it as well."""
+    pages = [[*heads, *story_page(p), *feet, f"- {p + 1} -"] for p in range(4)]
+    lines, gone, _ = layout.analyse("\f".join("\n".join(p) for p in pages))
+    assert sorted(lines[i] for i in gone) == sorted([*heads * 4, *feet * 4, *(f"- {p + 1} -" for p in range(4))])
+
+
+def test_chain_holds_its_order():
+    pages = [["Harbour Authority", *story_page(p, 6), "Harbour Authority"] for p in range(4)]
+    for at, state in layout.labels(pages, {}).items():
+        assert state == ("head" if at[1] == 0 else "foot" if at[1] == 7 else "body")
+    assert layout.labels([["one", "", "two-", "three"]], {}, {(0, 2)}) == {(0, 0): "body", (0, 2): "break", (0, 3): "body"}
+    assert all(a != layout.FOOT or b == layout.FOOT for a, b in layout.TRANSITIONS) and (layout.BODY, layout.HEAD) not in layout.TRANSITIONS
+
+
+def test_header_words_are_learned(spark):
+    docs = ["\f".join("\n".join([f"Zorbak {name}", *story_page(p + 10 * i)]) for p in range(3)) for i, name in enumerate(["Luma", "Keso", "Tiri", "Vano"])]
+    counts = layout.word_counts(spark.createDataFrame([(d,) for d in docs], "text string"), "text")
+    words = layout.header_words(counts)
+    assert words["^zorbak"] > 0 and all(w[0] in "^$" for w in words) and layout.header_words(counts.limit(0)) == {}
+    two = "\f".join(["\n".join(story_page(50)), "\n".join(["Zo:bak Pelu", *story_page(51)])])  # seen once, a character misread
+    assert layout.analyse(two, layout.known_words(words))[1] and not layout.analyse(two)[1]
+
+
 @pytest.mark.parametrize("text", ["Сроки и порядок\n\nКомиссия согласовала смету.", "Total\n118\n76 503\n692", "One line only", "Сроки и порядок\fКомиссия вернула смету.\fАрхив вернул смету.", None, "", " \n\f\n "])
 def test_body_stays(text):
     assert not layout.analyse(text)[1]

@@ -1,16 +1,22 @@
 """Noise in text from scanned pages: running headers, page numbers, broken words, misread characters.
 
-Method. The lines of each page are labelled by a linear-chain conditional model with three states in fixed order: head
-(running header or page number above the text), body, foot. Viterbi over the non-blank lines finds the best labelling;
-a line's potential is a weighted sum of layout features (shape of page numbers and whether they count up through the
-document, header shape, repetition on other pages, how the neighbours continue, table surroundings). Only lines near a
-page's edge can score for head or foot, so the inner part of the chain is body by construction. Kept lines that end in
-a break mark are then labelled as broken words, and paragraphs are put together from what is kept.
+Method. The lines of each page are labelled by a linear-chain conditional model with four states: head (running header or page
+number above the text), body, break (body whose last word goes on in the next line) and foot. ``TRANSITIONS`` allows heads
+first and feet last and weighs a further line of either; a line's potential is a weighted sum of features (``WEIGHTS``): the shape
+of page numbers and whether they count up through the document, the shape of a header, how many pages repeat the line, the
+words it begins and ends with, how its neighbours continue, table surroundings. Viterbi over all non-blank lines of the page
+finds the best labelling: a line that has no feature of a head or foot has no potential for it, wherever it stands, and one that
+every page repeats has, wherever it stands. The labels give the dropped lines and the lines to be joined; paragraphs are
+put together from what is kept.
+
+Which words headers begin and end with is learned from the collection itself: lines that several pages of a document repeat
+at their edges against lines of the same shape inside pages (``header_words``). No list of words is given.
 
 Whether a hyphen belongs to its word and whether a word is misread is decided against the words of the whole
 collection: a first pass counts all words (counts per partition before the shuffle), variants of frequent words under
 the confusions of recognition are matched with rare words, and the second pass looks them up. What is broadcast for that
-is a bitmap of fixed size (1 MB) that only says which words may be misread; a join decides.
+are a bitmap, sized by the count of words it holds up to 16 MB, that only says which words may be misread (a join decides), and
+the words of headers, at most 10,000.
 
 Defined results: null and blank texts have no findings; texts are read whole; repeated rows give one finding; empty
 tables give empty results; extra columns are ignored.
@@ -46,20 +52,18 @@ _PLAIN = re.compile(rf"\s*({_NUM})\s*")
 _ROMAN_LINE = re.compile(rf"\s*({_ROMAN})\s*")
 _LEAD, _TRAIL = re.compile(rf"\s*({_NUM})\s{{2,}}(\S.*?)\s*$"), re.compile(rf"\s*(\S.*?)\s{{2,}}({_NUM})\s*$")
 _END = re.compile(r"[.!?…:;,)”»\"]\s*$")
-_ORG = re.compile(r"(?i)(?:\b.{0,2}(?:ltd|lt[d1l])\W?\s*$|^\s*\S{0,3}[оo0][оo0]?\S?\s+\S{0,1}«|^\s*ооо\b|«[^»]+»\s*$)")
 _TABLE = re.compile(r"\s*[\d\s.,%]+\s*")
-# The kinds of document that stand first in a running header.
-KINDS = "договор отчёт скан приказ опись справка письмо акт смета план реестр счёт заявка протокол contract report scan order notes minutes memo draft budget schedule spec invoice".split()
-_KINDS = frozenset(KINDS)
 #: What recognition leaves of a character it did not make out, in headers.
 _NOISE = "'|:.1"
+_NOISY = re.compile("['|:.]")
 _BROKEN = re.compile(rf"([^\W\d_][^\W_]*(?:['’][^\W_]+)?(?:-[^\W_]+)*)([{BREAKS}])[ \t]*$")
 _FIRST = re.compile(r"[ \t]*([^\W_]+)")
 _WORD = re.compile(r"[^\W\d_]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _TRIGGER = re.compile(r"(?<=[^\W\d_])[01345689!](?=[^\W\d_])|(?<=[^\W\d_]{3})[01345689](?![\w!])|(?<![\w.])1(?=[^\W\d_]{3})|(?<=[^\W\d_])и,(?=[^\W\d_])|ь1")
 _REPAIR = {"ru": str.maketrans("013464", "олзчбч"), "en": str.maketrans("01!5936", "oliseeb")}
-_BITS = 1 << 23
+#: Bits of the bitmap of words that may be misread: sixteen a word, a power of two, within these bounds.
+_LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 27
 
 
 def number(s: str) -> int | None:
@@ -82,118 +86,245 @@ def _core(s: str) -> str:
     return "".join(s.split()).casefold()
 
 
-def _is_kind(first: str) -> bool:
-    return first in _KINDS or len(first) > 3 and any(len(k) == len(first) and sum(map(ne, k, first)) == 1 for k in KINDS)
+# States, and what it costs to go from one to the next; what is not named cannot be. A page may begin in head or body and end
+# in any state.
+HEAD, BODY, BREAK, FOOT = "head", "body", "break", "foot"
+TRANSITIONS = {
+    (HEAD, HEAD): -0.1, (HEAD, BODY): 0.0, (HEAD, BREAK): 0.0, (HEAD, FOOT): 0.0, (BODY, BODY): 0.0, (BODY, BREAK): 0.0, (BREAK, BODY): 0.0, (BREAK, BREAK): 0.0,
+    (BODY, FOOT): 0.0, (BREAK, FOOT): 0.0, (FOOT, FOOT): -0.1,
+}
+#: The weights of the features of a head or foot.
+WEIGHTS = {
+    "bias": -2.5, "decorated": 5.0, "plain": 1.0, "roman": 2.0, "both": 2.0, "counts_up": 2.5, "indented": 1.6, "in_table": -4.0,
+    "long": -4.0, "sentence": -5.0, "no_letters": -2.0, "title": 1.5, "no_title": -3.0, "word": 2.0, "likely_word": 1.0,
+    "repeated": 3.0, "repeated_no_title": 1.0, "every_page": 8.0, "text_goes_on": 0.9,
+}
+#: Lines without a feature of a head or foot cannot be one.
+NEVER = -1e9
+#: A header's length at most, in characters and words.
+WIDEST, MOST_WORDS = 60, 7
+
+Words = dict[str, float]
+
+
+def _edge_words(s: str) -> tuple[str, str]:
+    """What a line begins and ends with, as header words are counted."""
+    t = s.split()
+    return ("^" + t[0].strip("«»\"',;").casefold(), "$" + t[-1].strip("«»\"',;").casefold()) if t else ("", "")
+
+
+def _worded(s: str, words: Words) -> float:
+    """The weight of the header word a line begins or ends with; a character may be misread, also one that stands for a space."""
+    first, last = _edge_words(s)
+    forms = [first, last]
+    if parts := [x for x in _NOISY.split(first[1:]) if x]:
+        forms.append("^" + parts[0])
+    if parts := [x for x in _NOISY.split(last[1:-1]) if x]:
+        forms.append("$" + parts[-1] + last[-1:])
+    for w in forms:
+        v = words.get(w)
+        if v is None and len(w) > 3:
+            v = next((words[x] for x in _blurred(w) if x in words), None)
+        if v:
+            return v
+    return 0.0
+
+
+def _blurred(w: str) -> list[str]:
+    """w with each character in turn unknown."""
+    return [w[:i] + "\0" + w[i + 1 :] for i in range(1, len(w))]
 
 
-def _header(s: str) -> float:
-    """How much a text by itself looks like a running header."""
+def known_words(weights: Words) -> Words:
+    """The words of headers, also under one unknown character."""
+    return {**{x: v for w, v in weights.items() if len(w) > 3 for x in _blurred(w)}, **weights}
+
+
+def _header(s: str, words: Words) -> float:
+    """How much a text by itself looks like a running header: short, no sentence, capitals at the beginning of its words."""
     tokens = s.split()
-    if not 1 <= len(tokens) <= 7 or len(s.strip()) > 60:
-        return -4.0
-    org = bool(_ORG.search(s))
-    if _END.search(s) and not org:
-        return -5.0
-    letters = [c for c in s if c.isalpha()]
-    if not letters:
-        return -2.0
-    first = tokens[0].casefold()
-    act = len(tokens) > 1 and tokens[1].casefold() == "сверки"
-    kind = act or _is_kind(first) or any(first.startswith(k) and first[len(k)] in _NOISE for k in KINDS if len(first) > len(k))
-    named = [t for t in (tokens[2:] if act else tokens[1:]) if any(c.isalpha() for c in t)]
+    if not 1 <= len(tokens) <= MOST_WORDS or len(s.strip()) > WIDEST:
+        return WEIGHTS["long"]
+    word = _worded(s, words)
+    if _END.search(s) and not (word and tokens[-1][-1] in ".»"):
+        return WEIGHTS["sentence"]
+    if not any(c.isalpha() for c in s):
+        return WEIGHTS["no_letters"]
+    named = [t for t in tokens[1:] if any(c.isalpha() for c in t)]
     raised = sum(t[0] in _NOISE or next((c for c in t if c.isalpha()), "A").isupper() for t in [tokens[0], *named])
-    share = raised / (len(named) + 1)
-    score = 1.5 if share >= 0.8 and (named or org or kind) else -3.0
-    if kind and (named or first not in _KINDS) and not re.search(r"\d{3,}|№", s):
-        score += 2.0
-    if org:
-        score += 2.0
+    title = raised >= (0.75 if word else 0.8) * (len(named) + 1) and (named or word)
+    score = WEIGHTS["title"] if title else WEIGHTS["no_title"]
+    if word and named and not re.search(r"\d{3,}|№", s):
+        score += word
     return score
 
 
-def drops(pages: list[list[str]]) -> set[tuple[int, int]]:
-    """(page, line) of running headers, footers and page numbers."""
-    edge: list[tuple[int, int, str]] = []  # page, line, side
-    real: list[list[int]] = []
-    for p, lines in enumerate(pages):
-        ids = [i for i, line in enumerate(lines) if line.strip()]
-        real.append(ids)
-        for i in ids[:2]:
-            edge.append((p, i, "top"))
-        for i in ids[-2:]:
-            edge.append((p, i, "bottom"))
-    if not edge:
-        return set()
-    values: dict[tuple[int, int], tuple[str, int]] = {}
-    heads: dict[tuple[int, int], str] = {}
-    for p, i, _ in edge:
-        line = pages[p][i]
-        if m := _DECORATED.fullmatch(line):
-            n = number(next(g for g in m.groups() if g))
-            values[p, i] = ("decorated", -1 if n is None else n)
-        elif (m := _PLAIN.fullmatch(line)) and any(c.isdigit() or c == "l" for c in m[1]) and (n := number(m[1])) is not None:
-            values[p, i] = ("plain", n)
-        elif (m := _ROMAN_LINE.fullmatch(line)) and (n := _roman(m[1])):
-            values[p, i] = ("roman", n)
-        elif (m := _LEAD.match(line)) and _header(m[2]) > -2 and (n := number(m[1])) is not None:
-            values[p, i], heads[p, i] = ("both", n), m[2]
-        elif (m := _TRAIL.match(line)) and _header(m[1]) > -2 and (n := number(m[2])) is not None:
-            values[p, i], heads[p, i] = ("both", n), m[1]
-        elif len(line.strip()) <= 60 and not (_END.search(line) and not _ORG.search(line)):
-            heads[p, i] = line
-    bases = Counter((k == "roman", n - p) for (p, i), (k, n) in values.items())
-    cores = {at: _core(h) for at, h in heads.items()}
-    many = len(pages) > 1
-
-    def score(p: int, i: int) -> float:
-        line, ids = pages[p][i], real[p]
-        at = ids.index(i)
-        s = -2.5
-        if (p, i) in values:
-            kind, n = values[p, i]
-            base = bases[kind == "roman", n - p]
-            s += {"decorated": 5.0, "plain": 1.0, "roman": 2.0, "both": 2.0}[kind]
-            s += 2.5 if base > 1 else 0.0
+def _number_of(line: str, words: Words) -> tuple[str, int, str] | None:
+    """(kind, number, rest of the line) of a line that is or holds a page number."""
+    if m := _DECORATED.fullmatch(line):
+        n = number(next(g for g in m.groups() if g))
+        return "decorated", -1 if n is None else n, ""
+    if (m := _PLAIN.fullmatch(line)) and any(c.isdigit() or c == "l" for c in m[1]) and (n := number(m[1])) is not None:
+        return "plain", n, ""
+    if (m := _ROMAN_LINE.fullmatch(line)) and (n := _roman(m[1])):
+        return "roman", n, ""
+    for pattern, at, rest in ((_LEAD, 1, 2), (_TRAIL, 2, 1)):
+        if (m := pattern.match(line)) and _header(m[rest], words) > -2 and (n := number(m[at])) is not None:
+            return "both", n, m[rest]
+    return None
+
+
+class _Document:
+    """The features of the lines of a document that more than one line has a part in."""
+
+    def __init__(self, pages: list[list[str]], words: Words) -> None:
+        self.pages, self.words = pages, words
+        self.real = [[i for i, line in enumerate(lines) if line.strip()] for lines in pages]
+        self.many = sum(bool(ids) for ids in self.real)
+        self.numbers: dict[tuple[int, int], tuple[str, int]] = {}
+        self.heads: dict[tuple[int, int], str] = {}
+        on: Counter[str] = Counter()
+        self.core: dict[tuple[int, int], str] = {}
+        for p, ids in enumerate(self.real):
+            here = set()
+            for k, i in enumerate(ids):
+                line = pages[p][i]
+                edge = k < 2 or k >= len(ids) - 2
+                if not edge and (self.many < 2 or len(line) > 120):
+                    continue
+                found = _number_of(line, words) if edge or len(line) <= WIDEST and any(c.isdigit() for c in line) else None
+                if found:
+                    self.numbers[p, i] = found[:2]
+                text = found[2] if found else line
+                if text and (core := _core(text)):
+                    self.core[p, i] = core
+                    here.add(core)
+                    if edge:
+                        self.heads[p, i] = text
+            on.update(here)
+        # Recognition misreads a character here and there: what is alike at the edges counts for one another.
+        self.on = on
+        edges: dict[int, set[str]] = {}
+        for at in self.heads:
+            if len(self.core[at]) >= 5:
+                edges.setdefault(len(self.core[at]), set()).add(self.core[at])
+        self.alike: dict[str, int] = {}
+        self.nearly: dict[str, int] = {}
+        pages_of: dict[str, set[int]] = {}
+        for (p, i), c in self.core.items():
+            if (p, i) in self.heads:
+                pages_of.setdefault(c, set()).add(p)
+        for same in edges.values():
+            for c in same:
+                like = [d for d in same if d == c or _like(c, d)]
+                self.alike[c] = len(set().union(*(pages_of[d] for d in like)))
+                self.nearly[c] = len(set().union(*(pages_of[d] for d in like if sum(map(ne, c, d)) <= 1 + len(c) // 16)))
+        # Pages that repeat nearly all they hold are copies; that tells nothing of single lines.
+        self.copies = {p for p, ids in enumerate(self.real) if 3 * sum(self.everywhere(p, i) for i in ids) > 2 * len(ids)}
+        self.bases = Counter((kind == "roman", n - p) for (p, _), (kind, n) in self.numbers.items())
+
+    def everywhere(self, p: int, i: int) -> bool:
+        """Whether at least three pages, and three fifths of all, hold the line."""
+        core = self.core.get((p, i), "")
+        sure = max(self.on[core], self.nearly.get(core, 0)) if len(core) >= 5 else 0
+        return sure >= 3 and 5 * sure >= 3 * self.many
+
+    def potential(self, p: int, k: int) -> float:
+        """The potential of line k of page p for head and foot."""
+        ids, lines = self.real[p], self.pages[p]
+        i = ids[k]
+        at, line = (p, i), lines[i]
+        core = self.core.get(at, "")
+        pages = max(self.on[core], self.alike.get(core, 0)) if len(core) >= 5 else 0
+        every = p not in self.copies and self.everywhere(p, i)
+        if at not in self.numbers and at not in self.heads and not every or at not in self.numbers and len(line.strip()) > WIDEST and not every:
+            return NEVER
+        if not (k < 2 or k >= len(ids) - 2) and not every and at not in self.numbers:
+            return NEVER
+        s = WEIGHTS["bias"]
+        if at in self.numbers:
+            kind, n = self.numbers[at]
+            base = self.bases[kind == "roman", n - p]
+            if not (k < 2 or k >= len(ids) - 2) and not every and (kind != "decorated" or base < 2):
+                return NEVER
+            s += WEIGHTS[kind] + (WEIGHTS["counts_up"] if base > 1 else 0.0)
             if kind == "plain":
-                near = [pages[p][j] for j in (ids[at - 1 : at] + ids[at + 1 : at + 2]) if not (_DECORATED.fullmatch(pages[p][j]))]
-                s += 1.6 if line.startswith("   ") else 0.0
-                s -= 4.0 if n > 2000 or any(_TABLE.fullmatch(x) for x in near) and not line.startswith("   ") and base < 3 else 0.0
-        if (p, i) in heads:
-            own = _header(heads[p, i])
+                near = [lines[j] for j in (ids[k - 1 : k] if k else []) + ids[k + 1 : k + 2] if not _DECORATED.fullmatch(lines[j])]
+                s += WEIGHTS["indented"] if line.startswith("   ") else 0.0
+                s += WEIGHTS["in_table"] if n > 2000 or any(_TABLE.fullmatch(x) for x in near) and not line.startswith("   ") and base < 3 else 0.0
+        text = self.heads.get(at) or (line if every and at not in self.numbers else "")
+        if text:
+            own = _header(text, self.words)
             s += own
-            core = cores[p, i]
-            if len(core) >= 5 and any(q != p and _like(core, c) for (q, _), c in cores.items()):
-                s += 3.0 if own > -2 else 1.0
-            nxt = ids[at + 1 : at + 2]
-            if nxt and many and p and pages[p][nxt[0]].lstrip()[:1].islower():
-                s += 1.0
-        elif (p, i) not in values:
-            return -20.0
+            if pages > 1:
+                s += WEIGHTS["repeated"] if own > -2 else WEIGHTS["repeated_no_title"]
+            if every:
+                s += WEIGHTS["every_page"]
+            nxt = ids[k + 1 : k + 2]
+            if nxt and self.many > 1 and p and lines[nxt[0]].lstrip()[:1].islower():
+                s += WEIGHTS["text_goes_on"]
         return s
 
-    out: set[tuple[int, int]] = set()
-    for p, ids in enumerate(real):
+
+def labels(pages: list[list[str]], words: Words, breaks: set[tuple[int, int]] = frozenset()) -> dict[tuple[int, int], str]:
+    """(page, line) -> state of every non-blank line; ``breaks`` are the lines with the feature of a broken word."""
+    doc = _Document(pages, words)
+    out: dict[tuple[int, int], str] = {}
+    for p, ids in enumerate(doc.real):
         if not ids:
             continue
-        # Viterbi over head -> body -> foot; inner lines can only be body.
-        n = len(ids)
-        cand = {k: score(p, ids[k]) for k in {*range(min(2, n)), *range(max(0, n - 2), n)}}
-        best = {"head": (0.0, ()), "body": (0.0, ()), "foot": (-1e9, ())}
-        for k in range(n):
-            if 2 <= k < n - 2:
-                if k == 2:
-                    best = {"head": (-1e9, ()), "body": max(best["head"], best["body"]), "foot": (-1e9, ())}
-                continue
-            w = cand[k]
-            head = (best["head"][0] + w, (*best["head"][1], k))
-            body = max(best["head"], best["body"], key=lambda x: x[0])
-            foot = max(best["body"], best["foot"], key=lambda x: x[0])
-            best = {"head": head, "body": body, "foot": (foot[0] + w, (*foot[1], k))}
-        end = max(best.values(), key=lambda x: x[0])
-        out.update((p, ids[k]) for k in end[1])
+        edge = [doc.potential(p, k) for k in range(len(ids))] if any((p, i) in doc.numbers or (p, i) in doc.heads for i in ids) else [NEVER] * len(ids)
+        best = {HEAD: (0.0, None), BODY: (0.0, None)}
+        chain = []
+        for k, i in enumerate(ids):
+            kept = BREAK if (p, i) in breaks else BODY  # the feature decides between the two
+            gain = {HEAD: edge[k], FOOT: edge[k], kept: 0.0}
+            if k == 0:
+                now = {s: (g, None) for s, g in gain.items() if g > NEVER}
+            else:
+                now = {}
+                for s, g in gain.items():
+                    if g > NEVER:
+                        came = [(v + TRANSITIONS[t, s], t) for t, (v, _) in best.items() if (t, s) in TRANSITIONS]
+                        if came:
+                            v, t = max(came)
+                            now[s] = (v + g, t)
+            chain.append(now)
+            best = now
+        state = max(best, key=lambda s: best[s][0])
+        for k in range(len(ids) - 1, -1, -1):
+            out[p, ids[k]] = state
+            state = chain[k][state][1]
     return out
 
 
+def drops(pages: list[list[str]], words: Words | None = None) -> set[tuple[int, int]]:
+    """(page, line) of running headers, footers and page numbers."""
+    return {at for at, state in labels(pages, words or {}).items() if state in (HEAD, FOOT)}
+
+
+_TITLE = re.compile(r"(?m)^[ \t]*((?:[«\"(]?[^\W\d_a-zа-яё]\S*[ \t]*){2,7})$")
+
+
+def _raised(line: str) -> float:
+    """The share of a line's words that begin with a capital; 0 for less than two words."""
+    first = [next((c for c in t if c.isalpha()), "") for t in line.split()]
+    first = [c for c in first if c]
+    return sum(c.isupper() for c in first) / len(first) if len(first) > 1 else 0.0
+
+
+def header_lines(text: str) -> tuple[list[str], list[str]]:
+    """(lines that several pages repeat at their edges, lines of a header's shape inside pages) of a document of three pages or more."""
+    pages = [[line for line in page.split("\n") if line.strip()] for page in text.split("\f")]
+    pages = [page for page in pages if page]
+    if len(pages) < 3:
+        return [], [m[1].strip() for page in pages for m in _TITLE.finditer("\n".join(page[2:-2])) if len(m[1]) <= WIDEST]
+    edge = [{_core(line): line for line in (*page[:2], *page[-2:]) if len(line.strip()) <= WIDEST} for page in pages]
+    on = Counter(c for e in edge for c in e)
+    repeated = [line for e in edge for c, line in e.items() if on[c] > 1 and len(c) >= 5 and _raised(line) >= 0.75]
+    return repeated, [m[1].strip() for page in pages for m in _TITLE.finditer("\n".join(page[2:-2])) if len(m[1]) <= WIDEST]
+
+
 def _lower_start(a: str, b: str) -> bool:
     return b[:1].islower() or a.isupper() and len(a) > 1 and b.isupper()
 
@@ -228,7 +359,7 @@ def _misread_shape(word: str) -> bool:
     return not re.search(r"\d{2}", word)
 
 
-def analyse(text: str | None) -> tuple[list[str], set[int], dict[int, tuple[str, str, str, int]]]:
+def analyse(text: str | None, words: Words | None = None) -> tuple[list[str], set[int], dict[int, tuple[str, str, str, int]]]:
     """(lines, numbers of dropped lines, for each kept line with a break its first half, second half, mark and the line of the second half)."""
     if not text or not text.strip():
         return [], set(), {}
@@ -241,7 +372,8 @@ def analyse(text: str | None) -> tuple[list[str], set[int], dict[int, tuple[str,
         pages.append(lines[at : at + n])
         starts.append(at)
         at += n
-    gone = {starts[p] + i for p, i in drops(pages)}
+    state = labels(pages, words or {})
+    gone = {starts[p] + i for (p, i), s in state.items() if s in (HEAD, FOOT)}
     kept = [i for i, line in enumerate(lines) if i not in gone and line.strip()]
     broken = {}
     for i, j in zip(kept, kept[1:]):
@@ -265,6 +397,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             words = _COMPOUND.findall(text.lower())
             counts.update(words)
+            if "\n" in text:
+                heads, inner = header_lines(text)
+                for mark, found in ((_OF_HEADS, heads), (_INSIDE, inner)):
+                    counts.update(mark + w for line in found for w in _edge_words(line) if w[1:])
             for w in words:
                 if "-" in w:
                     counts.update(w.split("-"))
@@ -274,13 +410,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+#: Marks of the counts of edge words, in repeated lines and in lines inside pages.
+_OF_HEADS, _INSIDE = "\1", "\2"
+
+
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """(word, n) over all texts: runs of letters and hyphenated compounds, lower-cased. Halves of broken words are
-    counted as they stand."""
+    counted as they stand. The counts of edge words, under their marks, come with them."""
     rows = texts.select(column).mapInArrow(_count, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def header_words(counts: DataFrame, share: float = 1e-4, least: int = 3) -> Words:
+    """The weights of words that headers begin and end with: those that make up at least ``share`` of all headers' edge words, of which
+    there can be no more than 1 / share, and are found in headers oftener than in other lines of that shape."""
+    marked = counts.where(F.col("word").startswith(_OF_HEADS) | F.col("word").startswith(_INSIDE))
+    kind, word = F.substring("word", 1, 1), F.expr("substring(word, 2)")
+    both = marked.groupBy(word.alias("w")).agg(F.sum(F.when(kind == _OF_HEADS, F.col("n")).otherwise(0)).alias("h"), F.sum(F.when(kind == _INSIDE, F.col("n")).otherwise(0)).alias("b"))
+    every = both.agg(F.sum("h"), F.sum("b")).first()
+    h_all, b_all = every[0] or 0, every[1] or 0
+    rows = both.where((F.col("h") >= max(least, share * h_all)) & (F.col("h") > F.col("b"))).collect()
+    return {r["w"]: WEIGHTS["word"] if (r["h"] + 1) * (b_all + 2) > 8 * (r["b"] + 1) * (h_all + 2) or r["b"] == 0 else WEIGHTS["likely_word"] for r in rows}
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -306,26 +458,27 @@ def misread_words(counts: DataFrame, least: int = 10, ratio: int = 20) -> DataFr
     return hit.groupBy("word").agg(F.max_by("right", "m").alias("right"))
 
 
-def _slot(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) % _BITS
-
-
 def bitmap(words: DataFrame) -> bytes:
-    """A bitmap of fixed size over the words: which may be among them. Built in pages on the cluster, 1 MB at the driver."""
+    """A bitmap over the words: which may be among them. Its size follows their number up to 16 MB, beyond which more words are
+    asked about than need be. Built in pages on the cluster."""
+    bits = _LEAST_BITS
+    n = words.count()
+    while bits < min(_MOST_BITS, 16 * n):
+        bits *= 2
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(_BITS // 8, np.uint8)
+        mine = np.zeros(bits // 8, np.uint8)
         for b in batches:
             for w in b.column(0).to_pylist():
-                s = _slot(w)
+                s = xxhash.xxh32_intdigest(w) % bits
                 mine[s >> 3] |= 1 << (s & 7)
-        used = [p for p in range(256) if mine[p * 4096 : (p + 1) * 4096].any()]
+        used = [p for p in range(bits // 32768) if mine[p * 4096 : (p + 1) * 4096].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([mine[p * 4096 : (p + 1) * 4096].tobytes() for p in used], pa.binary())], names=["page", "bits"])
 
     rows = words.select("word").mapInArrow(pages, "page int, bits binary").groupBy("page").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-    whole = bytearray(_BITS // 8)
-    for page, bits in rows.collect():
-        whole[page * 4096 : (page + 1) * 4096] = bits
+    whole = bytearray(bits // 8)
+    for page, part in rows.collect():
+        whole[page * 4096 : (page + 1) * 4096] = part
     return bytes(whole)
 
 
@@ -333,7 +486,7 @@ _FOUND = "place string, key string, line_no long, kind string, word string, othe
 _FOUND_PA = pa.schema([("place", pa.string()), ("key", pa.string()), ("line_no", pa.int64()), ("kind", pa.string()), ("word", pa.string()), ("other", pa.string())])
 
 
-def _scan(may: bytes):
+def _scan(may: bytes, header: Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, bool] = {}
 
@@ -342,14 +495,14 @@ def _scan(may: bytes):
             if v is None:
                 if len(memo) > 300_000:
                     memo.clear()
-                s = _slot(w)
+                s = xxhash.xxh32_intdigest(w) % (8 * len(may))
                 v = memo[w] = bool(may[s >> 3] >> (s & 7) & 1)
             return v
 
         for batch in batches:
             out = []
             for place, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                lines, gone, broken = analyse(text)
+                lines, gone, broken = analyse(text, header)
                 out += [(place, key, i, "drop", None, None) for i in gone]
                 if not lines:
                     continue
@@ -386,7 +539,8 @@ def _scan(may: bytes):
 def findings(texts: DataFrame, counts: DataFrame, misread: DataFrame) -> DataFrame:
     """(place, key, line_no, kind, word, right) of texts(place, key, text): drop, join and misread lines, with the word
     concerned and what it should be."""
-    raw = cut(texts.select("place", "key", "text").mapInArrow(_scan(bitmap(misread)), _FOUND), "lines")
+    header = known_words(header_words(counts))
+    raw = cut(texts.select("place", "key", "text").mapInArrow(_scan(bitmap(misread), header), _FOUND), "lines")
     sure = raw.where("kind in ('drop', 'join')").select("place", "key", "line_no", "kind", F.col("word"), F.lit(None).cast("string").alias("right"))
     known = counts.where("n >= 2")
     asked = raw.where("kind = 'join?'")
