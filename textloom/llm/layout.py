@@ -179,28 +179,28 @@ class _Document:
 
     def __init__(self, pages: list[list[str]], words: Words) -> None:
         self.pages, self.words = pages, words
-        self.real = [[i for i, line in enumerate(lines) if line.strip()] for lines in pages]
+        self.real = [[i for i, line in enumerate(lines) if line and not line.isspace()] for lines in pages]
         self.many = sum(bool(ids) for ids in self.real)
         self.numbers: dict[tuple[int, int], tuple[str, int]] = {}
         self.heads: dict[tuple[int, int], str] = {}
-        on: Counter[str] = Counter()
         self.core: dict[tuple[int, int], str] = {}
+        on: Counter[str] = Counter()
+        #: On how many pages a line stands, wherever and letter by letter.
+        self.lines: Counter[str] = Counter()
         for p, ids in enumerate(self.real):
+            lines = pages[p]
+            if self.many > 2:
+                self.lines.update(set(map(str.strip, lines)))
             here = set()
-            for k, i in enumerate(ids):
-                line = pages[p][i]
-                edge = k < 2 or k >= len(ids) - 2
-                if not edge and (self.many < 2 or len(line) > 120):
-                    continue
-                found = _number_of(line, words) if edge or len(line) <= WIDEST and any(c.isdigit() for c in line) else None
+            for i in {*ids[:2], *ids[-2:]}:
+                found = _number_of(lines[i], words)
                 if found:
                     self.numbers[p, i] = found[:2]
-                text = found[2] if found else line
+                text = found[2] if found else lines[i]
                 if text and (core := _core(text)):
                     self.core[p, i] = core
                     here.add(core)
-                    if edge:
-                        self.heads[p, i] = text
+                    self.heads[p, i] = text
             on.update(here)
         # Recognition misreads a character here and there: what is alike at the edges counts for one another.
         self.on = on
@@ -220,13 +220,14 @@ class _Document:
                 self.alike[c] = len(set().union(*(pages_of[d] for d in like)))
                 self.nearly[c] = len(set().union(*(pages_of[d] for d in like if sum(map(ne, c, d)) <= 1 + len(c) // 16)))
         # Pages that repeat nearly all they hold are copies; that tells nothing of single lines.
-        self.copies = {p for p, ids in enumerate(self.real) if 3 * sum(self.everywhere(p, i) for i in ids) > 2 * len(ids)}
+        self.copies = {p for p, ids in enumerate(self.real) if self.many > 2 and 3 * sum(self.everywhere(p, i) for i in ids) > 2 * len(ids)}
         self.bases = Counter((kind == "roman", n - p) for (p, _), (kind, n) in self.numbers.items())
 
     def everywhere(self, p: int, i: int) -> bool:
         """Whether at least three pages, and three fifths of all, hold the line."""
+        line = self.pages[p][i].strip()
         core = self.core.get((p, i), "")
-        sure = max(self.on[core], self.nearly.get(core, 0)) if len(core) >= 5 else 0
+        sure = max(self.lines[line] if len(line) >= 5 else 0, self.on[core] if len(core) >= 5 else 0, self.nearly.get(core, 0))
         return sure >= 3 and 5 * sure >= 3 * self.many
 
     def potential(self, p: int, k: int) -> float:
@@ -236,17 +237,18 @@ class _Document:
         at, line = (p, i), lines[i]
         core = self.core.get(at, "")
         pages = max(self.on[core], self.alike.get(core, 0)) if len(core) >= 5 else 0
-        every = p not in self.copies and self.everywhere(p, i)
-        if at not in self.numbers and at not in self.heads and not every or at not in self.numbers and len(line.strip()) > WIDEST and not every:
-            return NEVER
-        if not (k < 2 or k >= len(ids) - 2) and not every and at not in self.numbers:
+        edge = k < 2 or k >= len(ids) - 2
+        every = self.many > 2 and p not in self.copies and self.everywhere(p, i)
+        if not edge and len(line) <= 40 and (found := _number_of(line, self.words)) and found[0] == "decorated":
+            self.numbers[at] = found[:2]  # a number further in, which must count up
+            if self.bases[False, found[1] - p] < 2:
+                self.numbers.pop(at)
+        if at not in self.numbers and not every and (not edge or at not in self.heads or len(line.strip()) > WIDEST):
             return NEVER
         s = WEIGHTS["bias"]
         if at in self.numbers:
             kind, n = self.numbers[at]
             base = self.bases[kind == "roman", n - p]
-            if not (k < 2 or k >= len(ids) - 2) and not every and (kind != "decorated" or base < 2):
-                return NEVER
             s += WEIGHTS[kind] + (WEIGHTS["counts_up"] if base > 1 else 0.0)
             if kind == "plain":
                 near = [lines[j] for j in (ids[k - 1 : k] if k else []) + ids[k + 1 : k + 2] if not _DECORATED.fullmatch(lines[j])]
@@ -273,37 +275,59 @@ def labels(pages: list[list[str]], words: Words, breaks: set[tuple[int, int]] =
     for p, ids in enumerate(doc.real):
         if not ids:
             continue
-        edge = [doc.potential(p, k) for k in range(len(ids))] if any((p, i) in doc.numbers or (p, i) in doc.heads for i in ids) else [NEVER] * len(ids)
-        best = {HEAD: (0.0, None), BODY: (0.0, None)}
-        chain = []
-        for k, i in enumerate(ids):
-            kept = BREAK if (p, i) in breaks else BODY  # the feature decides between the two
-            gain = {HEAD: edge[k], FOOT: edge[k], kept: 0.0}
-            if k == 0:
-                now = {s: (g, None) for s, g in gain.items() if g > NEVER}
-            else:
-                now = {}
-                for s, g in gain.items():
-                    if g > NEVER:
-                        came = [(v + TRANSITIONS[t, s], t) for t, (v, _) in best.items() if (t, s) in TRANSITIONS]
-                        if came:
-                            v, t = max(came)
-                            now[s] = (v + g, t)
-            chain.append(now)
-            best = now
-        state = max(best, key=lambda s: best[s][0])
-        for k in range(len(ids) - 1, -1, -1):
-            out[p, ids[k]] = state
-            state = chain[k][state][1]
+        n = len(ids)
+        kept = [BREAK if (p, i) in breaks else BODY for i in ids] if breaks else [BODY] * n  # the feature decides between the two
+        # Up to the first line that cannot be a head, and from the last that cannot be a foot; what lies between can only be body.
+        top: list[float] = []
+        while len(top) < n and (not top or top[-1] > NEVER):
+            top.append(doc.potential(p, len(top)))
+        if top[-1] > NEVER:
+            states = _viterbi(top, kept, True)
+        else:
+            foot: list[float] = []
+            while not foot or foot[-1] > NEVER:
+                foot.append(doc.potential(p, n - 1 - len(foot)))
+            a, b = len(top), len(foot)
+            states = kept[:]
+            states[:a] = _viterbi(top, kept[:a], True)
+            states[n - b :] = _viterbi(foot[::-1], kept[n - b :], False)
+        for i, state in zip(ids, states):
+            out[p, i] = state
     return out
 
 
+def _viterbi(potentials: list[float], kept: list[str], first: bool) -> list[str]:
+    """The best states of lines in a row, the first of which begins a page or follows body."""
+    best = {HEAD: 0.0, BODY: 0.0} if first else {BODY: 0.0}
+    back = []
+    for k, (w, own) in enumerate(zip(potentials, kept)):
+        now: dict[str, float] = {}
+        came_from: dict[str, str | None] = {}
+        for s, g in ((own, 0.0), (HEAD, w), (FOOT, w)):
+            if g <= NEVER:
+                continue
+            if k == 0 and first:
+                now[s], came_from[s] = g, None
+                continue
+            v, t = max(((v + TRANSITIONS[t, s], t) for t, v in best.items() if (t, s) in TRANSITIONS), default=(None, None))
+            if t is not None:
+                now[s], came_from[s] = v + g, t
+        back.append(came_from)
+        best = now
+    state = max(best, key=lambda s: best[s])
+    out = []
+    for came_from in reversed(back):
+        out.append(state)
+        state = came_from[state]
+    return out[::-1]
+
+
 def drops(pages: list[list[str]], words: Words | None = None) -> set[tuple[int, int]]:
     """(page, line) of running headers, footers and page numbers."""
     return {at for at, state in labels(pages, words or {}).items() if state in (HEAD, FOOT)}
 
 
-_TITLE = re.compile(r"(?m)^[ \t]*((?:[«\"(]?[^\W\d_a-zа-яё]\S*[ \t]*){2,7})$")
+_TITLE = re.compile(r"(?m)^[ \t]*([«\"(]?[^\W\d_a-zа-яё]\S*(?:[ \t]+[«\"(]?[^\W\d_a-zа-яё]\S*){1,6})[ \t]*$")
 
 
 def _raised(line: str) -> float:
