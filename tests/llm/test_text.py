@@ -252,6 +252,32 @@ def cut(text, **o):
     return [text[x:y] for x, y in zip(b, e)]
 
 
+@pytest.mark.parametrize(
+    "text,parts",
+    [
+        ('A 5" pipe was laid. The crew left. They came back. It rained.', ['A 5" pipe was laid.', "The crew left.", "They came back.", "It rained."]),
+        ('He said "No. Not today." and left. Then a 7" nail broke.\n\nIt went on. It ended.', ['He said "No. Not today." and left.', 'Then a 7" nail broke.', "It went on.", "It ended."]),
+        ('"We open a quotation and never close it. It ends with the paragraph.\n\nNothing is quoted. Not here.', ['"We open a quotation and never close it. It ends with the paragraph.', "Nothing is quoted.", "Not here."]),
+        ("„Das Lager wartet.“Die Prüfstelle auch.", ["„Das Lager wartet.“", "Die Prüfstelle auch."]),
+        ("Gen. Smith met Lt. Jones. They left.", ["Gen. Smith met Lt. Jones.", "They left."]),
+        ("La Réf. 12 est close. Le 3 janv. 2020 aussi.", ["La Réf. 12 est close.", "Le 3 janv. 2020 aussi."]),
+    ],
+)
+def test_quotes_and_abbreviations(text, parts):
+    assert cut(text) == parts
+
+
+def test_long_documents_in_pieces(spark):
+    """Pieces of documents give what the whole gives, with the wrapping width of the whole."""
+    r = random.Random(4)
+    para = "The register was kept in the ledger of the\nwarehouse team. „Nein. Morgen.“ war die Antwort\nvon S. Dubare. 1. Sort it;\nПриказ отменён! Что делать"
+    docs = [(i, ("\n\n" if i % 2 else "\f").join(" ".join(r.sample(para.split(" "), 12)) + "\n" + para for _ in range(n))) for i, n in enumerate((1, 7, 60))] + [(3, None), (4, ""), (1, para)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(map(tuple, sentences.units(df).collect()))
+    assert whole and sorted(map(tuple, sentences.units(df, long=500, piece=300).collect())) == whole
+    assert all(sentences.pieces(t, 300)[0][0] == 0 and "".join(x for _, x in sentences.pieces(t, 300)) == t for _, t in docs if t)
+
+
 @pytest.mark.parametrize(
     "parts",
     [

@@ -9,6 +9,11 @@ vectorised run; a document longer than a chunk is cut, each further chunk become
 (run from all states at once), the functions are composed by a parallel prefix scan, and with the entry states known
 every chunk emits its boundaries.
 
+A blank line or page break takes every state back to the start, so the function of what stands before it is constant: a document
+of more than ``LONG`` bytes is cut there into pieces that are spread over the cluster, each with the line width its whole document
+shows (measured per piece and combined). Which quotation mark opens and which closes is told by what stands beside it; whether a
+quotation is open is a state and ends with its paragraph.
+
 Defined results: null, empty and blank texts have no units; texts of any length are read whole; repeated rows repeat
 their units; unknown or wrong language tags do not matter, since the script decides; extra columns are ignored.
 """
@@ -24,22 +29,43 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from textloom.session import cut
 
-S, N, U, L, C, D, T, W, O, Q, P, OB, QB, H, K = range(15)
-CLASSES = 15
+S, N, U, L, C, D, T, W, O, Q, P, OB, QB, H, K, OQ = range(16)
+CLASSES = 16
 CHUNK = 512
 
-# Abbreviations whose stop never ends a sentence before a capital.
+# Abbreviations whose stop never ends a sentence before a capital, by language.
 _NEVER = frozenset(
-    "Dept Abt Dpto Dr Mr Mrs Ms Prof Sr Sra Dra Hr Fr Hn Mme Mlle St Ste avda av ул просп пер наб им гр тов κ κα Δρ e.g i.e vs cf bzw ca approx aprox resp напр"
-    " Art art Fig fig Abb Kap Bd Hrsg vgl Vgl sog evtl ggf inkl zzgl Capt Sgt Messrs डॉ श्री सं रु رقم د أ م كغ كجم".split()
+    " ".join(
+        (
+            "Dept Dr Mr Mrs Ms Prof St e.g i.e vs cf approx resp Art art Fig fig Capt Sgt Gen Lt Col Maj Cpl Adm Cmdr Rev Hon Gov Sen Pres Supt Messrs",  # English
+            "Abt Hr Fr Hn bzw ca Abb Kap Bd Hrsg vgl Vgl sog evtl ggf inkl zzgl Dipl Ing Std Mio Mrd Str",  # German
+            "Mme Mlle MM Mgr Ste av avda Réf réf env",  # French
+            "Dpto Sr Sra Dra Srta Ud Uds aprox Lic Arq Gral",  # Spanish
+            "ул просп пер наб им гр тов напр акад проф доц инж",  # Russian
+            "κ κα Δρ κος αριθ",  # Greek
+            "डॉ श्री सं रु رقم د أ م كغ كجم",  # Hindi, Arabic
+        )
+    ).split()
 )
-# Abbreviations whose stop does not end a sentence before a figure.
-BEFORE_FIGURE = (
-    "No Nr Fig fig p pp fol sec para art Art pág págs bât apt п пп д стр Стр с пом доб тел см См рис Рис разд гл ч кв корп стр каб прил δηλ aprox approx bzw cf ca Tel tel Abb vol ch n S Z Kap αρ σελ рег ном № "
-    "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec सं रु ext no vs"
+# Abbreviations whose stop does not end a sentence before a figure, by language.
+BEFORE_FIGURE = " ".join(
+    (
+        "No Fig fig p pp fol sec para art Art apt approx cf Tel tel vol ch n ext no vs Ref ref pt v",
+        "Nr S Z Kap Abb bzw ca Bd Ziff Rn",
+        "pág págs bât réf Réf éd",
+        "П пп п д стр Стр с пом доб тел см См рис Рис разд гл ч кв корп каб прил ном № т вып",
+        "δηλ αρ σελ рег",
+        "aprox núm Núm",
+        "सं रु",
+        "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec янв февр апр авг сент окт нояб дек janv févr avr juil déc ene abr ago dic",
+    )
 ).split()
-MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner".split()
+# Names of months that begin with a capital, which an ordinal with a stop may stand before.
+MONTHS = "Januar Jänner Februar Feber März April Mai Juni Juli August September Oktober November Dezember January February March May June July October December".split()
 #: Words after which a single capital is no initial.
 LETTERED = "plan Plan план План планом плану плана Variante variant вариант option opción option Punkt".split()
 
@@ -54,10 +80,18 @@ _CANDIDATE = re.compile(r"\.(?=([^\W_])|\s+([^\W_«“„(])|)")
 #: Vowel signs of the scripts that write vowels as marks; they belong to the word before a stop.
 _SIGNS = frozenset(map(chr, [*range(0x900, 0x904), *range(0x93A, 0x950), 0x962, 0x963]))
 _MARKER = re.compile(r"[ \t]*(?:\d{1,4}[.)]|[-•*–—·‣◦▪]|\(?[a-zа-яα-ω\d]{1,2}\))[ \t]+(?=\S)")
-_GERMAN_QUOTE = re.compile(r"„[^“„\n\f]*(?:\n[^“„\n\f]+){0,12}“")
+#: A mark that opens or closes by its place: straight, or the German closing mark that opens in English. It closes behind a word or
+#: sign and before white space, a sign or the end; behind a figure a straight mark is closing too, which does nothing where no quotation
+#: is open (5" of pipe).
+_CLOSING = re.compile(r"(?<=[^\s(\[{«„])[\"“](?=\s|[^\w\s]|$)")
+#: Right behind a stop and before a word it closes a quotation that is open and else opens one: for the states to tell.
+_EITHER = re.compile(r"(?<=[.!?…])[\"“](?=\w)")
 _LINE_END = re.compile(r"[.!?…。！？।።؟:;»”」）)]\s*$")
 _BRAND = re.compile(r"(?<![^\W_])[a-zа-я](?=[A-ZА-ЯЁ][a-zа-яё])")
 _GREEK_Q = re.compile(r"(?<=[α-ωά-ώ])[;;](?=\s|$|[»)])")
+#: A line below this many characters can be a heading; two thirds of the usual line. A line must have so many to tell that text was
+#: wrapped at its width, since shorter ones stand in lists and addresses.
+_HEADING, _WRAPPED = 80, 30
 _HEADING_STOP = re.compile(r"(?<=\d)\.(?=\s)")
 _KEEP = re.compile("[」』”](?:と|って|然后|，)")
 
@@ -203,16 +237,15 @@ def _rules() -> tuple[np.ndarray, np.ndarray]:
     on(TBM, H, TH)
     for s in range(STATES):
         on(s, N, START)
+    # A mark that may open or close does what the state asks for.
+    quoted = np.isin(np.arange(STATES), (QS, QM, QST, QMT, Q2S, Q2M))
+    for t in (nxt, out):
+        t[OQ] = np.where(quoted, t[Q], t[O])
     return nxt, out
 
 
-def _lines(text: str, k: np.ndarray) -> None:
-    """Marks the line breaks that end a unit (class N), and takes the stops of list markers and headings out."""
-    if "\n" not in text and "\f" not in text and "\r" not in text:
-        m = _MARKER.match(text)
-        if m:
-            k[m.start() : m.end()][np.isin(k[m.start() : m.end()], (T, QB, OB))] = P
-        return
+def _rows(text: str) -> tuple[list[int], list[int], list[str], list[str], list[bool], list]:
+    """(starts, ends, lines, lines without white space at their ends, whether they end a sentence, list markers) of a text."""
     ends = [m.start() for m in re.finditer("[\n\f]", text)]
     starts = [0, *(e + 1 for e in ends)]
     ends.append(len(text))
@@ -220,12 +253,41 @@ def _lines(text: str, k: np.ndarray) -> None:
     bare = [r.strip() for r in rows]
     done = [bool(_LINE_END.search(b)) for b in bare]
     mark = [m if m and not (m[0].strip() in "-–—" and r[m.end() : m.end() + 1].islower()) else None for r in rows for m in [_MARKER.match(r)]]
+    return starts, ends, rows, bare, done, mark
+
+
+Widths = tuple[int, int, int]
+
+
+def _widths(rows: list[str], bare: list[str], done: list[bool], mark: list) -> Widths:
+    """(longest line that surely goes on in the next, how many lines of some length may go on, the longest of them)."""
     cased = [b[:1].isupper() or b[:1].islower() for b in bare]
     sure = [len(r.rstrip()) for r, b, b2, m2 in zip(rows, bare, bare[1:], mark[1:]) if b and b2 and b2[0].islower() and not m2]
-    if not sure:
-        loose = [len(r.rstrip()) for r, b, d, b2, m2, m1, c in zip(rows, bare, done, bare[1:], mark[1:], mark, cased[1:]) if b and b2 and not d and not m2 and not m1 and not c]
-        sure = [x for x in loose if x >= 30] if sum(x >= 30 for x in loose) >= 2 else []
-    width = max(sure, default=0)
+    loose = [len(r.rstrip()) for r, b, d, b2, m2, m1, c in zip(rows, bare, done, bare[1:], mark[1:], mark, cased[1:]) if b and b2 and not d and not m2 and not m1 and not c]
+    loose = [x for x in loose if x >= _WRAPPED]
+    return max(sure, default=0), len(loose), max(loose, default=0)
+
+
+def _width(sure: int, n: int, loose: int) -> int:
+    """The width at which a document was wrapped, 0 if it was not."""
+    return sure or (loose if n >= 2 else 0)
+
+
+def widths_of(text: str) -> Widths:
+    _, _, rows, bare, done, mark = _rows(text)
+    return _widths(rows, bare, done, mark)
+
+
+def _lines(text: str, k: np.ndarray, width: int | None = None) -> None:
+    """Marks the line breaks that end a unit (class N), and takes the stops of list markers and headings out."""
+    if "\n" not in text and "\f" not in text and "\r" not in text:
+        m = _MARKER.match(text)
+        if m:
+            k[m.start() : m.end()][np.isin(k[m.start() : m.end()], (T, QB, OB))] = P
+        return
+    starts, ends, rows, bare, done, mark = _rows(text)
+    if width is None:
+        width = _width(*_widths(rows, bare, done, mark))
     # In wrapped text a figure with a stop may come to stand first in its line.
     for i in range(1, len(rows)):
         if mark[i] and mark[i][0].strip()[0].isdigit() and bare[i - 1] and not mark[i - 1] and text[starts[i] - 1] != "\f":
@@ -252,7 +314,7 @@ def _lines(text: str, k: np.ndarray) -> None:
         if mark[i] and (i == 0 or hard[i - 1]):
             part = k[starts[i] + mark[i].start() : starts[i] + mark[i].end()]
             part[np.isin(part, (T, QB, OB, H))] = P
-        if bare[i] and not done[i] and len(bare[i]) <= 80 and (i == 0 or hard[i - 1]) and (i == len(rows) - 1 or hard[i]):
+        if bare[i] and not done[i] and len(bare[i]) <= _HEADING and (i == 0 or hard[i - 1]) and (i == len(rows) - 1 or hard[i]):
             for m in _HEADING_STOP.finditer(r):
                 k[starts[i] + m.start()] = P
 
@@ -260,17 +322,17 @@ def _lines(text: str, k: np.ndarray) -> None:
 _PREVIOUS = re.compile(r"([^\W\d_]+)\s+$")
 
 
-def classify(text: str) -> np.ndarray:
-    """The symbol class of every code point."""
+def classify(text: str, width: int | None = None) -> np.ndarray:
+    """The symbol class of every code point; ``width`` is that of the whole document where the text is a piece of it."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     k = _table()[codes]
-    _lines(text, k)
+    _lines(text, k, width)
     for m in _CANDIDATE.finditer(text):
         at = m.start()
         if k[at] != T:
             continue
         start = at
-        while start and at - start < 24 and (text[start - 1].isalpha() or text[start - 1] in _SIGNS):
+        while start and (text[start - 1].isalpha() or text[start - 1] in _SIGNS):
             start -= 1
         word, direct, after = text[start:at] or None, m[1], m[2]
         if word and word[-1] < "ɐ" and not word.isascii() and max(word) > "ɏ":
@@ -307,12 +369,15 @@ def classify(text: str) -> np.ndarray:
     for m in _PAIR.finditer(text):
         k[m.end() - 1] = P
         k[m.start() + 1] = P
-    if "„" in text:
-        for m in _GERMAN_QUOTE.finditer(text):
-            k[m.end() - 1] = Q
-    if '"' in text:
-        for i, m in enumerate(re.finditer('"', text)):
-            k[m.start()] = Q if i % 2 else O
+    if '"' in text or "“" in text:
+        for i in [m.start() for m in re.finditer('"', text)]:
+            k[i] = O
+        for m in _CLOSING.finditer(text):
+            k[m.start()] = Q
+        for m in _EITHER.finditer(text):
+            k[m.start()] = OQ
+        for m in re.finditer(r'(?<=\w)"(?=\w)', text):
+            k[m.start()] = P
     for m in _BRAND.finditer(text):
         k[m.start()] = U
     if ";" in text or ";" in text:
@@ -388,7 +453,7 @@ def _scan(f: np.ndarray, first: np.ndarray) -> np.ndarray:
     return f
 
 
-def segment(texts: list[str | None], chunk: int = CHUNK) -> list[tuple[np.ndarray, np.ndarray]]:
+def segment(texts: list[str | None], chunk: int = CHUNK, widths: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(starts, ends) of the sentence units of every text, in code points."""
     pieces, owner, firsts, where = [], [], [], []
     kinds: list[np.ndarray | None] = []
@@ -396,7 +461,7 @@ def segment(texts: list[str | None], chunk: int = CHUNK) -> list[tuple[np.ndarra
         if not text or not text.strip():
             kinds.append(None)
             continue
-        k = classify(text)
+        k = classify(text, widths[d] if widths else None)
         kinds.append(k)
         at = _compress(k)
         for i in range(0, len(at), chunk):
@@ -443,19 +508,64 @@ def segment(texts: list[str | None], chunk: int = CHUNK) -> list[tuple[np.ndarra
     return out
 
 
-def units(documents: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """(id, sent_start, sent_end) of every sentence unit; row-wise in Arrow batches, no shuffle."""
-    kind = documents.schema[id_column].dataType
+#: Bytes above which a document is cut into pieces for several tasks, and about how many characters a piece has.
+LONG, PIECE = 4 << 20, 1 << 20
+_BLANK = re.compile(r"\n[ \t]*\n|\f")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def pieces(text: str, size: int = PIECE) -> list[tuple[int, str]]:
+    """(start, piece) of a text cut at blank lines or page breaks, each the first behind ``size`` characters."""
+    out, at = [], 0
+    while at < len(text):
+        m = _BLANK.search(text, min(len(text), at + size))
+        end = m.end() if m else len(text)
+        out.append((at, text[at:end]))
+        at = end
+    return out
+
+
+def units(documents: DataFrame, id_column: str = "doc_id", column: str = "text", long: int = LONG, piece: int = PIECE) -> DataFrame:
+    """(id, sent_start, sent_end) of every sentence unit. Row-wise in Arrow batches and without a shuffle, but for documents of more
+    than ``long`` bytes, whose pieces are shuffled once."""
+    kind = documents.schema[id_column].dataType.simpleString()
+    out = f"{id_column} {kind}, sent_start long, sent_end long"
+
+    def emit(ids: pa.Array, texts: list[str | None], firsts: list[int], widths: list[int | None] | None) -> pa.RecordBatch:
+        found = segment(texts, widths=widths)
+        counts = np.array([len(b) for b, _ in found])
+        begin = np.repeat(np.array(firsts, np.int64), counts)
+        starts = np.concatenate([b for b, _ in found]) if len(found) else np.empty(0, np.int64)
+        ends = np.concatenate([e for _, e in found]) if len(found) else np.empty(0, np.int64)
+        own = ids.take(pa.array(np.repeat(np.arange(len(found)), counts)))
+        return pa.RecordBatch.from_arrays([own, pa.array(starts.astype(np.int64) + begin), pa.array(ends.astype(np.int64) + begin)], names=[id_column, "sent_start", "sent_end"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                found = segment(part.column(1).to_pylist())
-                counts = np.array([len(b) for b, _ in found])
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), counts)))
-                starts = np.concatenate([b for b, _ in found]) if len(found) else np.empty(0, np.int64)
-                ends = np.concatenate([e for _, e in found]) if len(found) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(starts.astype(np.int64)), pa.array(ends.astype(np.int64))], names=[id_column, "sent_start", "sent_end"])
-
-    return documents.select(id_column, column).mapInArrow(run, f"{id_column} {kind.simpleString()}, sent_start long, sent_end long")
+                yield emit(part.column(0), part.column(1).to_pylist(), [0] * part.num_rows, None)
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(1)[row].as_py()
+                for at, t in pieces(text, piece):
+                    sure, n, loose = widths_of(t)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(2).slice(row, 1), *(pa.array([v], pa.int64()) for v in (at, sure, n, loose)), pa.array([t])], names=["id", "of", "at", "sure", "n", "loose", "piece"])
+
+    def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sure, n, loose = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for row in range(batch.num_rows):
+                yield emit(batch.column(0).slice(row, 1), [batch.column(2)[row].as_py()], [batch.column(1)[row].as_py()], [_width(sure[row], n[row], loose[row])])
+
+    docs = documents.select(F.col(id_column), F.col(column))
+    size = F.coalesce(F.octet_length(column), F.lit(0))
+    short = docs.where(size <= long).mapInArrow(whole, out)
+    cuts = docs.where(size > long).select(F.col(id_column).alias("id"), F.col(column), F.xxhash64(id_column, column).alias("of")).mapInArrow(cut_up, f"id {kind}, of long, at long, sure long, n long, loose long, piece string")
+    if cuts.isEmpty():
+        return short
+    cuts = cut(cuts, "pieces")
+    shape = cuts.groupBy("of").agg(F.max("sure").alias("sure"), F.sum("n").alias("n"), F.max("loose").alias("loose"))
+    spread = cuts.select("id", "of", "at", "piece").repartition(2 * documents.sparkSession.sparkContext.defaultParallelism, "of", "at").join(shape, "of")
+    return short.unionByName(spread.select("id", "at", "piece", "sure", "n", "loose").mapInArrow(in_pieces, out))
