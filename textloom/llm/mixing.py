@@ -11,9 +11,10 @@ the shares deviate and how much of the corpus is used. Without a budget, ``mix``
 at the largest total at which all sources can still reach theirs, which the scarcest source decides.
 
 Scale. Running sums are made in two levels: per (source, epoch, slice of the hash) a sum, whose running sums over
-slices are a small table bounded by the parameters, and inside each slice a window. The cut at the budget works the
-same way over slices of finish time, refined once, so neither a source that holds a third of all rows nor the cut
-itself gathers its rows in one task.
+slices are a small table bounded by the parameters, and inside each slice a window. There are as many slices as keep about ``PER_SLICE`` documents in each, however large a source is. The cut
+at the budget works the same way over slices of finish time, refined until no more than ``EDGE`` documents are left in the last one, or
+all of these finish at the same time, which a range sort with running sums per range puts in order; so neither a source that holds a
+third of all rows nor the cut itself gathers its rows in one task.
 
 Defined results: null, empty and zero-token documents and sources without a target are left out; a source of the targets
 without documents is reported with 0; repeated rows are separate documents only if their ids differ; ties of finish time go by
@@ -25,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.session import cut
+from textloom.session import bounded_broadcast, cut
 
 SLICES = 1024
+#: Documents of one source and epoch in a slice, and documents at the edge of the budget that one task may order.
+PER_SLICE, EDGE = 100_000, 100_000
 
 
 def _running(df: DataFrame, groups: list[str], value: str, order: list[str]) -> DataFrame:
@@ -42,45 +45,55 @@ def _running(df: DataFrame, groups: list[str], value: str, order: list[str]) ->
 def available(sizes: DataFrame, targets: DataFrame) -> int:
     """The tokens, each document once, of the sources that have a target: the whole of what can be mixed."""
     wanted = targets.where("target_share > 0 and max_repeats > 0").select("source").distinct()
-    return int(sizes.where("tokens > 0").join(F.broadcast(wanted), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0)
+    return int(sizes.where("tokens > 0").join(bounded_broadcast(wanted), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0)
 
 
 def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, slices: int = SLICES) -> DataFrame:
     """(doc_id, source, epoch, tokens, finish) of the chosen documents; sizes(doc_id, source, tokens)."""
     wanted = targets.where("target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").cast("int").alias("repeats"))
-    docs = sizes.where("tokens > 0").select("doc_id", "source", "tokens").join(F.broadcast(wanted), "source")
+    docs = sizes.where("tokens > 0").select("doc_id", "source", "tokens").join(bounded_broadcast(wanted), "source")
     docs = cut(docs, "documents")
-    have = docs.groupBy("source").agg(F.sum("tokens").alias("t"), F.first("share").alias("share"), F.first("repeats").alias("repeats")).collect()
+    have = docs.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.first("share").alias("share"), F.first("repeats").alias("repeats")).collect()
     if not have:
         return docs.select("doc_id", "source", F.lit(0).alias("epoch"), "tokens", F.lit(0.0).alias("finish"))
     shares = sum(r["share"] for r in have)
     level = min(r["t"] * r["repeats"] / r["share"] for r in have)
     if budget is None:
         budget = int(level * shares)
-    # No source sends beyond its repeats; a finish time beyond the last needed is not made.
+    # Every repeat a source is allowed gets its finish time; those beyond the budget are cut off below.
+    parts = max(slices, -(-max(r["n"] for r in have) // PER_SLICE))
     epochs = docs.withColumn("epoch", F.explode(F.expr("sequence(0, repeats - 1)")))
     h = F.xxhash64("doc_id", "epoch", F.lit(seed))
-    queued = epochs.withColumn("h", h).withColumn("slice", F.shiftrightunsigned("h", 54).cast("int") % slices)
+    queued = epochs.withColumn("h", h).withColumn("slice", F.floor(F.shiftrightunsigned("h", 32) * F.lit(parts) / F.lit(2**32)).cast("long"))
     sent = _running(queued, ["source", "epoch", "slice"], "tokens", ["h", "doc_id"])
     timed = cut(sent.select("doc_id", "source", "epoch", "tokens", (F.col("_cum") / F.col("share")).alias("finish")), "finish")
     last = timed.agg(F.max("finish")).first()[0]
     low, high, spent = 0.0, last * (1 + 1e-9) + 1e-9, 0
-    for _ in range(2):  # narrow the cut to one slice of a slice
+    while True:  # narrow the cut to one slice of the slice before, until what is left in it is few or all at one time
         width = (high - low) / slices
-        bins = timed.where((F.col("finish") >= low) & (F.col("finish") < high)).groupBy(F.floor((F.col("finish") - low) / width).alias("bin")).agg(F.sum("tokens").alias("t"))
-        rows = sorted((r["bin"], r["t"]) for r in bins.collect())  # at most ``slices`` rows
+        within = timed.where((F.col("finish") >= low) & (F.col("finish") < high))
+        bins = within.groupBy(F.floor((F.col("finish") - low) / width).alias("bin")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+        rows = sorted((r["bin"], r["t"], r["n"]) for r in bins.collect())  # about ``slices`` rows
         at = None
-        for b, t in rows:
+        for b, t, n in rows:
             if spent + t > budget:
                 at = b
                 break
             spent += t
         if at is None:
-            return timed
+            return timed.where(F.col("finish") < high)
         low, high = low + at * width, low + (at + 1) * width
+        if n <= EDGE or not low < low + (high - low) / slices < high:
+            break
     edge = timed.where((F.col("finish") >= low) & (F.col("finish") < high))
-    cum = F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy("finish", "source", "epoch", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return timed.where(F.col("finish") < low).unionByName(edge.withColumn("_cum", cum).where(F.col("_cum") <= budget - spent).drop("_cum"))
+    return timed.where(F.col("finish") < low).unionByName(_first(edge, budget - spent))
+
+
+def _first(edge: DataFrame, budget: int) -> DataFrame:
+    """The first of edge by finish time and tie, as many as the budget takes: ranges in order, running sums per range."""
+    order = ("finish", "source", "epoch", "doc_id")
+    ranged = cut(edge.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "edge")
+    return _running(ranged.withColumn("_all", F.lit(0)), ["_all", "_range"], "tokens", list(order)).where(F.col("_cum") <= budget).select(*edge.columns)
 
 
 def report(mixed: DataFrame, targets: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
