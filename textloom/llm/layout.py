@@ -60,7 +60,9 @@ _BROKEN = re.compile(rf"([^\W\d_][^\W_]*(?:['’][^\W_]+)?(?:-[^\W_]+)*)([{BREAK
 _FIRST = re.compile(r"[ \t]*([^\W_]+)")
 _WORD = re.compile(r"[^\W\d_]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-_TRIGGER = re.compile(r"(?<=[^\W\d_])[01345689!](?=[^\W\d_])|(?<=[^\W\d_]{3})[01345689](?![\w!])|(?<![\w.])1(?=[^\W\d_]{3})|(?<=[^\W\d_])и,(?=[^\W\d_])|ь1")
+#: Characters that recognition puts into words: figures and signs behind, between and before letters. One class of characters comes
+#: first, so that the search passes over the rest.
+_TRIGGER = re.compile(r"[01345689!иь](?:(?<=[^\W\d_][01345689!])(?=[^\W\d_])|(?<=[^\W\d_]{3}[01345689])(?![\w!])|(?<=1)(?<![\w.]1)(?=[^\W\d_]{3})|(?<=[^\W\d_]и),(?=[^\W\d_])|(?<=ь)1)")
 _REPAIR = {"ru": str.maketrans("013464", "олзчбч"), "en": str.maketrans("01!5936", "oliseeb")}
 #: Bits of the bitmap of words that may be misread: sixteen a word, a power of two, within these bounds.
 _LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 27
