@@ -13,7 +13,7 @@ def test_names_match():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["search_and", "search_phrase", "search_bm25_topk", "facet_counts", "incremental_actions", "p4_found", "p4_plan", "debounce_changes", "term_stats_df_cf"])
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

@@ -176,13 +176,6 @@ def test_full_checks():
     assert watch.full_check_due(1, overflow=True, quiet_ms=1500) and not watch.full_check_due(1, overflow=True, quiet_ms=1499)
 
 
-def test_apply_batch(spark):
-    now = spark.createDataFrame([("d/a.txt",), ("d/sub/b.txt",), ("e/c.txt",)], "path string")
-    due = spark.createDataFrame([("d/a.txt", False), ("d/sub", True), ("e", False), ("gone", False)], "key string, tree boolean")
-    upsert, delete = watch.apply_batch(now, due)
-    assert {r["key"] for r in upsert.collect()} == {"d/a.txt", "d/sub/b.txt"} and [r["key"] for r in delete.collect()] == ["gone"]
-
-
 def pdf(*streams, flate=False):
     import zlib
 

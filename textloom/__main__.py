@@ -7,10 +7,13 @@ import json
 import sys
 from pathlib import Path
 
+from textloom import service
 from textloom.functions import values
 from textloom.operators import index, run, search, snippets
 from textloom.session import build
 from textloom.sources import extract as extraction
+from textloom.sources import feed
+from textloom.streaming import watch
 
 
 def _index(a: argparse.Namespace) -> None:
@@ -60,6 +63,37 @@ def _search(a: argparse.Namespace) -> None:
             print("   ", (r["location"] + ": " if r["location"] else "") + "".join(p["text"] for p in r["parts"] or []))
 
 
+def _serve(a: argparse.Namespace) -> None:
+    with service.Server(index.Index(build(), a.index), a.port) as server:
+        print(f"http://127.0.0.1:{server.server_port}/")
+        server.serve_forever()
+
+
+def _shell(a: argparse.Namespace) -> None:
+    shell = service.Shell(index.Index(build(), a.index))
+    for line in sys.stdin:
+        shown = shell.take(line)
+        if shown is None:
+            return
+        print(shown)
+
+
+def _watch(a: argparse.Namespace) -> None:
+    spark = build()
+    spark.dataSource.register(feed.ChangeSource)
+    events = spark.readStream.format("changes").option("roots", json.dumps(a.roots)).option("state", a.state).load()
+    follower = watch.Follower(run.open_or_create(spark, a.index), a.roots, events, f"{a.state}/checkpoint", excludes=a.exclude, skip_dirs=[a.index, a.state])
+    shown = 0
+    try:
+        while follower.query.isActive:
+            follower.wait(5)
+            for entry in follower.log[shown:]:
+                print(entry)
+            shown = len(follower.log)
+    except KeyboardInterrupt:
+        follower.stop()
+
+
 def _stats(a: argparse.Namespace) -> None:
     ix = index.Index(build(), a.index)
     size = ix.size()
@@ -105,6 +139,19 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--offset", type=int, default=0)
     p.add_argument("--sort", choices=["relevance", *search.SORTS], default="relevance")
     p.set_defaults(run=_search)
+    p = sub.add_parser("watch")
+    p.add_argument("roots", nargs="+")
+    p.add_argument("--index", required=True)
+    p.add_argument("--state", required=True, help="folder for the listings and the checkpoint of the feed")
+    p.add_argument("--exclude", action="append", default=[])
+    p.set_defaults(run=_watch)
+    p = sub.add_parser("serve")
+    p.add_argument("--index", required=True)
+    p.add_argument("--port", type=int, default=0)
+    p.set_defaults(run=_serve)
+    p = sub.add_parser("shell")
+    p.add_argument("--index", required=True)
+    p.set_defaults(run=_shell)
     p = sub.add_parser("stats")
     p.add_argument("--index", required=True)
     p.set_defaults(run=_stats)

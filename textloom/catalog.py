@@ -12,6 +12,7 @@ from textloom.functions.times import epoch_s
 from textloom.operators import capture, index, maintenance, run, search, snippets
 from textloom.operators.search import Options
 from textloom.session import cut, fingerprint, shared_dir, table
+from textloom.sources import extract
 from textloom.streaming import watch
 
 QUERIES: dict = {}
@@ -277,12 +278,25 @@ def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.many(_ix(spark, sf_dir), asked).withColumn("score", F.round("score", 4))
 
 
-@query()
+def _stemmed(sql: str, stem: str, endings: str) -> str:
+    """The SQL over terms in which the forms of one word are its stem, as the stemmed index has them; other words keep their
+    forms, which changes no count this query reads."""
+    forms = f"CASE WHEN regexp_full_match(lower(t), '{stem}({endings})?') THEN '{stem}' ELSE replace(lower(t), 'ё', 'е') END AS term"
+    return sql.replace("replace(lower(t), 'ё', 'е') AS term", forms)
+
+
+@query(_stemmed(_matched([_leaf("word", "договорами", "any", 0, ("договор",))]) + _SET, "договор", "а|у|ом|е|ы|ов|ам|ами|ах"))
 def stem_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other forms of a word are found through its stem."""
     return search.matches(_ix(spark, sf_dir, True), Options("договорами"))[0].select("key", F.round("score", 4).alias("score"))
 
 
+@query(_stemmed(_matched([_leaf("word", "регистрацию", "content", 0, ("регистрац",))]) + _page("round(score, 6) DESC"), "регистрац", "ия|ии|ию|ией|ий|иям|иями|иях"))
+def stem_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty contents by a stem."""
+    return search.search(_ix(spark, sf_dir, True), Options("content:регистрацию")).select("key", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
 @query()
 def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page with fragments, marks and units."""
@@ -458,7 +472,12 @@ def debounce_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.debounced(table(spark, sf_dir, "change_event"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS}, g AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w < 1500 THEN 0 ELSE 1 END AS s FROM e WINDOW w AS (PARTITION BY key ORDER BY ts_ms)),
+r AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS run FROM g),
+d AS (SELECT key, max(ts_ms) + 1500 AS due, row_number() OVER (PARTITION BY key ORDER BY max(ts_ms)) AS k FROM r GROUP BY key, run),
+f(key, k, at_ms, own) AS (SELECT key, k, due, true FROM d WHERE k = 1
+  UNION ALL SELECT d.key, d.k, CASE WHEN d.due <= f.at_ms THEN f.at_ms ELSE greatest(d.due, f.at_ms + 30000) END, d.due > f.at_ms FROM f JOIN d ON d.key = f.key AND d.k = f.k + 1)
+SELECT key, at_ms FROM f WHERE own""")
 def throttle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.throttled(table(spark, sf_dir, "change_event"))
 
@@ -468,6 +487,28 @@ def change_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.windowed_counts(table(spark, sf_dir, "change_event")).select(F.col("start").cast("timestamp_ntz").alias("start"), "op", "events")
 
 
+# ---- extraction
+
+
+@query("SELECT key, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, CASE WHEN trim(content, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) = '' THEN 'empty' ELSE 'ok' END AS status FROM (SELECT DISTINCT key, content FROM contents WHERE content <> '')")
+def extract_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes of files come back as they were."""
+    files = table(spark, sf_dir, "contents").where("content <> ''").select("key", "content").distinct().select("key", F.encode("content", "utf-8").alias("content"), F.lit("txt").alias("ext"))
+    return extract.extracted(files).select("key", "text", "status")
+
+
+_WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(rf"SELECT key, 'Title' || chr(10) || trim(regexp_replace(content, '{_WHITE}', ' ', 'g')) AS text FROM (SELECT DISTINCT key, content FROM contents WHERE trim(regexp_replace(content, '{_WHITE}', ' ', 'g')) <> '')")
+def extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts wrapped in HTML with entities, a script, a style and a comment come back in one line below the title."""
+    texts = table(spark, sf_dir, "contents").select("key", "content").distinct().where(F.length(F.trim(F.regexp_replace("content", r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))) > 0)
+    safe = F.replace(F.replace(F.replace("content", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<html><head><title>Title</title><style>p {}</style></head><body><!-- not this --><script>nor(this)</script><p>"), safe, F.lit("</p></body></html>"))
+    return extract.extracted(texts.select("key", F.encode(page, "utf-8").alias("content"), F.lit("html").alias("ext"))).select("key", "text")
+
+
 # ---- values
 
 

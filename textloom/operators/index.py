@@ -37,6 +37,8 @@ LENGTHS = ""
 BLOCKS = "term string, first long, docs array<long>, tfs array<int>, dls array<int>, positions array<array<int>>, cf long, field string"
 VOCABULARY = "term string, df long, cf long, field string"
 TEXTS = ("content", "unit_labels")
+#: The tables a segment has a part of.
+KINDS = ("records", "postings", "vocabulary")
 
 
 def joined(files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -132,18 +134,17 @@ class Index:
         return Index(self.spark, self.path)
 
     def _table(self, kind: str, schema: str | None = None) -> DataFrame:
-        read = self.spark.read if schema is None else self.spark.read.schema(schema)
-        out = None
-        for s in self.segments:
-            part = read.option("basePath", f"{self.path}/{s}/{kind}").parquet(f"{self.path}/{s}/{kind}")
-            out = part if out is None else out.unionByName(part)
-        return out
+        """One scan over the segments of a kind, however many there are."""
+        read = self.spark.read.option("basePath", f"{self.path}/{kind}")
+        if schema:
+            read = read.schema(schema + ", segment string")
+        return read.parquet(*(f"{self.path}/{kind}/segment={s}" for s in self.segments)).drop("segment")
 
     @property
     def records(self) -> DataFrame:
         """The live records: doc, the attributes, content and unit_labels. Columns that are not asked for are not read."""
         every = self._table("records")
-        gone = [f"{self.path}/{g}" for g in self.manifest["gone"]]
+        gone = [f"{self.path}/gone/{g}" for g in self.manifest["gone"]]
         return every.join(self.spark.read.schema("doc long").parquet(*gone), "doc", "left_anti") if gone else every
 
     @property
@@ -213,21 +214,22 @@ def _publish(spark: SparkSession, path: str, manifest: dict) -> Index:
     return Index(spark, path)
 
 
-def _segment(spark: SparkSession, at: str, records: DataFrame, stem: bool, number: int, taken_back: DataFrame | None = None) -> tuple[int, dict[str, tuple[int, int]]]:
+def _segment(spark: SparkSession, path: str, name: str, records: DataFrame, stem: bool, number: int, taken_back: DataFrame | None = None) -> tuple[int, dict[str, tuple[int, int]]]:
     """Writes a segment; returns how many records it has and by how much the fields' documents and lengths change."""
     if "doc" not in records.columns:
         records = records.withColumn("doc", F.lit(number << 48) + F.monotonically_increasing_id())
-    records.write.mode("overwrite").parquet(f"{at}/records")
-    stored = spark.read.parquet(f"{at}/records")
+    at = {kind: f"{path}/{kind}/segment={name}" for kind in KINDS}
+    records.write.mode("overwrite").parquet(at["records"])
+    stored = spark.read.parquet(at["records"])
     found = cut(blocks(stored, stem), "blocks")
     by_term = ("field", "term", "first")
-    found.repartitionByRange(*by_term).sortWithinPartitions(*by_term).write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+    found.repartitionByRange(*by_term).sortWithinPartitions(*by_term).write.mode("overwrite").partitionBy("field").parquet(at["postings"])
     counts = _counts(found)
     if taken_back is not None:
         counts = counts.unionByName(_counts(blocks(taken_back, stem), -1)).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 or cf <> 0")
     bloom = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-    counts.sortWithinPartitions("field", "term").write.mode("overwrite").options(**bloom).partitionBy("field").parquet(f"{at}/vocabulary")
-    lengths = spark.read.schema(VOCABULARY).parquet(f"{at}/vocabulary").where(F.col("term") == LENGTHS).collect()  # one row per field
+    counts.sortWithinPartitions("field", "term").write.mode("overwrite").options(**bloom).partitionBy("field").parquet(at["vocabulary"])
+    lengths = spark.read.schema(VOCABULARY).parquet(at["vocabulary"]).where(F.col("term") == LENGTHS).collect()  # one row per field
     return stored.count(), {r["field"]: (r["df"], r["cf"]) for r in lengths}
 
 
@@ -240,8 +242,8 @@ def rebuilt(spark: SparkSession, records: DataFrame, path: str, stem: bool) -> I
     """The first commit of a folder, or one that takes the place of all segments before it."""
     path = path.rstrip("/")
     number = (commits(spark, path) or [0])[-1] + 1
-    name = f"segment-{number:09d}-{uuid.uuid4().hex[:8]}"
-    total, fields = _segment(spark, f"{path}/{name}", records, stem, number)
+    name = f"{number:09d}-{uuid.uuid4().hex[:8]}"
+    total, fields = _segment(spark, path, name, records, stem, number)
     return _publish(spark, path, {"format": FORMAT, "stem": stem, "commit": number, "segments": [name], "gone": [], "total": total, "fields": fields})
 
 
@@ -254,10 +256,10 @@ def upsert(ix: Index, records: DataFrame, removed: DataFrame | None = None) -> I
     if removed is not None:
         keys = keys.unionByName(removed.select("key"))
     old = cut(ix.records.join(keys.distinct(), "key", "left_semi").select("doc", *FIELDS), "replaced")
-    name, gone = f"segment-{number:09d}-{uuid.uuid4().hex[:8]}", f"gone-{number:09d}-{uuid.uuid4().hex[:8]}"
-    added, change = _segment(spark, f"{ix.path}/{name}", records, ix.stem, number, old)
-    old.select("doc").write.mode("overwrite").parquet(f"{ix.path}/{gone}")
-    lost = spark.read.parquet(f"{ix.path}/{gone}").count()
+    name = gone = f"{number:09d}-{uuid.uuid4().hex[:8]}"
+    added, change = _segment(spark, ix.path, name, records, ix.stem, number, old)
+    old.select("doc").write.mode("overwrite").parquet(f"{ix.path}/gone/{gone}")
+    lost = spark.read.parquet(f"{ix.path}/gone/{gone}").count()
     fields = {f: [a + b for a, b in zip(ix.manifest["fields"].get(f, (0, 0)), change.get(f, (0, 0)))] for f in FIELDS}
     return _publish(spark, ix.path, {
         "format": FORMAT, "stem": ix.stem, "commit": number, "segments": [*ix.segments, name], "gone": [*ix.manifest["gone"], *([gone] if lost else [])],
@@ -276,14 +278,17 @@ def vacuum(ix: Index, keep: int = 1) -> int:
     spark = ix.spark
     numbers = commits(spark, ix.path)
     kept = [json.loads(_read(spark, f"{ix.path}/commits/{n:09d}.json")) for n in numbers[-keep:]]
-    named = {x for m in kept for x in (*m["segments"], *m["gone"])}
+    named = {f"segment={x}" for m in kept for x in m["segments"]} | {x for m in kept for x in m["gone"]}
     for n in numbers[:-keep]:
         delete(spark, f"{ix.path}/commits/{n:09d}.json")
-    fs, p = _fs(spark, ix.path)
-    old = [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith(("segment-", "gone-")) and s.getPath().getName() not in named]
-    for x in old:
-        delete(spark, f"{ix.path}/{x}")
-    return len(old)
+    old = 0
+    for kind in (*KINDS, "gone"):
+        fs, p = _fs(spark, f"{ix.path}/{kind}")
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            if s.getPath().getName() not in named:
+                fs.delete(s.getPath(), True)
+                old += 1
+    return old
 
 
 def reset(spark: SparkSession, path: str) -> None:
