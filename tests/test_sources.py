@@ -130,7 +130,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["natural_sort", "natural_sort_all"])
+@pytest.mark.parametrize("name", ["natural_sort"])
 def test_places_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from textloom import catalog

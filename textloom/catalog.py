@@ -11,7 +11,7 @@ from textloom.functions import analysis, marks, paths, values
 from textloom.functions.times import epoch_s
 from textloom.operators import capture, index, maintenance, run, search, snippets
 from textloom.operators.search import Options
-from textloom.session import cut, fingerprint, shared_dir, table
+from textloom.session import bounded_broadcast, cut, fingerprint, shared_dir, table
 from textloom.sources import extract
 from textloom.streaming import watch
 
@@ -328,24 +328,30 @@ def viewer_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- maintenance
 
-_LIST8 = f"(SELECT {_KEY} AS key, size, coalesce(mtime_ms, 0) AS mtime_ms, coalesce(cloud, false) AS cloud, coalesce(readable, true) AS readable FROM file_listing WHERE run_id = 8 QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY listed_at DESC, size DESC, mtime_ms DESC NULLS LAST, cloud DESC, readable DESC) = 1)"
+_LAST = f"""(SELECT l.*, coalesce((SELECT max(version) FROM extractor_versions x WHERE lower(x.ext) = lower(regexp_extract(regexp_extract(l.key, '[^/]*$'), '^.+\\.([^.]*)$', 1)) AND x.since_run <= l.run_id), 1) AS version, (SELECT epoch_us(started_at) // 1000000 FROM index_runs r WHERE r.run_id = l.run_id) AS now_s
+FROM (SELECT {_KEY} AS key, run_id, size, coalesce(mtime_ms, 0) AS mtime_ms, coalesce(cloud, false) AS cloud, coalesce(readable, true) AS readable FROM file_listing WHERE run_id = (SELECT max(run_id) FROM index_runs) AND path IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY listed_at DESC, size DESC, mtime_ms DESC NULLS LAST, cloud DESC, readable DESC) = 1) l)"""
 _ACTIONS = f"""
-l AS {_LIST8},
+l AS {_LAST},
 o AS (SELECT DISTINCT key, size AS s, coalesce(mtime_ms, 0) AS m, coalesce(ver, 0) AS v FROM files),
 a AS (SELECT coalesce(l.key, o.key) AS key, CASE
   WHEN l.key IS NULL THEN 'vanished' WHEN NOT readable THEN 'unreadable' WHEN o.key IS NULL THEN 'new'
   WHEN size IS DISTINCT FROM s OR mtime_ms <> m THEN 'changed'
-  WHEN v = 1 THEN 'unchanged'
+  WHEN v = l.version THEN 'unchanged'
   WHEN v = 4611686018427387904 THEN CASE WHEN cloud THEN 'unchanged' ELSE 'stale' END
-  WHEN ((v >> 61) & 1) = 1 AND ((v >> 40) & 255) = 1 AND 1741406400 < (v & 4294967295) + least(21600 * (1::BIGINT << least(greatest((v >> 32) & 255, 1) - 1, 20)::INTEGER), 604800) THEN 'deferred'
+  WHEN ((v >> 61) & 1) = 1 AND ((v >> 40) & 255) = (l.version & 255) AND now_s < (v & 4294967295) + least(21600 * (1::BIGINT << least(greatest((v >> 32) & 255, 1) - 1, 20)::INTEGER), 604800) THEN 'deferred'
   ELSE 'stale' END AS action FROM l FULL JOIN o ON l.key = o.key)"""
 
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "file_listing").where("run_id = 8").withColumn("key", paths.path_key(F.col("path")))
+    """The last run's listing against the stored records, with the versions in force then and its start as the present time."""
+    t = lambda n: table(spark, sf_dir, n)
+    last = t("index_runs").orderBy(F.desc("run_id")).select("run_id", epoch_s("started_at").alias("now_s")).first()
+    seen = t("file_listing").where((F.col("run_id") == last["run_id"]) & F.col("path").isNotNull()).withColumn("key", paths.path_key(F.col("path")))
     best = F.max(F.struct(*(F.col(c) for c in ("listed_at", "size", "mtime_ms", "cloud", "readable")))).alias("r")
-    listing = seen.groupBy("key").agg(best).select("key", "r.*")
-    return maintenance.classify(listing, table(spark, sf_dir, "files").select("key", "size", "mtime_ms", "ver").distinct(), F.lit(1), F.lit(1741406400))
+    force = capture.versions_in_force(t("extractor_versions"), t("index_runs")).where(F.col("run_id") == last["run_id"]).select("ext", F.col("version").cast("long").alias("v"))
+    listing = seen.groupBy("key").agg(best).select("key", "r.*").withColumn("ext", paths.extension(F.col("key"))).join(bounded_broadcast(force), "ext", "left")
+    return maintenance.classify(listing, t("files").select("key", "size", "mtime_ms", "ver").distinct(), F.coalesce("v", F.lit(1).cast("long")), F.lit(last["now_s"]).cast("long"))
 
 
 @query(f"WITH {_ACTIONS} SELECT key, action FROM a")
@@ -490,16 +496,16 @@ def change_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- extraction
 
 
-@query("SELECT key, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, CASE WHEN trim(content, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) = '' THEN 'empty' ELSE 'ok' END AS status FROM (SELECT DISTINCT key, content FROM contents WHERE content <> '')")
+_WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(rf"SELECT key, text, CASE WHEN text = '' THEN 'empty' ELSE 'ok' END AS status FROM (SELECT key, regexp_replace(replace(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(12), ' '), '{_WHITE}$', '') AS text FROM (SELECT DISTINCT key, content FROM contents WHERE content <> ''))")
 def extract_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as bytes of files come back as they were."""
     files = table(spark, sf_dir, "contents").where("content <> ''").select("key", "content").distinct().select("key", F.encode("content", "utf-8").alias("content"), F.lit("txt").alias("ext"))
     return extract.extracted(files).select("key", "text", "status")
 
 
-_WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-
-
 @query(rf"SELECT key, 'Title' || chr(10) || trim(regexp_replace(content, '{_WHITE}', ' ', 'g')) AS text FROM (SELECT DISTINCT key, content FROM contents WHERE trim(regexp_replace(content, '{_WHITE}', ' ', 'g')) <> '')")
 def extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts wrapped in HTML with entities, a script, a style and a comment come back in one line below the title."""
@@ -524,16 +530,9 @@ def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_size", values.size_bytes(F.concat(s, F.lit("K"))).cast("int").alias("k"), values.size_bytes(F.concat(s, F.lit(",5 MB"))).cast("int").alias("m")).distinct()
 
 
-@query(r"""SELECT name_lc, row_number() OVER (ORDER BY regexp_replace(name_lc, CASE WHEN regexp_matches(name_lc, '\d+(?:\.[^.]*)?$') THEN '\d+(?:\.[^.]*)?$' ELSE '$^' END, ''), coalesce(try_cast(nullif(regexp_extract(name_lc, '(\d+)(?:\.[^.]*)?$', 1), '') AS DECIMAL(38, 0)), 0), name_lc) AS pos
-FROM (SELECT DISTINCT name_lc FROM files WHERE starts_with(name_lc, 'план'))""")
-def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in the order of their trailing numbers, of those its SQL keeps. ``natural_sort_all`` gives every name its place."""
-    return values.natural_positions(table(spark, sf_dir, "files").where(F.col("name_lc").startswith("план")), "name_lc")
-
-
 @query(r"""SELECT name_lc, row_number() OVER (ORDER BY regexp_replace(name_lc, CASE WHEN regexp_matches(name_lc, '\d+(?:\.[^.]*)?$') THEN '\d+(?:\.[^.]*)?$' ELSE '$^' END, ''), coalesce(try_cast(nullif(regexp_extract(name_lc, '(\d+)(?:\.[^.]*)?$', 1), '') AS DECIMAL(38, 0)), 0), name_lc) AS pos
 FROM (SELECT DISTINCT name_lc FROM files WHERE name_lc IS NOT NULL)""")
-def natural_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All names in the order of their trailing numbers. The number of each place comes from counts per key range."""
     return values.natural_positions(table(spark, sf_dir, "files"), "name_lc")
 
