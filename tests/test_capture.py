@@ -197,6 +197,6 @@ def test_cuts_are_released(spark):
     from textloom import session
 
     df = session.cut(spark.range(5), "mine")
-    path = session._CUTS[-1]
+    path = session._CUTS[spark.sparkContext.applicationId][-1]
     assert df.count() == 5 and session.exists(spark, path)
     assert session.release(spark) >= 1 and not session.exists(spark, path) and session.release(spark) == 0

@@ -196,6 +196,89 @@ def test_pdf(flate):
     assert X.extract(pdf(b"q Q"), "pdf").status == "scan"
 
 
+def test_pdf_opens_with_the_empty_password():
+    from textloom.sources.extract import pdf as P
+
+    import hashlib
+
+    owner, first_id, rights = bytes(range(32)), b"0123456789abcdef", -44
+    n = 16
+    key = hashlib.md5(P._FILL + owner + (rights & 0xFFFFFFFF).to_bytes(4, "little") + first_id).digest()
+    for _ in range(50):
+        key = hashlib.md5(key[:n]).digest()
+    proof = hashlib.md5(P._FILL + first_id).digest()
+    for i in range(20):
+        proof = P.rc4(bytes(b ^ i for b in key), proof)
+    user = proof + bytes(16)
+    hidden = lambda num, data: P.rc4(hashlib.md5(key + num.to_bytes(3, "little") + bytes(2)).digest(), data)
+    text = b"BT (Barley and oats) Tj ET"
+
+    def file(user):
+        return b"\n".join([
+            b"%PDF-1.4", b"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", b"2 0 obj <</Type /Pages /Kids [3 0 R]>> endobj", b"3 0 obj <</Type /Page /Contents 4 0 R>> endobj",
+            b"4 0 obj <<>> stream\n" + hidden(4, text) + b"\nendstream endobj",
+            b"5 0 obj <</Filter /Standard /V 2 /R 3 /Length 128 /P %d /O <%s> /U <%s>>> endobj" % (rights, owner.hex().encode(), user.hex().encode()), b"trailer <</Root 1 0 R /Encrypt 5 0 R /ID [<%s> <00>]>>" % first_id.hex().encode(),
+        ])
+
+    assert P.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    assert X.extract(file(user), "pdf").text == "Barley and oats" and X.extract(file(bytes(32)), "pdf").status == "encrypted"
+
+
+def test_thin_pages_go_to_the_recogniser():
+    from textloom.sources.extract import pdf as P
+
+    data = pdf(b"BT /F1 12 Tf (ABCDEFGHIJKLMNOPQRSTUVWXYZ) Tj ET", b"q Q")
+    assert X.extract(data, "pdf").status == "ok" and X.extract(pdf(b"q Q"), "pdf").status == "scan"
+    P.PAGES.append(lambda file, n: "страница прочитана глазами" if n == 2 else "нет")
+    try:
+        got = X.extract(data, "pdf")
+        assert got.status == "ocr" and got.text.endswith("страница прочитана глазами") and got.text.startswith("АБВ")
+        assert X.extract(pdf(b"BT /F1 12 Tf (ABCDEF) Tj ET"), "pdf").status == "ok"  # fewer letters than there were
+    finally:
+        P.PAGES.clear()
+
+
+def test_binary_workbook():
+    import struct
+
+    from textloom.sources.extract import binary_sheets as B
+
+    def rec(kind, data=b""):
+        size, n = b"", len(data)
+        while True:
+            size += bytes([n & 127 | (128 if n > 127 else 0)])
+            n >>= 7
+            if not n:
+                break
+        return (bytes([kind]) if kind < 128 else bytes([kind & 127 | 128, kind >> 7])) + size + data
+
+    wide = lambda s: struct.pack("<I", len(s)) + s.encode("utf-16-le")
+    cell = lambda col, style=0: struct.pack("<I", col) + style.to_bytes(3, "little") + b"\0"
+    book = rec(B.PROPERTIES, bytes(12)) + rec(B.SHEET, struct.pack("<II", 0, 1) + wide("r1") + wide("Амбар"))
+    strings = rec(B.STRING_ITEM, b"\0" + wide("Рожь")) + rec(B.STRING_ITEM, b"\0" + wide("мешки " * 30))
+    styles = rec(B.FORMAT, struct.pack("<H", 170) + wide("dd/mm")) + rec(B.BEGIN_FORMATS) + rec(B.CELL_FORMAT, struct.pack("<HH", 0, 0) + bytes(12)) + rec(B.CELL_FORMAT, struct.pack("<HH", 0, 170) + bytes(12)) + rec(B.END_FORMATS)
+    sheet = rec(B.ROW, bytes(16)) + rec(B.SHARED, cell(0) + struct.pack("<I", 0)) + rec(B.RK, cell(1) + struct.pack("<I", 312 << 2 | 3)) + rec(B.REAL, cell(2, 1) + struct.pack("<d", 44927.0))
+    sheet += rec(B.ROW, bytes(16)) + rec(B.SHARED, cell(0) + struct.pack("<I", 1)) + rec(B.FORMULA_TEXT, cell(1) + wide("итог")) + rec(B.FORMULA_NUMBER, cell(2) + struct.pack("<d", 2.5)) + rec(3, cell(3) + b"\7")
+    data = package(parts={
+        "[Content_Types].xml": "<Types/>", "_rels/.rels": rels(("r", "officeDocument", "xl/workbook.bin")), "xl/workbook.bin": book, "xl/sharedStrings.bin": strings, "xl/styles.bin": styles, "xl/worksheets/sheet1.bin": sheet,
+        "xl/_rels/workbook.bin.rels": rels(("r1", "worksheet", "worksheets/sheet1.bin"), ("r2", "sharedStrings", "sharedStrings.bin"), ("r3", "styles", "styles.bin")),
+    })
+    got = X.extract(data, "xlsb")
+    assert got.units == ["Лист «Амбар»"] and got.text.split("\n") == ["Рожь\t3.12\t01.01.2023 2023-01-01", "мешки " * 30 + "\tитог\t2.5"] and "Амбар" in got.meta
+    assert B.short_number(0x3FF00000) == 1.0 and list(B.records(b"\x80")) == [(128, b"")]
+
+
+def test_typed_paths_and_views():
+    assert tree.on_network("\\\\srv\\docs") and tree.on_network("//srv/docs") and tree.on_network("\\\\?\\UNC\\srv\\docs")
+    assert not any(map(tree.on_network, ("C:\\docs", "\\\\?\\C:\\docs", "\\\\.\\pipe", "/docs", "\\\\")))
+    assert tree.typed(' "smb://srv/docs/" ', True) == "\\\\srv\\docs" and tree.typed("'/tmp'", False) == "/tmp"
+    for bad, windows in (("", True), ("\\\\srv", True), ("//srv/docs", False)):
+        with pytest.raises(ValueError):
+            tree.typed(bad, windows)
+    assert X.read_for_view(b"a\r\nb\rc") == ("a\nb\nc", False) and X.read_for_view(b"\0\1\2" * 50) is None and X.read_for_view(b"x" * (X.MAX_VIEW + 1))[1]
+    assert values.format_time(1672531200000, dt.timezone.utc) == "01.01.2023 00:00" and values.format_time(None) == "" and values.shorten("abcdef", 4) == "…def" and values.thousands(1234567) == "1\xa0234\xa0567"
+
+
 def compound(**streams):
     import struct
 

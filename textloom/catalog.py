@@ -380,7 +380,7 @@ l0 AS (SELECT DISTINCT key FROM files WHERE key IS NOT NULL)"""]
         steps.append(f"l{n} AS (SELECT key FROM seen s WHERE run_id = {n} AND (readable OR EXISTS (SELECT 1 FROM l{n - 1} p WHERE p.key = s.key)))")
     w = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}\x{{0345}}\x{{0363}}-\x{{036F}}]+')"
     file = "regexp_extract(key, '[^/]*$')"
-    name = f"CASE WHEN regexp_extract({file}, '^(.+)\.[^.]*$', 1) = '' THEN {file} ELSE regexp_extract({file}, '^(.+)\.[^.]*$', 1) END"
+    name = f"CASE WHEN regexp_extract({file}, '^(.+)\\.[^.]*$', 1) = '' THEN {file} ELSE regexp_extract({file}, '^(.+)\\.[^.]*$', 1) END"
     steps.append(f"""
 t AS (SELECT 'name' AS field, key, {w.format(name)} AS w FROM l8
   UNION ALL SELECT 'folder', key, {w.format("regexp_extract(key, '^(.*)/[^/]*$', 1)")} FROM l8

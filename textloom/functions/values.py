@@ -42,6 +42,23 @@ def format_size(n: int) -> str:
     raise AssertionError
 
 
+def format_time(ms: int | None, zone: dt.tzinfo | None = None) -> str:
+    """Day and minute of an instant in the local zone or the one given; "" for what no calendar holds."""
+    try:
+        return dt.datetime.fromtimestamp(ms / 1000, zone).strftime("%d.%m.%Y %H:%M")
+    except (TypeError, ValueError, OSError, OverflowError):
+        return ""
+
+
+def shorten(text: str, most: int) -> str:
+    """The end of a text in at most so many characters, a mark in place of its beginning."""
+    return text if len(text) <= most else "…" + text[len(text) - most + 1 :]
+
+
+def thousands(n: int) -> str:
+    return f"{n:,}".replace(",", "\xa0")
+
+
 def parse_date_ms(text: str, end_of_day: bool = False, zone: dt.tzinfo | None = None) -> int | None:
     """Milliseconds of "2024-03-15", "15.03.2024", each with or without " 14:30"; dates alone at the start or end of day."""
     for form, whole in (("%Y-%m-%d %H:%M", False), ("%d.%m.%Y %H:%M", False), ("%Y-%m-%d", True), ("%d.%m.%Y", True)):

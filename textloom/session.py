@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     (tests, a single machine) a temporary folder of this session takes its place."""
     at = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {SHARED} to a folder all executors share")
         at = getattr(shared_dir, "own", None)
         if at is None:
             folder = tempfile.mkdtemp(prefix="textloom-")
@@ -47,19 +49,19 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _CUTS.append(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_CUTS: list[str] = []
+_CUTS: dict[str, list[str]] = {}
 
 
 def release(spark: SparkSession) -> int:
     """Deletes the tables cut so far, once no result that reads them is needed any more; returns how many."""
-    n = len(_CUTS)
-    while _CUTS:
-        delete(spark, _CUTS.pop())
-    return n
+    mine = _CUTS.pop(spark.sparkContext.applicationId, [])
+    for path in mine:
+        delete(spark, path)
+    return len(mine)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -81,6 +81,17 @@ def extract(data: bytes | None, ext: str | None, size: int | None = None, max_te
         return doc.failed(f"{type(e).__name__}"[:200])
 
 
+# Fixed value: bytes a viewer shows.
+MAX_VIEW = 4 << 20
+
+
+def read_for_view(data: bytes) -> tuple[str, bool] | None:
+    """(text with one kind of line end, whether it was cut) of a file a viewer may show as text; None for anything binary."""
+    if plain.looks_binary(data[:8192]):
+        return None
+    return plain.decode(data[:MAX_VIEW]).replace("\r\n", "\n").replace("\r", "\n"), len(data) > MAX_VIEW
+
+
 RESULT = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("units", T.ArrayType(T.StringType())), T.StructField("meta", T.StringType()), T.StructField("status", T.StringType()), T.StructField("truncated", T.BooleanType())]
 )

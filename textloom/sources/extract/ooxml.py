@@ -9,6 +9,7 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 from textloom.functions.values import is_date_format, natural_key, number_text, serial_text
+from textloom.sources.extract import binary_sheets
 from textloom.sources.extract.doc import Doc, Extracted
 
 _MAX_PART = 1 << 30
@@ -223,4 +224,6 @@ def read(data: bytes, doc: Doc) -> Extracted:
         return slides(p, main, doc)
     if re.search(rb"<(?:\w+:)?workbook[\s>]", head):
         return sheets(p, main, doc)
+    if main.endswith(".bin"):
+        return binary_sheets.read(p, main, doc)
     return doc.skipped("unknown package")

@@ -1,12 +1,16 @@
 """Text of PDF files by the standard library: objects, filters, page order, text operators, Unicode maps.
 
-Pages are units. A file whose pages hold next to no letters has status "scan": its text is a picture, for a recogniser
-that a caller may register."""
+Pages are units. A file that a password only keeps from being changed opens with the empty one (40 to 128 bit RC4; other ciphers
+count as encrypted). Pages with next to no letters are pictures of text: they go to the recogniser, if one is registered under
+``PAGES``, which keeps what has more letters than the page had; a file of nothing else has status "scan", or "ocr" if it was
+recognised."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from collections.abc import Callable
 
 from textloom.sources.extract.doc import Doc, Extracted
 
@@ -14,13 +18,60 @@ _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _REF = re.compile(rb"(\d+)\s+\d+\s+R")
 _TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|-?\d*\.?\d+|[A-Za-z'\"*]+", re.S)
+_STRING = rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>"
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-FEW = 3
+# Letters of a whole file, and of a page, below which it is a picture; pages and seconds a recogniser is given.
+FEW, THIN, MOST_PAGES = 3, 20, 30
+#: Recognisers of pages: (the file's bytes, page number from 1) -> text or None.
+PAGES: list[Callable[[bytes, int], str | None]] = []
+# Fixed value: what a password is filled up with.
+_FILL = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
+
+
+def rc4(key: bytes, data: bytes) -> bytes:
+    s = list(range(256))
+    j = 0
+    for i in range(256):
+        j = j + s[i] + key[i % len(key)] & 255
+        s[i], s[j] = s[j], s[i]
+    out = bytearray(len(data))
+    i = j = 0
+    for n, c in enumerate(data):
+        i = i + 1 & 255
+        j = j + s[i] & 255
+        s[i], s[j] = s[j], s[i]
+        out[n] = c ^ s[s[i] + s[j] & 255]
+    return bytes(out)
+
+
+def open_key(owner: bytes, user: bytes, rights: int, first_id: bytes, revision: int, length: int, plain_meta: bool = False) -> bytes | None:
+    """The key of a file the empty password opens, or None."""
+    n = 5 if revision == 2 else length // 8
+    key = hashlib.md5(_FILL + owner + (rights & 0xFFFFFFFF).to_bytes(4, "little") + first_id + (b"\xff" * 4 if plain_meta and revision >= 4 else b"")).digest()
+    if revision == 2:
+        return key[:n] if rc4(key[:n], _FILL) == user else None
+    for _ in range(50):
+        key = hashlib.md5(key[:n]).digest()
+    key = key[:n]
+    proof = hashlib.md5(_FILL + first_id).digest()
+    for i in range(20):
+        proof = rc4(bytes(b ^ i for b in key), proof)
+    return key if proof == user[:16] else None
 
 
 class _File:
     def __init__(self, data: bytes) -> None:
-        self.objects: dict[int, bytes] = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
+        found = list(_OBJECT.finditer(data))
+        self.objects: dict[int, bytes] = {int(m[1]): m[3] for m in found}
+        self.plain: dict[bytes, bytes] = {}  # streams of an encrypted file
+        self.locked = re.search(rb"/Encrypt\s", data) is not None
+        key = self._key(data) if self.locked else None
+        if key:
+            self.locked = False
+            for m in found:
+                if (x := _STREAM.search(m[3])) and b"/XRef" not in m[3][: x.start()]:
+                    own = hashlib.md5(key + int(m[1]).to_bytes(3, "little") + int(m[2]).to_bytes(2, "little")).digest()
+                    self.plain[m[3]] = rc4(own[: min(16, len(key) + 5)], x[1])
         for body in list(self.objects.values()):
             if b"/ObjStm" in body[:300]:
                 self._unpack(body)
@@ -29,7 +80,7 @@ class _File:
         m = _STREAM.search(body)
         if not m:
             return b""
-        raw, head = m[1], body[: m.start()]
+        raw, head = self.plain.get(body, m[1]), body[: m.start()]
         if b"FlateDecode" in head:
             d = zlib.decompressobj()
             try:
@@ -40,6 +91,15 @@ class _File:
             raw = bytes.fromhex(re.sub(rb"[^0-9A-Fa-f]", b"", raw).decode())
         return raw
 
+    def _key(self, data: bytes) -> bytes | None:
+        m = re.search(rb"/Encrypt\s+(?:(\d+)\s+\d+\s+R|(<<.*?>>))", data, re.S)
+        how = (self.objects.get(int(m[1]), b"") if m[1] else m[2]) if m else b""
+        number = lambda name, default: int(x[1]) if (x := re.search(rb"/" + name + rb"\s+(-?\d+)", how)) else default
+        text = lambda where, name: _bytes(x[1]) if (x := re.search(rb"/" + name + rb"\s*\[?\s*(" + _STRING + rb")", where, re.S)) else b""
+        if b"/Standard" not in how or b"AESV" in how or number(b"V", 0) not in (1, 2, 4):
+            return None
+        return open_key(text(how, b"O")[:32], text(how, b"U"), number(b"P", 0), text(data, b"ID"), number(b"R", 2), number(b"Length", 40 if number(b"V", 1) < 4 else 128), b"/EncryptMetadata false" in how)
+
     def _unpack(self, body: bytes) -> None:
         n, first = (re.search(rb"/%s\s+(\d+)" % k, body) for k in (b"N", b"First"))
         data = self.stream(body)
@@ -170,15 +230,32 @@ def page_text(f: _File, page: bytes) -> str:
     return "\n".join(line.strip() for line in text.split("\n") if line.strip())
 
 
+def _recognised(data: bytes, n: int, had: str) -> str | None:
+    """What a recogniser makes of a page, if it has more letters than the page had."""
+    for recogniser in PAGES:
+        got = recogniser(data, n)
+        if got and _letters(got) > _letters(had):
+            return got
+    return None
+
+
+def _letters(text: str) -> int:
+    return sum(c.isalpha() for c in text)
+
+
 def read(data: bytes, doc: Doc) -> Extracted:
     f = _File(data)
-    if re.search(rb"/Encrypt\s", data):
+    if f.locked:
         return Extracted("", [], "", "encrypted", False)
     pages = f.pages()
-    letters = 0
+    letters = asked = read_by_eye = 0
     for n, page in enumerate(pages, 1):
         text = page_text(f, page)
-        letters += sum(c.isalpha() for c in text)
+        if PAGES and _letters(text) < THIN and asked < MOST_PAGES:
+            asked += 1
+            if (got := _recognised(data, n, text)) is not None:
+                text, read_by_eye = got, read_by_eye + 1
+        letters += _letters(text)
         doc.begin_unit(f"Стр. {n}")
         doc.push(text)
         if doc.full:
@@ -186,4 +263,6 @@ def read(data: bytes, doc: Doc) -> Extracted:
     if not pages:
         return doc.failed("no pages")
     got = doc.finish()
-    return got if letters >= FEW else Extracted("", [], got.meta, "scan", False)
+    if letters < FEW:
+        return Extracted("", [], got.meta, "scan", False)
+    return Extracted(got.text, got.units, got.meta, "ocr", got.truncated) if read_by_eye else got

@@ -119,8 +119,30 @@ def prefix(root: str) -> str:
     return root.replace("\\", "/").lower().rstrip("/")
 
 
-def on_network(root: str) -> bool:
-    return root.startswith(("\\\\", "//"))
+def on_network(path: str) -> bool:
+    """Whether a path names a share of another machine, also in the long form; devices and long local paths are none."""
+    s = path.replace("/", "\\")
+    if s.startswith("\\\\?\\"):
+        return s[4:8].lower() == "unc\\"
+    return s.startswith("\\\\") and s[2:3] not in ("", "\\") and not s.startswith("\\\\.\\")
+
+
+def typed(text: str, windows: bool = os.name == "nt") -> str:
+    """The path a user typed: quotes and schemes gone, a share in the form of the system; a ValueError says what is missing."""
+    path = text.strip().strip("\"'").strip()
+    if not path:
+        raise ValueError("no path")
+    for scheme in ("smb://", "file://", "cifs://"):
+        if path.lower().startswith(scheme):
+            path = "//" + path[len(scheme) :]
+    if windows and path.startswith(("\\\\", "//")):
+        path = path.replace("/", "\\")
+        path = path[:3] + path[3:].rstrip("\\")
+        if on_network(path) and not path.startswith("\\\\?\\") and len([p for p in path.split("\\") if p]) < 2:
+            raise ValueError(f"{path} names a machine only: add the name of a share")
+    elif not windows and path.startswith("//") and not os.path.exists(path):
+        raise ValueError(f"{path}: shares are named so on Windows only; mount it and name the folder")
+    return path
 
 
 def usable(roots: list[str]) -> tuple[list[str], list[str]]:
