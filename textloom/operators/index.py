@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
 import numpy as np
@@ -223,12 +224,16 @@ def _segment(spark: SparkSession, path: str, name: str, records: DataFrame, stem
     stored = spark.read.parquet(at["records"])
     found = cut(blocks(stored, stem), "blocks")
     by_term = ("field", "term", "first")
-    found.repartitionByRange(*by_term).sortWithinPartitions(*by_term).write.mode("overwrite").partitionBy("field").parquet(at["postings"])
     counts = _counts(found)
     if taken_back is not None:
         counts = counts.unionByName(_counts(blocks(taken_back, stem), -1)).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 or cf <> 0")
     bloom = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-    counts.sortWithinPartitions("field", "term").write.mode("overwrite").options(**bloom).partitionBy("field").parquet(at["vocabulary"])
+    postings = found.repartitionByRange(*by_term).sortWithinPartitions(*by_term)
+    # Both are made from the blocks, side by side.
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(lambda: postings.write.mode("overwrite").partitionBy("field").parquet(at["postings"])), pool.submit(lambda: counts.sortWithinPartitions("field", "term").write.mode("overwrite").options(**bloom).partitionBy("field").parquet(at["vocabulary"]))]
+        for job in jobs:
+            job.result()
     lengths = spark.read.schema(VOCABULARY).parquet(at["vocabulary"]).where(F.col("term") == LENGTHS).collect()  # one row per field
     return stored.count(), {r["field"]: (r["df"], r["cf"]) for r in lengths}
 
