@@ -129,6 +129,12 @@ def test_further_sets(text, wrote, read):
     assert encoding.examine(misread(text, wrote, read)) == (True, text)
 
 
+@pytest.mark.parametrize("text", ["План Женплоюрб аШочижутешо", "Письмо иФлстигиту", "Прика зФаруно Сабацел", "Справка уЩнордан"])
+def test_slips_of_letters_are_no_case(text):
+    """A capital that came to stand one place on: what a path makes of it is no word."""
+    assert encoding.examine(text) == (False, text)
+
+
 def test_no_implausible_restoration():
     """A value no path makes plausible is a case that keeps its form; correct text of neighbours is none."""
     bad = misread("Zażółć gęślą jaźń. Umowa dzierżawy została podpisana", "cp1250", "latin-1")

@@ -415,7 +415,14 @@ _TOGETHER = 100
 @lru_cache(200_000)
 def _gain(t: str, path: tuple) -> float:
     f = apply(t, path)
-    return -1e9 if f is None else cost(t) - cost(f)
+    if f is None:
+        return -1e9
+    # A word of nothing but Cyrillic letters in which signs would come to stand holds a slip of letters, no fault.
+    return cost(t) - cost(f) if not _CYRILLIC_WORD.fullmatch(t) or _INSIDE.search(f) is None else -1.0
+
+
+_CYRILLIC_WORD = re.compile(f"[^\\w]*[{_LOW}{_UP}]+[^\\w]*")
+_INSIDE = re.compile("\\w[^\\w\\s'’-]+\\w|€|[^\\w\\s]’|\\w’[а-яё]", re.I)
 
 
 def paths_of(odd: list[str]) -> dict[str, tuple]:
