@@ -338,7 +338,7 @@ def _grouped(pairs: DataFrame, most: int) -> DataFrame:
     return some.select(F.xxhash64("hub", block("a"), block("b")).alias("group"), "a", "b")
 
 
-def _only(values: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
+def only(values: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """The rows of values whose (place, key) may be wanted, by a bitmap of fixed size (``bits``, 1 MB): fewer rows are
     shuffled to the join that follows, which decides. The bitmap is the broadcast side and never grows."""
     per = 32768
@@ -389,7 +389,7 @@ def near_duplicates(
     # One record stands for a set; its text is looked up by key, once.
     ends = grouped.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = cut(signed.where("first").select("place", "key", "fp").join(ends, "fp").groupBy("place", "fp").agg(F.min("key").alias("key")), "wanted")
-    texts = _only(values, wanted).join(wanted, ["place", "key"]).groupBy("place", "fp").agg(F.min("value").alias("value"))
+    texts = only(values, wanted).join(wanted, ["place", "key"]).groupBy("place", "fp").agg(F.min("value").alias("value"))
     sent = needed.join(texts, "fp").select("group", F.lit(False).alias("is_pair"), "place", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "value")
     asked = grouped.select("group", F.lit(True).alias("is_pair"), F.lit(None).cast("string").alias("place"), "a", "b", F.lit(None).cast("string").alias("value"))
     links = sent.unionByName(asked).repartition("group").sortWithinPartitions("group", "is_pair").mapInArrow(_check(kinds, threshold), "place string, a long, b long, similarity double")

@@ -120,7 +120,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repaired text of every record that had anything to repair."""
     found = _lines(spark, sf_dir).distinct()
-    edits = found.groupBy("place", "key").agg(F.collect_list(F.struct("line_no", "kind", "word", "right")).alias("edits"))
+    edits = cut(found.groupBy("place", "key").agg(F.collect_list(F.struct("line_no", "kind", "word", "right")).alias("edits")), "edits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +135,9 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((place, key, layout.paragraphs(text, drop, join, fix)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], names=["place", "key", "text"])
 
-    return _pages(spark, sf_dir).distinct().join(edits, ["place", "key"]).mapInArrow(run, "place string, key string, text string")
+    # Only texts with edits are shuffled; the join leaves repeated rows side by side.
+    texts = near_duplicates.only(_pages(spark, sf_dir), edits).join(edits, ["place", "key"]).dropDuplicates(["place", "key", "text"])
+    return texts.select("place", "key", "text", "edits").mapInArrow(run, "place string, key string, text string")
 
 
 def _sizes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
