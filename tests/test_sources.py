@@ -99,6 +99,8 @@ def test_tree(spark, tmp_path):
     os.symlink(tmp_path / "sub", tmp_path / "link")
     got = {os.path.relpath(r["path"], tmp_path): r for r in tree.listing(spark, [str(tmp_path), str(tmp_path / "sub")]).collect()}
     assert set(got) == {"a.txt", "_under.txt", ".dot", "пробел файл.txt", "sub/deep/deeper/x.txt", "empty"} and got["empty"]["size"] == 0 and got["a.txt"]["readable"]
+    many = spark.read.format("tree").option("roots", json.dumps([str(tmp_path)])).option("entries", 2).load()
+    assert sorted(r["path"] for r in many.collect()) == sorted(str(tmp_path / p) for p in got) and many.rdd.getNumPartitions() > 4
     with pytest.raises(NotADirectoryError):
         tree.normal_root(str(tmp_path / "none"))
 

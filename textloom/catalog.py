@@ -191,6 +191,10 @@ def _word(text: str, scope: str = "any", gid: int = 0) -> str:
 _found("search_single_term", Options("смету"), _matched([_word("смету")]) + _SET, "One word in every field, and as part of a name.")
 _found("search_fold", Options("отчёт"), _matched([_word("отчёт")]) + _SET, "ё is searched as е in texts and as itself in names.")
 _found("search_and", Options("смету приказ"), _matched([_word("смету"), _word("приказ", gid=1)]) + _SET, "All words are required.")
+_found("search_plus", Options("+смету +приказ"), _matched([_word("смету"), _word("приказ", gid=1)]) + _SET, "A plus says what holds anyway.")
+_found("search_or_bars", Options("смету || contract"), _matched([_word("смету") + "\nUNION ALL " + _word("contract")]) + _SET, "Bars are OR.")
+_found("search_or_first", Options("OR смету приказ"), _matched([_word("смету"), _word("приказ", gid=1)]) + _SET, "OR before any group is ignored.")
+_found("search_bang", Options("смету !приказ NOT contract"), _matched([_word("смету")], [_word("приказ"), _word("contract")]) + _SET, "All ways to exclude.")
 _found("search_or_group", Options("смету OR contract приказ"), _matched([_word("смету") + "\nUNION ALL " + _word("contract"), _word("приказ", gid=1)]) + _SET, "Alternatives within a group.")
 _found("search_not", Options("смету -приказ"), _matched([_word("смету")], [_word("приказ")]) + _SET, "Exclusion.")
 _found("search_only_negative", Options("-смету"), _matched([], [_word("смету")]) + _SET, "Everything but.")
@@ -201,6 +205,8 @@ _found("search_implicit_phrase", Options("счёт-фактуру"), _matched([_
 _found("search_prefix", Options("регистр*"), _matched([_leaf("prefix", "регистр")]) + _SET, "Beginnings of terms and of names.")
 _found("search_fuzzy_1", Options("regsiter~"), _matched([_leaf("fuzzy", "", "any", 0, ("regsiter",), 1)]) + _SET, "One edit, a swap counting one.")
 _found("search_fuzzy_2", Options("contratc~2"), _matched([_leaf("fuzzy", "", "any", 0, ("contratc",), 2)]) + _SET, "Two edits.")
+_found("search_fuzzy_clamped", Options("contratc~7"), _matched([_leaf("fuzzy", "", "any", 0, ("contratc",), 2)]) + _SET, "More than two edits are two.")
+_found("search_quotes", Options("«list of defects» “register”"), _matched([_leaf("phrase", "", "any", 0, ("list", "of", "defects")), _leaf("phrase", "", "any", 1, ("register",))]) + _SET, "Every kind of quotation mark makes a phrase, of one word too.")
 _found("search_name_substring", Options("name:кино"), _matched([_leaf("word", "кино", "name", 0, ("кино",))]) + _SET, "Part of a name.")
 _found("search_name_prefix", Options("name:смет*"), _matched([_leaf("prefix", "смет", "name")]) + _SET, "Beginning of a name.")
 _found("search_path_bag", Options('path:"отделы документы"'), _matched([_leaf("phrase", "", "path", 0, ("отделы", "документы"))]) + _SET, "Folder words in any order.")
@@ -326,6 +332,20 @@ def viewer_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets.match_lines(table(spark, sf_dir, "contents").select("key", "content").distinct(), ["смету", "приказ", "журнал"])
 
 
+@query("SELECT key, CASE WHEN strlen(lower(content)) = strlen(content) THEN len(regexp_extract_all(lower(content), 'смету|приказ|register')) ELSE 0 END AS marks FROM (SELECT DISTINCT key, content FROM contents WHERE content IS NOT NULL)")
+def viewer_mark_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many places a viewer marks in each text; none where lower case changes the length."""
+    marks_of = F.pandas_udf(lambda s: s.map(lambda t: len(snippets.viewer_marks(t, ["смету", "приказ", "register"]))), "long")
+    return table(spark, sf_dir, "contents").where("content is not null").select("key", "content").distinct().select("key", marks_of("content").alias("marks"))
+
+
+@query("SELECT DISTINCT folder, EXISTS (SELECT 1 FROM files g WHERE g.key = lower(replace(f.folder, chr(92), '/')) || '/none.txt') AS stored FROM files f WHERE folder IS NOT NULL")
+def paths_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether paths are in the index, for one path of every folder."""
+    asked = table(spark, sf_dir, "files").where("folder is not null").select("folder").distinct().withColumn("key", F.concat(paths.path_key(F.col("folder")), F.lit("/none.txt")))
+    return asked.join(search.stored(_ix(spark, sf_dir), asked), "key", "left").select("folder", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 # ---- maintenance
 
 _LAST = f"""(SELECT l.*, coalesce((SELECT max(version) FROM extractor_versions x WHERE lower(x.ext) = lower(regexp_extract(regexp_extract(l.key, '[^/]*$'), '^.+\\.([^.]*)$', 1)) AND x.since_run <= l.run_id), 1) AS version, (SELECT epoch_us(started_at) // 1000000 FROM index_runs r WHERE r.run_id = l.run_id) AS now_s
@@ -421,6 +441,19 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.status_counts(table(spark, sf_dir, "extracted"))
 
 
+_SAMPLE_TIME = 1741406400
+
+
+@query(f"""SELECT DISTINCT key, version, cloud, CASE WHEN v = version THEN 'fresh' WHEN v = 4611686018427387904 AND cloud THEN 'fresh'
+  WHEN ((v >> 61) & 1) = 1 AND ((v >> 62) & 1) = 0 AND ((v >> 40) & 255) = (version & 255) AND {_SAMPLE_TIME} < (v & 4294967295) + least(21600 * (1::BIGINT << least(greatest((v >> 32) & 255, 1) - 1, 20)::INTEGER), 604800) THEN 'deferred' ELSE 'stale' END AS verdict
+FROM (SELECT key, coalesce(ver, 0) AS v FROM files), (VALUES (1::BIGINT), (2), (3)) x(version), (VALUES (true), (false)) y(cloud)""")
+def freshness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mark of every record asks for, under three versions of extraction, as a stub and not."""
+    cases = F.explode(F.array(*(F.struct(F.lit(v).cast("long").alias("version"), F.lit(c).alias("cloud")) for v in (1, 2, 3) for c in (True, False)))).alias("c")
+    rows = table(spark, sf_dir, "files").select("key", F.coalesce("ver", F.lit(0).cast("long")).alias("v"), cases).select("key", "v", "c.*")
+    return rows.select("key", "version", "cloud", marks.verdict(F.col("v"), F.col("version"), F.col("cloud"), F.lit(_SAMPLE_TIME).cast("long")).alias("verdict")).distinct()
+
+
 @query("SELECT DISTINCT key, CASE WHEN ((ver >> 61) & 1) = 1 AND ((ver >> 62) & 1) = 0 THEN (ver >> 32) & 255 ELSE 0 END AS attempts, CASE WHEN ((ver >> 61) & 1) = 1 AND ((ver >> 62) & 1) = 0 THEN (ver & 4294967295) + least(21600 * (1::BIGINT << least(greatest((ver >> 32) & 255, 1) - 1, 20)::INTEGER), 604800) END AS due FROM files")
 def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = marks.unpacked(F.col("ver"))

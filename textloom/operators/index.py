@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from textloom.functions.analysis import analyse
 from textloom.session import cut, delete, exists, fingerprint, parallel, shared_dir
 
-FORMAT = 2
+FORMAT = 3
 FIELDS = ("name", "folder", "meta", "content")
 #: Documents of one posting block at most.
 BATCH = 500
@@ -308,7 +308,7 @@ _OPEN: dict[tuple, Index] = {}
 def opened(spark: SparkSession, sf_dir: str, stem: bool) -> Index:
     """The index over the tables of a folder, built in the shared folder on first use and found there by other processes."""
     files, contents = spark.read.parquet(f"{sf_dir}/files.parquet"), spark.read.parquet(f"{sf_dir}/contents.parquet")
-    path = f"{shared_dir(spark)}/index-{fingerprint(files)[:16]}-{fingerprint(contents)[:16]}-{int(stem)}"
+    path = f"{shared_dir(spark)}/index{FORMAT}-{fingerprint(files)[:16]}-{fingerprint(contents)[:16]}-{int(stem)}"
     at = (spark.sparkContext.applicationId, path)
     if at not in _OPEN:
         _OPEN[at] = Index(spark, path) if commits(spark, path) else build(spark, files, contents, path, stem)

@@ -275,6 +275,11 @@ def contains_path(ix: Index, key: str) -> bool:
     return not ix.files.where(F.col("key") == key).limit(1).isEmpty()
 
 
+def stored(ix: Index, asked: DataFrame) -> DataFrame:
+    """(key, stored) of those of asked(key) that are in the index."""
+    return ix.files.join(asked.select("key").distinct(), "key", "left_semi").select("key", F.lit(True).alias("stored"))
+
+
 def below(ix: Index, prefix: str) -> DataFrame:
     return ix.files.where(covers(F.lit(prefix), F.col("key")))
 

@@ -44,11 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _clean() -> None:
+    """At the end of the process: what was cut and not released serves nobody any more."""
+    for paths in _CUTS.values():
+        for path in paths:
+            try:
+                if path.startswith(("file:", "/")):
+                    shutil.rmtree(path.removeprefix("file:").replace("///", "/", 1), ignore_errors=True)
+                elif (spark := SparkSession.getActiveSession()) is not None:
+                    delete(spark, path)
+            except Exception:  # a session that has ended; the folder's owner may clear it
+                return
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _CUTS:
+        atexit.unregister(_clean)
+        atexit.register(_clean)
     _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 A row per file, and a row with an error per entry that could not be read. Directories that are always left out are
 pruned before they are entered; links are not followed; names beginning with a dot or underscore and empty files are
-rows like any other. Each subtree of the first levels is a partition of its own.
+rows like any other. Each subtree of the first levels is a partition of its own, a folder of many entries there several.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import stat
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -27,9 +28,13 @@ SCHEMA = "root string, path string, size long, mtime_ms long, cloud boolean, rea
 _ELSEWHERE = 0x1000 | 0x40000 | 0x400000
 
 
+#: Entries of one folder that a task looks at, where the folder is met while partitions are made.
+ENTRIES = 20_000
+
+
 class _Subtree(InputPartition):
-    def __init__(self, root: str, path: str, deep: bool) -> None:
-        self.root, self.path, self.deep = root, path, deep
+    def __init__(self, root: str, path: str, deep: bool, part: int = 0, parts: int = 1) -> None:
+        self.root, self.path, self.deep, self.part, self.parts = root, path, deep, part, parts
 
 
 def _skipped_dir(name: str) -> bool:
@@ -46,14 +51,14 @@ def stub(s: os.stat_result) -> bool:
     return bool(getattr(s, "st_file_attributes", 0) & _ELSEWHERE)
 
 
-def walk(root: str, path: str, deep: bool) -> Iterator[tuple]:
-    """Rows of the files of a directory, and with ``deep`` of all below it."""
+def walk(root: str, path: str, deep: bool, part: int = 0, parts: int = 1) -> Iterator[tuple]:
+    """Rows of the files of a directory, and with ``deep`` of all below it; of several parts of a directory only one."""
     todo = [path]
     while todo:
         here = todo.pop()
         try:
             with os.scandir(here) as found:
-                entries = sorted(found, key=lambda e: e.name)
+                entries = sorted((e for e in found if parts == 1 or zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % parts == part), key=lambda e: e.name)
         except OSError as e:
             yield (root, here, None, None, False, False, str(e))
             continue
@@ -75,6 +80,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.roots = json.loads(options["roots"])
         self.levels = int(options.get("levels", 2))
+        self.entries = int(options.get("entries", ENTRIES))
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
@@ -82,16 +88,22 @@ class _Reader(DataSourceReader):
         for _ in range(self.levels):
             below = []
             for root, path in level:
-                out.append(_Subtree(root, path, False))
+                n = 0
                 try:
-                    below += [(root, e.path) for e in os.scandir(path) if not e.is_symlink() and e.is_dir() and not _skipped_dir(e.name)]
+                    with os.scandir(path) as found:
+                        for e in found:
+                            n += 1
+                            if not e.is_symlink() and e.is_dir() and not _skipped_dir(e.name):
+                                below.append((root, e.path))
                 except OSError:
                     pass  # the row of its own partition says so
+                parts = max(1, -(-n // self.entries))
+                out += [_Subtree(root, path, False, i, parts) for i in range(parts)]
             level = below
         return out + [_Subtree(root, path, True) for root, path in level]
 
     def read(self, partition: _Subtree) -> Iterator[tuple]:
-        yield from walk(partition.root, partition.path, partition.deep)
+        yield from walk(partition.root, partition.path, partition.deep, partition.part, partition.parts)
 
 
 class TreeSource(DataSource):
