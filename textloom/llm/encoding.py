@@ -425,12 +425,11 @@ _CYRILLIC_WORD = re.compile(f"[^\\w]*[{_LOW}{_UP}]+[^\\w]*")
 _INSIDE = re.compile("\\w[^\\w\\s'’-]+\\w|€|[^\\w\\s]’|\\w’[а-яё]", re.I)
 
 
-def paths_of(odd: list[str]) -> dict[str, tuple]:
-    """The cheapest path of every token, () where none makes it cheaper; no token is left unsearched."""
+def _paths(odd: list[str]) -> Iterator[tuple]:
+    """The paths that make tokens cheaper, as they are found; no token is left unsearched."""
     groups: dict[tuple, list[str]] = {}
     for t in odd:
         groups.setdefault(_class_of(t), []).append(t)
-    pool: dict[tuple, None] = {}
     for key in sorted(groups):
         left = sorted(groups[key], key=lambda t: (-len(set(t)), t))
         while left:
@@ -442,16 +441,22 @@ def paths_of(odd: list[str]) -> dict[str, tuple]:
                     if n > _TOGETHER:
                         break
             path = _path(" ".join(some))
-            done = {t for t in left if path and (f := apply(t, path)) is not None and (c := cost(f)) < cost(t) and _clean(f, c)}
             if path:
-                pool[path] = None
+                yield path
+            done = {t for t in left if path and (f := apply(t, path)) is not None and (c := cost(f)) < cost(t) and _clean(f, c)}
             if len(some) > 1 and (own := _path(left[0])):
-                pool[own] = None
+                yield own
             if not done:
                 # Together they find nothing: the first was searched by itself, the others go once more without it.
                 done = {left[0]}
             left = [t for t in left if t not in done]
-    return _assigned(odd, list(pool))
+
+
+def paths_of(odd: list[str]) -> tuple[dict[str, tuple], set[str]]:
+    """(the path of every token, () where none makes it cheaper; the tokens that alone tell a fault: a path makes them cheaper by
+    more than their margin)."""
+    pool = list(dict.fromkeys(_paths(odd)))
+    return _assigned(odd, pool), {t for t in odd if any(_gain(t, p) > _margin(t) for p in pool)}
 
 
 def _assigned(odd: list[str], pool: list[tuple]) -> dict[str, tuple]:
@@ -501,19 +506,35 @@ _APOSTROPHES = dict.fromkeys(map(ord, "’‘–—"), "'")
 _NEVER = re.compile("\\b[ьъы]|[аеёиоуыэюя][ьъ]|[бвгджзклмнпрстфхцчшщьъ]й\\w|\\bй[^оеи]|[жшчщ][ыэя]|[гкх][ыэя]|ц[яюэ]")
 
 
+def _suspects(s: str) -> tuple[Iterable[str], list[str]]:
+    """(the tokens of a value, those to be searched)."""
+    tokens = dict.fromkeys(_TOKEN.findall(s))
+    odd = [t for t in tokens if _odd(t)]
+    return tokens, [] if len(odd) == 1 and _ROTATED.match(odd[0]) else odd
+
+
+def is_case(s: str | None) -> bool:
+    """``examine`` without the restored text: it is enough that one token tells a fault by itself."""
+    if not s or not suspicious(s):
+        return False
+    if _LOSS.search(s):
+        return True
+    _, odd = _suspects(s)
+    for path in _paths(odd):
+        if any(_gain(t, path) > _margin(t) for t in odd):
+            return True
+    return examine(s)[0]
+
+
 def examine(s: str | None) -> tuple[bool, str | None]:
     """(whether s was wholly or partly read in a wrong encoding, s with what can be restored)."""
     if not s or not suspicious(s):
         return False, s
     if _LOSS.search(s):
         return True, s
-    tokens = dict.fromkeys(_TOKEN.findall(s))
-    odd = [t for t in tokens if _odd(t)]
-    if len(odd) == 1 and _ROTATED.match(odd[0]):
-        odd = []
+    tokens, odd = _suspects(s)
     if odd:
-        path_of = paths_of(odd)
-        strong = {t for t, p in path_of.items() if p and _gain(t, p) > _margin(t)}
+        path_of, strong = paths_of(odd)
         by_path: dict[tuple, list[str]] = {}
         for t, p in path_of.items():
             if p:
@@ -600,7 +621,7 @@ def examined(values: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def is_garbled(values: pd.Series) -> pd.Series:
-    return pd.Series([examine(v)[0] for v in values], dtype="bool")
+    return pd.Series([is_case(v) for v in values], dtype="bool")
 
 
 def repair(df: DataFrame, column: str, into: str = "encoding") -> DataFrame:

@@ -37,11 +37,11 @@ def kept(df: DataFrame, test: Callable[..., bool], columns: list[str]) -> DataFr
 
 
 def _garbled(value: str | None) -> bool:
-    return encoding.examine(value)[0]
+    return encoding.is_case(value)
 
 
 def _skip_garbled(place: str, value: str) -> bool:
-    return encoding.examine(value)[0]
+    return encoding.is_case(value)
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +74,7 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _disguised(look: confusables.Look) -> Callable[..., bool]:
-    return lambda value, raw: look.disguised(value) and not encoding.examine(raw)[0]
+    return lambda value, raw: look.disguised(value) and not encoding.is_case(raw)
 
 
 def _look_values(spark: SparkSession, sf_dir: str) -> DataFrame:
